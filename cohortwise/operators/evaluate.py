@@ -28,20 +28,22 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def binary_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Accuracy, precision, recall and F1 of class 1 as (metric, value) rows, one pass."""
+def binary_metrics(df: DataFrame, label: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Accuracy, precision, recall and F1 of class 1 as (*by, metric, value) rows, one pass."""
     hit = (F.col(label) == 1) & (F.col(prediction) == 1)
-    counts = df.agg(
+    counts = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == F.col(prediction)).alias("right"),
         F.count_if(hit).alias("tp"), F.count_if(F.col(prediction) == 1).alias("said"),
         F.count_if(F.col(label) == 1).alias("real"),
     )
-    wide = counts.select(
-        _ratio(F.col("right"), F.col("n")).alias("Accuracy"), _ratio(F.col("tp"), F.col("said")).alias("Precision"),
-        _ratio(F.col("tp"), F.col("real")).alias("Recall"),
-        _ratio(2 * F.col("tp"), F.col("said") + F.col("real")).alias("F1"),
-    )
-    return wide.unpivot([], wide.columns, "metric", "value")
+    scores = {
+        "Accuracy": _ratio(F.col("right"), F.col("n")),
+        "Precision": _ratio(F.col("tp"), F.col("said")),
+        "Recall": _ratio(F.col("tp"), F.col("real")),
+        "F1": _ratio(2 * F.col("tp"), F.col("said") + F.col("real")),
+    }
+    wide = counts.select(*by, *[v.alias(n) for n, v in scores.items()])
+    return wide.unpivot(list(by), list(scores), "metric", "value")
 
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -88,34 +90,39 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     return per_class.drop("tp").unionByName(tail)
 
 
-def _score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score, running from the highest score down."""
-    groups = df.groupBy(F.col(score).alias("score")).agg(
+def _score_groups(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Positives and negatives per distinct score, and their running sums from the highest
+    score down. Equal scores are one row before anything is ordered."""
+    groups = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     down = groups.withColumn("_down", -F.col("score"))
-    return ordered_running_sums(down, ["_down"], {"pos": "tp", "neg": "fp"}).drop("_down")
+    return ordered_running_sums(down, [*by, "_down"], {"pos": "tp", "neg": "fp"}).drop("_down")
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score."""
     groups = _score_groups(df, label, score)
-    ends = df.agg(
-        F.struct(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).alias("e")
-    )
+    ends = groups.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).alias("e"))
     return groups.withColumn("_e", ends.scalar()).select(
         F.col("score").alias("threshold"), _ratio(F.col("fp"), F.col("_e.neg")).alias("fpr"),
         _ratio(F.col("tp"), F.col("_e.pos")).alias("tpr"),
     )
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the ROC curve, ties counted half; NULL for a single class."""
-    groups = _score_groups(df, label, score)
+def roc_auc(df: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact area under the ROC curve per group, ties counted half; NULL for a single class.
+
+    The running sum goes on across groups; what it held before a group's first row comes off
+    in the end: sum(neg * (above - start)) = sum(neg * above) - start * sum(neg).
+    """
     above = F.col("tp") - F.col("pos")
-    won = F.sum(F.col("neg") * (above + F.col("pos") / 2))
-    both = F.sum("pos") * F.sum("neg")
-    return groups.agg(F.when(both > 0, won / both).alias("roc_auc"))
+    sums = _score_groups(df, label, score, by).groupBy(*by).agg(
+        F.sum(F.col("neg") * (above + F.col("pos") / 2)).alias("won"), F.min(above).alias("start"),
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+    )
+    area = (F.col("won") - F.col("start") * F.col("neg")) / (F.col("pos") * F.col("neg"))
+    return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), area).alias("roc_auc"))
 
 
 def topk_accuracy(df: DataFrame, label: str, scores: str, ks: list[int]) -> DataFrame:
@@ -146,14 +153,16 @@ def squared_gap(logits, target, classes: int) -> Column:
     return total(F.zip_with(softmax(logits), target, lambda p, t: (p - t) * (p - t))) / classes
 
 
-def model_metrics(df: DataFrame, label: str, prediction: str, score: str | None = None) -> DataFrame:
-    """The metric rows of one model; ROC AUC only when it gives a score."""
-    rows = binary_metrics(df, label, prediction)
-    if score is not None:
-        rows = rows.unionByName(
-            roc_auc(df, label, score).select(F.lit("ROC AUC").alias("metric"), F.col("roc_auc").alias("value"))
-        )
-    return rows
+def model_metrics(
+    df: DataFrame, label: str, prediction: str, score: str | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """The metric rows of one model, or of every model of a predictions table; ROC AUC only
+    where there is a score."""
+    rows = binary_metrics(df, label, prediction, by)
+    if score is None:
+        return rows
+    areas = roc_auc(df, label, score, by)
+    return rows.unionByName(areas.select(*by, F.lit("ROC AUC").alias("metric"), F.col("roc_auc").alias("value")))
 
 
 def tag_union(parts: dict[str, DataFrame], tag: str = "model") -> DataFrame:
