@@ -11,6 +11,11 @@ def as_double(col) -> Column:
     return col.cast("array<double>")
 
 
+def bind(value, body) -> Column:
+    """body(value) with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(arr) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -28,22 +33,28 @@ def mean(arr) -> Column:
 
 
 def sample_std(arr) -> Column:
-    center = mean(arr)
-    spread = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + (v - center) * (v - center))
+    spread = bind(
+        mean(arr), lambda center: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + (v - center) * (v - center))
+    )
     return F.sqrt(spread / (F.size(arr) - 1))
 
 
+def _shifted_exp(logits, temperature: float) -> Column:
+    """exp((z - max) / temperature), so exp cannot overflow."""
+    return bind(F.array_max(logits), lambda peak: F.transform(logits, lambda z: F.exp((z - peak) / F.lit(float(temperature)))))
+
+
 def softmax(logits, temperature: float = 1.0) -> Column:
-    """Softmax of logits / temperature, shifted by the maximum so exp cannot overflow."""
-    peak = F.array_max(logits)
-    weights = F.transform(logits, lambda z: F.exp((z - peak) / F.lit(float(temperature))))
-    return F.transform(weights, lambda w: w / total(weights))
+    """Softmax of logits / temperature."""
+    return bind(
+        _shifted_exp(logits, temperature),
+        lambda weights: bind(total(weights), lambda norm: F.transform(weights, lambda w: w / norm)),
+    )
 
 
 def log_softmax(logits) -> Column:
-    peak = F.array_max(logits)
-    norm = F.log(total(F.transform(logits, lambda z: F.exp(z - peak))))
-    return F.transform(logits, lambda z: z - peak - norm)
+    norm = F.log(total(_shifted_exp(logits, 1.0))) + F.array_max(logits)
+    return bind(norm, lambda n: F.transform(logits, lambda z: z - n))
 
 
 def argmax(arr) -> Column:
@@ -74,4 +85,4 @@ def blend(a, b, weight) -> Column:
 def sharpen(a, b, temperature: float) -> Column:
     """Average two probability vectors, raise to 1/temperature, renormalise."""
     powered = F.zip_with(a, b, lambda x, y: F.pow((x + y) / 2.0, F.lit(1.0 / temperature)))
-    return F.transform(powered, lambda p: p / total(powered))
+    return bind(powered, lambda ps: bind(total(ps), lambda norm: F.transform(ps, lambda p: p / norm)))

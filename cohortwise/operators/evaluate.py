@@ -195,7 +195,7 @@ def in_order(df: DataFrame, col: str, order: list[str]) -> DataFrame:
 def comparison_report(metrics: DataFrame, names: list[str] = METRICS, stamp: str | None = None) -> DataFrame:
     """Text report, one row (line_no, line) per line: table at four decimals, best model per
     metric, best overall."""
-    cell = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("-"))
+    cell = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.4f", F.col(c)))
     wide = long_to_wide(metrics, names).select(
         F.lit(2).alias("section"), F.col("model").alias("at"), F.concat_ws(" | ", F.col("model"), *[cell(n) for n in names]).alias("line")
     )

@@ -94,16 +94,13 @@ def f1_of_positives(label: str) -> MulticlassClassificationEvaluator:
 
 
 def grid_search(df: DataFrame, estimator, grid: list, label: str, key: str, folds: int, parallelism: int = 4):
-    """Cross-validated grid search on seeded folds. The prepared rows are kept while the cells
-    run; a lost block is computed again."""
-    foldable = df.withColumn("fold", fold_of(key, folds)).persist()
-    try:
-        return CrossValidator(
-            estimator=estimator, estimatorParamMaps=grid, evaluator=f1_of_positives(label), numFolds=folds,
-            foldCol="fold", parallelism=parallelism,
-        ).fit(foldable)
-    finally:
-        foldable.unpersist()
+    """Cross-validated grid search on seeded folds. The prepared rows are written once, so no
+    cell repeats the preparation and small data comes back as few partitions."""
+    foldable = materialize(df.withColumn("fold", fold_of(key, folds)), "folds")
+    return CrossValidator(
+        estimator=estimator, estimatorParamMaps=grid, evaluator=f1_of_positives(label), numFolds=folds,
+        foldCol="fold", parallelism=parallelism,
+    ).fit(foldable)
 
 
 def grid_table(df: DataFrame, fitted, grid: list) -> DataFrame:
@@ -130,7 +127,8 @@ HIDDEN = [64, 32]
 
 
 def logistic_regression_cv(
-    df: DataFrame, cols: list[str], label: str, key: str, folds: int = 5, cs=LR_C, penalties=tuple(LR_PENALTY)
+    df: DataFrame, cols: list[str], label: str, key: str, folds: int = 5, cs=LR_C, penalties=tuple(LR_PENALTY),
+    iterations: int = 1000,
 ):
     """Scaled logistic regression with balanced weights. Returns (fitted search, grid).
 
@@ -139,7 +137,7 @@ def logistic_regression_cv(
     """
     weighted = add_class_weight(df, label)
     n = df.count()
-    model = LogisticRegression(labelCol=label, weightCol="weight", maxIter=100, standardization=False)
+    model = LogisticRegression(labelCol=label, weightCol="weight", maxIter=iterations, standardization=False)
     # Penalty and strength are one axis each; the grid crosses them.
     grid = (
         ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in cs])
@@ -186,6 +184,7 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, gamma=1.0, size=256, seed=42):
         super().__init__()
+        self._setDefault(gamma=1.0, size=256, seed=42)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -204,7 +203,7 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return dataset.withColumn(self.getOutputCol(), array_to_vector(expand(vector_to_array(self.getInputCol()))))
 
 
-def kernel_svm_cv(df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly"), size=256, degree=3):
+def kernel_svm_cv(df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly"), size=256, degree=3, iterations=100):
     """Support vector machine on explicit kernel features, C by kernel grid.
 
     rbf: random cosine features with gamma = 1 / features (scaled inputs have unit variance).
@@ -220,7 +219,7 @@ def kernel_svm_cv(df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly
         else:
             expansion = [PCA(k=min(4, len(cols)), inputCol="features", outputCol="axes"),
                          PolynomialExpansion(degree=degree, inputCol="axes", outputCol="kernel")]
-        svc = LinearSVC(featuresCol="kernel", labelCol=label, weightCol="weight", maxIter=50)
+        svc = LinearSVC(featuresCol="kernel", labelCol=label, weightCol="weight", maxIter=iterations)
         grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in cs]).build()
         pipeline = Pipeline(stages=[*scaled_stages(cols), *expansion, svc])
         searches[kernel] = (grid_search(weighted, pipeline, grid, label, key, folds), grid)
@@ -238,9 +237,9 @@ def calibrated(scored: DataFrame, train: DataFrame, label: str) -> DataFrame:
     return out.withColumn("score", vector_to_array("cal_prob")[1]).drop("margin", "margin_vec", "cal_raw", "cal_prob", "cal_pred")
 
 
-def linear_svm_multiclass(features: str, label: str, n: int, c: float = 1.0) -> OneVsRest:
+def linear_svm_multiclass(features: str, label: str, n: int, c: float = 1.0, iterations: int = 50) -> OneVsRest:
     """One linear machine per class against the rest."""
-    return OneVsRest(classifier=LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * n), maxIter=50),
+    return OneVsRest(classifier=LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * n), maxIter=iterations),
                      featuresCol=features, labelCol=label)
 
 

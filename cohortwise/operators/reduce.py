@@ -154,6 +154,7 @@ class CenteredPCA(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, D
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, dim=2):
         super().__init__()
+        self._setDefault(dim=2)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ProjectionModel:
@@ -177,6 +178,7 @@ class FisherLDA(Estimator, HasInputCol, HasOutputCol, HasLabelCol, DefaultParams
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, labelCol=None, dim=2):
         super().__init__()
+        self._setDefault(dim=2)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ProjectionModel:

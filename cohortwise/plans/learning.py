@@ -91,7 +91,7 @@ def _grid(spark, search, grid):
 @query("logistic_regression_cv")
 def logistic_regression_cv(spark, folder):
     train, _ = train_test(spark, folder)
-    search, grid = models.logistic_regression_cv(train, FEATURES, "label", "doc_id", folds=3, cs=[0.1, 1.0, 10.0])
+    search, grid = models.logistic_regression_cv(train, FEATURES, "label", "doc_id", folds=3, cs=[0.1, 1.0, 10.0], iterations=30)
     return _grid(spark, search, grid)
 
 
@@ -109,10 +109,10 @@ def random_forest_cv(spark, folder):
     return _grid(spark, search, grid)
 
 
-@query("kernel_svm_cv")
-def kernel_svm_cv(spark, folder):
+@query("kernel_svm")
+def kernel_svm(spark, folder):
     train, _ = train_test(spark, folder)
-    best, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[0.1, 1.0], size=64, degree=2)
+    best, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[0.1, 1.0], size=64, degree=2, iterations=15)
     parts = {kernel: _grid(spark, *found) for kernel, found in searches.items()}
     return evaluate.tag_union(parts, "kernel").withColumn("best_kernel", F.lit(best))
 
@@ -121,7 +121,7 @@ def kernel_svm_cv(spark, folder):
 def grid_search_table(spark, folder):
     """Best cell per search, of two searches."""
     train, _ = train_test(spark, folder)
-    lr = models.logistic_regression_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[1.0])
+    lr = models.logistic_regression_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[1.0], iterations=30)
     tree = models.decision_tree_cv(train, FEATURES, "label", "doc_id", folds=2, depths=[5], leaves=[1, 4])
     parts = {"LogisticRegression": _grid(spark, *lr), "DecisionTree": _grid(spark, *tree)}
     return evaluate.tag_union(parts).filter("is_best").select("model", "params", "f1")
@@ -180,7 +180,7 @@ def trained_model_comparison(spark, folder):
 def svm_probabilities(spark, folder):
     """Margins of the kernel machine turned into probabilities."""
     train, test = train_test(spark, folder)
-    _, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[1.0], kernels=("rbf",), size=64)
+    _, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[1.0], kernels=("rbf",), size=64, iterations=15)
     machine = searches["rbf"][0].bestModel
     scored = models.calibrated(machine.transform(test), machine.transform(train), "label")
     return scored.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"), "score")

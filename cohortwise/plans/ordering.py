@@ -102,11 +102,11 @@ pos AS (SELECT event_type, day, total, row_number() OVER (PARTITION BY event_typ
 ema AS (
   SELECT event_type, day, total, k, total AS e FROM pos WHERE k = 1
   UNION ALL
-  SELECT p.event_type, p.day, p.total, p.k, 0.9::DOUBLE * ema.e + 0.1::DOUBLE * p.total FROM ema JOIN pos p
+  SELECT p.event_type, p.day, p.total, p.k, 0.999::DOUBLE * ema.e + (1.0::DOUBLE - 0.999::DOUBLE) * p.total FROM ema JOIN pos p
     ON p.event_type = ema.event_type AND p.k = ema.k + 1)
 SELECT event_type, day, {r6('total')} AS total, {r6('e')} AS ema FROM ema""")
 def ema_smooth(spark, folder):
-    smooth = sequence.ema_smooth(data.daily_series(spark, folder), "event_type", "day", "total", 0.9)
+    smooth = sequence.ema_smooth(data.daily_series(spark, folder), "event_type", "day", "total", 0.999)
     return smooth.withColumns({c: S.rounded(c) for c in ("total", "ema")})
 
 

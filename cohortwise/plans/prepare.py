@@ -12,7 +12,7 @@ from cohortwise.operators.features import label_mapping
 from cohortwise.operators.sequence import append_log, log_lines
 from cohortwise.plans import data
 from cohortwise.plans.registry import query, r6
-from cohortwise.session import scratch_path
+from cohortwise.session import materialize, scratch_path
 from cohortwise.sources import metrics as metric_files
 from cohortwise.sources.tables import load_tables, null_profile, read_written, table, table_shapes, write_table
 
@@ -76,8 +76,10 @@ _METRICS_LONG = f"WITH {data.METRICS_SQL} SELECT model, metric, {r6('value')} AS
 
 
 def rule_metrics(spark, folder):
-    """Metrics of every rule model in one pass over its predictions."""
-    return model_metrics(data.rule_predictions(spark, folder), "label", "prediction", "score", by=("model",))
+    """Metrics of every rule model; the texts are measured once and both passes, over classes
+    and over scores, read the written predictions."""
+    predictions = materialize(data.rule_predictions(spark, folder), "predictions")
+    return materialize(model_metrics(predictions, "label", "prediction", "score", by=("model",)), "rule-metrics")
 
 
 @query("metrics_sink", _METRICS_LONG)
@@ -120,11 +122,10 @@ def training_log_resume(spark, folder):
 @query("comparison_report", f"""
 WITH {data.METRICS_SQL},
 wide AS (SELECT model, {", ".join(f"max(value) FILTER (metric = '{m}') AS m{i}" for i, m in enumerate(["Accuracy", "Precision", "Recall", "F1", "ROC AUC"]))} FROM met GROUP BY model),
-best AS (SELECT metric, arg_max(model, value) AS model, max(value) AS value FROM (SELECT * FROM met WHERE value IS NOT NULL ORDER BY model DESC)
-  GROUP BY metric),
+best AS (SELECT metric, max(value) AS value FROM met GROUP BY metric),
 best2 AS (SELECT m.metric, min(m.model) AS model, b.value FROM met m JOIN best b ON m.metric = b.metric AND m.value = b.value GROUP BY m.metric, b.value),
-lines AS (
-  SELECT 0 AS s, '' AS at, 'model comparison' AS line
+lines(s, pos, line) AS (
+  SELECT 0, '', 'model comparison'
   UNION ALL SELECT 1, '', 'model | Accuracy | Precision | Recall | F1 | ROC AUC'
   UNION ALL SELECT 2, model, model || {" || ".join(f"' | ' || coalesce(format('{{:.4f}}', m{i}), '-')" for i in range(5))} FROM wide
   UNION ALL SELECT 3, '', 'best model per metric'
@@ -133,7 +134,7 @@ lines AS (
   UNION ALL SELECT 5, '', 'overall'
   UNION ALL SELECT 6, '', line FROM (SELECT format('best overall: {{}} (mean score: {{:.4f}})', model, avg(value)) AS line
     FROM met GROUP BY model ORDER BY avg(value) DESC, model LIMIT 1))
-SELECT row_number() OVER (ORDER BY s, at, line) AS line_no, line FROM lines""")
+SELECT row_number() OVER (ORDER BY s, pos, line) AS line_no, line FROM lines""")
 def comparison_report_query(spark, folder):
     return comparison_report(rule_metrics(spark, folder))
 
@@ -375,9 +376,11 @@ def clip_range(spark, folder):
 
 
 @query("number_format", """
-SELECT o_orderkey, format('{:.4f}', o_totalprice / 7) AS four, format('{:.2f}%', o_totalprice / 9000) AS share,
+SELECT o_orderkey, CAST(CAST(CAST(o_totalprice / 7 AS VARCHAR) AS DECIMAL(38, 18)) AS DECIMAL(38, 4)) || '' AS four,
+  CAST(CAST(CAST(o_totalprice / 9000 AS VARCHAR) AS DECIMAL(38, 18)) AS DECIMAL(38, 2)) || '%' AS share,
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp FROM orders""")
 def number_format(spark, folder):
+    """Fixed decimals, rounded half up on the number's shortest decimal form."""
     return table(spark, folder, "orders").select(
         "o_orderkey", F.format_string("%.4f", F.col("o_totalprice") / 7).alias("four"),
         F.format_string("%.2f%%", F.col("o_totalprice") / 9000).alias("share"),

@@ -169,7 +169,7 @@ def _knn_score(train, test, dim):
 
 def _svm_score(train, test, dim, n):
     cut = lambda df: df.select("vec_id", "label", array_to_vector(reduce.leading("coords", dim)).alias("f"))
-    machine = models.linear_svm_multiclass("f", "label", n).setParallelism(8)
+    machine = models.linear_svm_multiclass("f", "label", n, iterations=10).setParallelism(8)
     said = machine.fit(cut(train).persist()).transform(cut(test))
     return said.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
 
@@ -195,7 +195,7 @@ def dimension_sweep(spark, folder, dims=(2, 4, 8, 16, 32, 64)):
 def linear_svm_multiclass(spark, folder):
     train, test = split_vectors(spark, folder)
     as_vector = lambda df: df.select("vec_id", "label", array_to_vector(V.as_double("embedding")).alias("f"))
-    machine = models.linear_svm_multiclass("f", "label", train.count()).setParallelism(8)
+    machine = models.linear_svm_multiclass("f", "label", train.count(), iterations=20).setParallelism(8)
     said = machine.fit(as_vector(train)).transform(as_vector(test))
     return said.select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
@@ -270,14 +270,16 @@ def _ops_sql(source: str, seed: str, step: int) -> str:
 @query("strong_augment", f"""WITH {_PIXELS}, w AS ({_weak_sql('pix', 'strong')}), o0 AS ({_ops_sql('w', 'strong', 0)}), o1 AS ({_ops_sql('o0', 'strong', 1)}),
 c AS ({_cut_sql('o1', 'strong')}) {_unnest_sql('c')}""")
 def strong_augment(spark, folder):
-    return _long(augment.strong(_pixels(spark, folder), "v", "strong", "vec_id"), "v", "vec_id")
+    pixels = _pixels(spark, folder)
+    return _long(pixels.select("vec_id", augment.strong(F.col("v"), "strong", "vec_id").alias("v")), "v", "vec_id")
 
 
 @query("weak_and_strong", f"""WITH {_PIXELS}, a AS ({_weak_sql('pix', 'weak')}), w AS ({_weak_sql('pix', 'strong')}), o0 AS ({_ops_sql('w', 'strong', 0)}),
 o1 AS ({_ops_sql('o0', 'strong', 1)}), c AS ({_cut_sql('o1', 'strong')})
 {_unnest_sql('a', "'weak' AS view, ")} UNION ALL {_unnest_sql('c', "'strong' AS view, ")}""")
 def weak_and_strong(spark, folder):
-    views = augment.weak_and_strong(_pixels(spark, folder), "v", "vec_id")
+    weak, strong = augment.weak_and_strong(F.col("v"), "vec_id")
+    views = _pixels(spark, folder).select("vec_id", weak.alias("weak"), strong.alias("strong"))
     return _long(views, "weak", "vec_id").withColumn("view", F.lit("weak")).unionByName(
         _long(views, "strong", "vec_id").withColumn("view", F.lit("strong")))
 
