@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def local_session(app: str = "cohortwise", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benches; on a cluster the submitting side brings its own."""
@@ -35,9 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="cohortwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="cohortwise-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

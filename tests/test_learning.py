@@ -92,7 +92,7 @@ def test_linear_svm_on_separable_classes(spark, folder):
     middles = [(0, 0), (6, 0), (0, 6)]
     rows = [(i % 3, [float(x) for x in rng.normal(size=2) + middles[i % 3]]) for i in range(150)]
     df = spark.createDataFrame(rows, "label int, v array<double>").coalesce(1).withColumn("f", array_to_vector("v"))
-    said = linear_svm_multiclass("f", "label", 150).fit(df).transform(df)
+    said = linear_svm_multiclass("f", "label", 150, iterations=8).fit(df).transform(df)
     assert said.filter("label = prediction").count() > 140
 
 
@@ -105,7 +105,7 @@ def test_kernel_machine_on_a_ring(spark):
     radius = np.where(label == 1, 0.4, 2.0) + rng.normal(scale=0.1, size=240)
     rows = [(i, float(r * np.cos(a)), float(r * np.sin(a)), int(y)) for i, (r, a, y) in enumerate(zip(radius, angle, label))]
     df = spark.createDataFrame(rows, "id int, a double, b double, label int").coalesce(1)
-    _, searches = kernel_svm_cv(df, ["a", "b"], "label", "id", folds=2, cs=[10.0], size=64, degree=2, iterations=20)
+    _, searches = kernel_svm_cv(df, ["a", "b"], "label", "id", folds=2, cs=[10.0], size=64, degree=2, iterations=8)
     assert all(max(search.avgMetrics) > 0.9 for search, _ in searches.values())
 
 
