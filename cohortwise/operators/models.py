@@ -203,6 +203,14 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return dataset.withColumn(self.getOutputCol(), array_to_vector(expand(vector_to_array(self.getInputCol()))))
 
 
+def kernel_stages(features: int, kernel: str, size: int = 256, degree: int = 3) -> list:
+    """Stages turning ``features`` into explicit kernel features."""
+    if kernel == "rbf":
+        return [FourierFeatures(inputCol="features", outputCol="kernel", gamma=1.0 / features, size=size)]
+    return [PCA(k=min(4, features), inputCol="features", outputCol="axes"),
+            PolynomialExpansion(degree=degree, inputCol="axes", outputCol="kernel")]
+
+
 def kernel_svm_cv(df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly"), size=256, degree=3, iterations=100):
     """Support vector machine on explicit kernel features, C by kernel grid.
 
@@ -214,11 +222,7 @@ def kernel_svm_cv(df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly
     n = df.count()
     searches = {}
     for kernel in kernels:
-        if kernel == "rbf":
-            expansion = [FourierFeatures(inputCol="features", outputCol="kernel", gamma=1.0 / len(cols), size=size)]
-        else:
-            expansion = [PCA(k=min(4, len(cols)), inputCol="features", outputCol="axes"),
-                         PolynomialExpansion(degree=degree, inputCol="axes", outputCol="kernel")]
+        expansion = kernel_stages(len(cols), kernel, size, degree)
         svc = LinearSVC(featuresCol="kernel", labelCol=label, weightCol="weight", maxIter=iterations)
         grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in cs]).build()
         pipeline = Pipeline(stages=[*scaled_stages(cols), *expansion, svc])

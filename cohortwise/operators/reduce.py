@@ -16,15 +16,16 @@ from cohortwise.functions.vectors import as_double
 
 
 def vector_sums(df: DataFrame, vec: str, group: str | None = None, center=None) -> DataFrame:
-    """Sums and products of vectors per group as long cells (g, i, j, s, n).
+    """Sums of vectors per group and their products overall, as long cells (g, i, j, s, n).
 
-    Cells with i = -1 hold the sum of position j, the others the sum of the products of
-    positions i <= j, both after subtracting ``center``. Each task folds its rows into one
-    matrix per group, so the shuffle carries a matrix per task and group, however many rows.
+    Cells with i = -1 hold the sum of position j in group g, the others (g = 0) the sum of the
+    products of positions i <= j, both after subtracting ``center``. Each task folds its rows
+    into one matrix and a vector per group, and only those are shuffled, however many rows.
     """
 
     def fold(batches):
         sums: dict = {}
+        whole, products = 0, 0.0
         for batch in batches:
             if not len(batch):
                 continue
@@ -32,14 +33,16 @@ def vector_sums(df: DataFrame, vec: str, group: str | None = None, center=None)
             rows = np.stack(batch["v"].to_numpy())
             if center is not None:
                 rows = rows - center
+            whole, products = whole + len(rows), products + rows.T @ rows
             for key in np.unique(keys):
                 part = rows[keys == key]
-                n, s, products = sums.get(key, (0, 0.0, 0.0))
-                sums[key] = (n + len(part), s + part.sum(axis=0), products + part.T @ part)
-        for key, (n, s, products) in sums.items():
-            i, j = np.triu_indices(len(s))
+                n, s = sums.get(key, (0, 0.0))
+                sums[key] = (n + len(part), s + part.sum(axis=0))
+        for key, (n, s) in sums.items():
             yield pd.DataFrame({"g": key, "i": -1, "j": np.arange(len(s)), "s": s, "n": n})
-            yield pd.DataFrame({"g": key, "i": i, "j": j, "s": products[i, j], "n": n})
+        if whole:
+            i, j = np.triu_indices(len(products))
+            yield pd.DataFrame({"g": 0, "i": i, "j": j, "s": products[i, j], "n": whole})
 
     key = F.lit(0) if group is None else F.col(group)
     rows = df.select(key.cast("bigint").alias("g"), as_double(vec).alias("v"))
@@ -81,18 +84,18 @@ def covariance(df: DataFrame, vec: str) -> DataFrame:
 def class_scatter(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Within-class and between-class scatter as (i, j, sw, sb).
 
-    With vectors centred at the overall mean, the class sums s_c and products P_c give
-    Sw = sum(P_c - s_c s_c' / n_c) and Sb = sum(s_c s_c' / n_c).
+    With vectors centred at the overall mean and class sums s_c, Sb = sum(s_c s_c' / n_c), and
+    what is left of the total scatter is Sw; no class needs a matrix of its own.
     """
     cells = vector_sums(df, vec, group=label, center=vector_mean(df, vec))
     sums = cells.filter("i = -1")
-    left = sums.select("g", F.col("j").alias("i"), F.col("s").alias("si"))
+    left = sums.select("g", F.col("j").alias("i"), F.col("s").alias("si"), "n")
     right = sums.select("g", "j", F.col("s").alias("sj"))
-    between = F.col("si") * F.col("sj") / F.col("n")
-    upper = (
-        cells.filter("i >= 0").join(left, ["g", "i"]).join(right, ["g", "j"])
-        .groupBy("i", "j").agg(F.sum(F.col("s") - between).alias("sw"), F.sum(between).alias("sb"))
+    between = left.join(right, "g").filter("i <= j").groupBy("i", "j").agg(
+        F.sum(F.col("si") * F.col("sj") / F.col("n")).alias("sb")
     )
+    total = cells.filter("i >= 0").select("i", "j", F.col("s").alias("st"))
+    upper = total.join(between, ["i", "j"]).select("i", "j", (F.col("st") - F.col("sb")).alias("sw"), "sb")
     return _both_triangles(upper, ["sw", "sb"])
 
 

@@ -24,10 +24,14 @@ def activity_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customer_activity(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers with their activity per event type, zero where there is none."""
+    """Customers with their activity per event type, zero where there is none.
+
+    Sums are rounded here, so what is derived from them does not hang on the order of adding.
+    """
     wide = activity_wide(activity_log(spark, folder), ["c_custkey"], "event_type", "day", "value", KINDS)
     customers = table(spark, folder, "customer").drop("c_name")
-    return join_features(customers, wide, ["c_custkey"])
+    joined = join_features(customers, wide, ["c_custkey"])
+    return joined.withColumns({c: rounded(c) for c in columns_like(joined, "total_clicks_")})
 
 
 def behaviour_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +41,8 @@ def behaviour_table(spark: SparkSession, folder: str) -> DataFrame:
     the log is scanned a single time.
     """
     joined = materialize(customer_activity(spark, folder), "activity")
-    capped = cap_upper(joined, ["c_acctbal", *columns_like(joined, "total_clicks_", "active_days_")])
+    measures = ["c_acctbal", *columns_like(joined, "total_clicks_", "active_days_")]
+    capped = cap_upper(joined, measures).withColumns({c: rounded(c) for c in measures})
     enriched = engagement(capped, KINDS, EARLY_KINDS).withColumn(
         "at_risk", binary_label("c_mktsegment", ["FURNITURE", "MACHINERY"])
     )
@@ -61,7 +66,7 @@ wide AS (
   FROM act GROUP BY user_id),
 joined AS (
   SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment,
-    {_per_kind("coalesce(total_clicks_{k}, 0.0::DOUBLE) AS total_clicks_{k}")},
+    {", ".join(f"{r6(f'coalesce(total_clicks_{k}, 0.0::DOUBLE)')} AS total_clicks_{k}" for k in KINDS)},
     {_per_kind("coalesce(active_days_{k}, 0)::BIGINT AS active_days_{k}")}
   FROM customer LEFT JOIN wide ON c_custkey = user_id)"""
 
@@ -72,11 +77,11 @@ WITH {ACTIVITY_SQL},
 lim AS (SELECT {", ".join(f"quantile_cont({c}::DOUBLE, 0.98) AS q_{c}" for c in _CAPPED)} FROM joined),
 capped AS (
   SELECT c_custkey, c_nationkey, c_mktsegment,
-    {", ".join(f"CASE WHEN {c} > q_{c} THEN q_{c} ELSE {c}::DOUBLE END AS {c}" for c in _CAPPED)}
+    {", ".join(f"{r6(f'CASE WHEN {c} > q_{c} THEN q_{c} ELSE {c}::DOUBLE END')} AS {c}" for c in _CAPPED)}
   FROM joined, lim),
 sums AS (
   SELECT *, {" + ".join(f"total_clicks_{k}" for k in KINDS)} AS tc, {" + ".join(f"active_days_{k}" for k in KINDS)} AS ad,
-    ({" + ".join(f"total_clicks_{k} + active_days_{k}" for k in EARLY_KINDS)}) / {2 * len(EARLY_KINDS)} AS early
+    ({" + ".join(f"active_days_{k} + total_clicks_{k}" for k in EARLY_KINDS)}) / {2 * len(EARLY_KINDS)} AS early
   FROM capped),
 codes AS (
   SELECT c_mktsegment AS seg, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -134,6 +134,10 @@ def mlp_classifier(spark, folder):
     return said.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("score"))
 
 
+def _machine():
+    return LinearSVC(featuresCol="kernel", labelCol="label", weightCol="weight", regParam=0.001, maxIter=15)
+
+
 def _forest():
     return RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=30, maxDepth=8, seed=42)
 
@@ -144,6 +148,7 @@ MODELS = {
     "LogisticRegression": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), LogisticRegression(labelCol="label", weightCol="weight")]),
     "DecisionTree": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), DecisionTreeClassifier(labelCol="label", weightCol="weight", maxDepth=5, seed=42)]),
     "RandomForest": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), _forest()]),
+    "SVM": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), *models.kernel_stages(len(FEATURES), "rbf", 64), _machine()]),
     "NeuralNetwork": lambda: models.mlp(FEATURES, "label", hidden=(16, 8), iterations=40),
 }
 
@@ -169,8 +174,13 @@ def trained_model_comparison(spark, folder):
     weighted = materialize(models.add_class_weight(train, "label"), "weighted")
     parts = {}
     for name, build in MODELS.items():
-        said = build().fit(weighted).transform(test).select(
-            "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("score"))
+        fitted = build().fit(weighted)
+        said = fitted.transform(test)
+        if "probability" in said.columns:
+            said = said.withColumn("score", vector_to_array("probability")[1])
+        else:  # a margin only
+            said = models.calibrated(said, fitted.transform(weighted), "label")
+        said = said.select("label", F.col("prediction").cast("int").alias("prediction"), "score")
         parts[name] = evaluate.model_metrics(said, "label", "prediction", "score")
     parts["KMeans"] = evaluate.model_metrics(cluster_predictions(train, test), "label", "prediction")
     return evaluate.long_to_wide(evaluate.tag_union(parts))
