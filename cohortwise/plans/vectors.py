@@ -170,7 +170,7 @@ def _knn_score(train, test, dim):
 def _svm_score(train, test, dim, n):
     cut = lambda df: df.select("vec_id", "label", array_to_vector(reduce.leading("coords", dim)).alias("f"))
     machine = models.linear_svm_multiclass("f", "label", n, iterations=10).setParallelism(8)
-    said = machine.fit(cut(train).persist()).transform(cut(test))
+    said = machine.fit(cut(train)).transform(cut(test))
     return said.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
 
 
