@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import chat, mixing, tokens
+from cohortwise.llm import chat, mixing, simhash, tokens
 from cohortwise.llm.registry import ORACLES, QUERIES, query
 from cohortwise.sources.tables import table
 
@@ -86,3 +86,8 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"),
     )
     return chat.conversation_digests(chat.format_conversations(given.unionByName(probe)))
+
+
+@query("op6_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
