@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import chat, mixing, simhash, tokens
+from cohortwise.llm import chat, mixing, quality_rules, simhash, tokens
 from cohortwise.llm.registry import ORACLES, QUERIES, query
 from cohortwise.sources.tables import table
 
@@ -91,3 +91,39 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+QUALITY_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+base AS (
+  SELECT rid, doc_id, t, len(words)::BIGINT AS n_words, len(lines)::BIGINT AS n_lines,
+    length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, words
+  FROM split),
+windows AS (
+  SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+  FROM (SELECT rid, words, unnest(generate_series(1, n_words - 2)) AS i FROM base WHERE n_words >= 3)),
+repeated AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+covered AS (SELECT rid, count(DISTINCT p)::BIGINT AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY rid),
+counted AS (
+  SELECT b.*, coalesce(n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed
+  FROM base b LEFT JOIN covered USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (
+    word_chars < 2.0 * n_words OR word_chars > 15.0 * n_words OR n_symbols > 0.25 * n_words OR n_dup_lines > 0.5 * n_lines
+    OR 2 * len(regexp_extract_all(t, '\p{Lu}')) > len(regexp_extract_all(t, '\p{L}'))
+    OR 2 * len(regexp_extract_all(t, '\p{L}')) < word_chars
+    OR 2 * len(regexp_extract_all(t, '!!')) > n_words
+    OR 2 * len(regexp_extract_all(t, '(\.\.\.|…)[ \t\r]*(\n|$)')) > n_lines
+    OR 10 * len(regexp_extract_all(t, '(^|\n)[ \t]*[-*•]')) > 9 * n_lines) AS kept
+FROM counted
+"""
+
+
+@query("op2_quality_rules", QUALITY_SQL)
+def quality_rules_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_cascade(table(spark, folder, "documents"))
