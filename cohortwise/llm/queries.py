@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import chat, mixing, quality_rules, simhash, tokens
+from cohortwise.llm import chat, language, mixing, quality_rules, simhash, tokens
 from cohortwise.llm.registry import ORACLES, QUERIES, query
 from cohortwise.sources.tables import table
 
@@ -127,3 +127,11 @@ FROM counted
 @query("op2_quality_rules", QUALITY_SQL)
 def quality_rules_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_cascade(table(spark, folder, "documents"))
+
+
+@query("op1_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit_language_filter(docs.filter(~language.held_out("doc_id", 5, 0)))
+    given = docs.select("doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "text")
+    return language.identify(given, model).drop("text")
