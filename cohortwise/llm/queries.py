@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import chat, language, mixing, quality_rules, simhash, tokens
+from cohortwise.llm import chat, language, mixing, quality_model, quality_rules, simhash, tokens
+from cohortwise.llm.labelled import held_out, labelled_rows
 from cohortwise.llm.registry import ORACLES, QUERIES, query
 from cohortwise.sources.tables import table
 
@@ -132,6 +133,15 @@ def quality_rules_cascade(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = language.fit_language_filter(docs.filter(~language.held_out("doc_id", 5, 0)))
-    given = docs.select("doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "text")
+    model = language.fit_language_filter(docs.filter(~held_out("doc_id", 5, 0)))
+    given = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
     return language.identify(given, model).drop("text")
+
+
+@query("op3_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    seen = labelled_rows(docs, table(spark, folder, "labels"), "doc_id", "text", "quality")
+    weights = quality_model.fit_quality(seen.filter(~held_out("doc_id", 3, 1)))
+    scored = quality_model.score_quality(docs, weights)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
