@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import chat, language, mixing, quality_model, quality_rules, simhash, tokens
+from cohortwise.llm import chat, language, mixing, quality_model, quality_rules, simhash, tokens, toxicity
 from cohortwise.llm.labelled import held_out, labelled_rows
 from cohortwise.llm.registry import ORACLES, QUERIES, query
 from cohortwise.sources.tables import table
@@ -145,3 +145,12 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     weights = quality_model.fit_quality(seen.filter(~held_out("doc_id", 3, 1)))
     scored = quality_model.score_quality(docs, weights)
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+@query("op4_toxicity")
+def toxicity_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    seen = labelled_rows(docs, table(spark, folder, "labels"), "doc_id", "text", "toxic")
+    model = toxicity.fit_toxicity(seen.filter(~held_out("doc_id", 4, 2)))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", "worst_word")
