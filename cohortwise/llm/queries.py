@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import chat, language, mixing, quality_model, quality_rules, simhash, tokens, toxicity
+from cohortwise.llm import chat, decontaminate, language, line_dedup, mixing, quality_model, quality_rules, simhash, tokens, toxicity
 from cohortwise.llm.labelled import held_out, labelled_rows
 from cohortwise.llm.registry import ORACLES, QUERIES, query
 from cohortwise.sources.tables import table
@@ -154,3 +154,15 @@ def toxicity_score(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit_toxicity(seen.filter(~held_out("doc_id", 4, 2)))
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", "worst_word")
+
+
+@query("op5_line_dedup")
+def line_dedup_texts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"), "text")
+
+
+@query("op9_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "n_equal")
