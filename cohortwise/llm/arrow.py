@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StructType
 
 Columns = dict[str, list]
 
@@ -28,3 +28,17 @@ def map_columns(df: DataFrame, kernel: Callable[[Iterator[Columns]], Iterable[Co
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return df.mapInArrow(run, ddl)
+
+
+def add_columns(df: DataFrame, read: str, kernel: Callable[[list], Columns], ddl: str) -> DataFrame:
+    """``df`` with the columns of ``ddl`` that ``kernel`` makes from the values of column ``read``; all others pass untouched."""
+    added = DataType.fromDDL(ddl)
+    schema = to_arrow_schema(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = kernel(batch.column(read).to_pylist())
+            arrays = [*batch.columns, *[pa.array(made[f.name], f.type) for f in schema]]
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*batch.schema, *schema]))
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))

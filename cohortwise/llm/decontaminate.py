@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.arrow import map_columns
+from cohortwise.llm.rows import fresh, matching
 from cohortwise.session import materialize
 
 # With these two masks every 13 words that differ in at most two places share a seed.
@@ -212,6 +213,5 @@ def contaminated(
 
 def without_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text ``contaminated`` gave, nulls compared as values."""
-    gone = materialize(found.select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(), "gone")
-    same = docs[id_col].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_key"])
-    return docs.join(gone, same, "left_anti")
+    gone = materialize(found.select("doc_id", "key").distinct().toDF(*fresh(docs, "_of", "_key")), "gone")
+    return matching(docs, gone, "left_anti", id_col, text_col)

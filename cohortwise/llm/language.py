@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.llm.arrow import map_columns
+from cohortwise.llm.arrow import add_columns, map_columns
 from cohortwise.session import materialize
 
 UNKNOWN = "und"
@@ -145,16 +145,13 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", nam
 
     The language is ``und`` with score 0 if the text is null or has no letter, or nothing was learned. With no known
     n-gram at all the language with most training rows is named, with score 0. Ties go to the language with
-    more training rows. All columns and rows of ``docs`` are kept; a column that has one of ``names`` is an error.
+    more training rows. All rows and columns of ``docs`` are passed on, whatever they hold; columns of ``docs`` that have one of
+    ``names`` give way. The broadcast filter is bounded by its slots and the number of languages.
     """
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns {sorted(set(names) & set(docs.columns))} exist already")
     table = docs.sparkSession.sparkContext.broadcast(model)
 
-    def kernel(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            made = [table.value.predict(t) for t in batch[text_col]]
-            yield batch | {names[0]: [m[0] for m in made], names[1]: [m[1] for m in made]}
+    def kernel(texts: list) -> dict[str, list]:
+        made = [table.value.predict(t) for t in texts]
+        return {names[0]: [m[0] for m in made], names[1]: [m[1] for m in made]}
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_columns(docs, kernel, f"{kinds}, {names[0]} string, {names[1]} double")
+    return add_columns(docs.drop(*names), text_col, kernel, f"{names[0]} string, {names[1]} double")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.llm.arrow import map_columns
 from cohortwise.llm.components import components
+from cohortwise.llm.rows import bounded_broadcast, fresh, matching
 from cohortwise.session import materialize
 
 SHINGLE = 7
@@ -136,11 +137,6 @@ def _stars(distinct: DataFrame) -> DataFrame:
     return map_columns(ordered, kernel, "bucket bigint, rep bigint, member bigint")
 
 
-def bounded_broadcast(table: DataFrame, rows: int) -> DataFrame:
-    """The written table marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity: float, small: int) -> DataFrame:
     """The pairs (a, b) whose lines are at least ``similarity`` alike, by their exact shingle sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -192,19 +188,22 @@ def _classes(distinct: DataFrame, docs: DataFrame, similarity: float, small: int
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, small: int = 500_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, names=("n_lines", "n_kept"),
+    small: int = 500_000,
 ) -> DataFrame:
-    """``docs`` with fewer lines: of every class of similar lines only the first occurrence stays, plus ``_n_lines, _n_kept``.
+    """``docs`` with fewer lines: of every class of similar lines only the first occurrence stays.
 
     Lines are parted at line feeds; blanks around a line do not count, and lines without a word go. Lines are similar if the Jaccard
     similarity of their 7-character shingles is at least ``similarity``; classes are the connected components of that. First
-    means the smallest id, then the text's hash, then the place in the text. Kept lines stand in their old order, unchanged.
+    means the smallest id, then the text's hash, then the place in the text. Kept lines stand in their old order, unchanged. The lines with a
+    word before and after are counted under ``names``; columns of ``docs`` with these names give way.
 
     A null text stays null, a text whose lines all go becomes empty; no row goes. A null id comes before all others; rows
-    with equal id and text count as one document and keep the same lines. Other columns are passed on unread, whatever their names, except that
-    names starting with ``_line_`` are taken. No rows in, no rows out. A line that many documents hold is one row after the first,
-    pre-aggregated step. ``small`` is the row bound of a broadcast table; beyond it the join is shuffled.
+    with equal id and text count as one document and keep the same lines. Other columns are passed on unread. No rows in, no rows out. A line
+    that many documents hold is one row after the first, pre-aggregated step. ``small`` is the row bound of a broadcast
+    table; beyond it the join is shuffled.
     """
+    docs = docs.drop(*names)
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     lines = materialize(_lines(given), "lines")
     firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.first("bands").alias("bands"))
@@ -212,19 +211,17 @@ def dedup_lines(
     roots = materialize(_classes(distinct, given, similarity, small), "classes")
     rooted = distinct.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
     kept = rooted.groupBy(F.coalesce("root", "id").alias("class")).agg(F.min("first").alias("first"))
-    kept = kept.groupBy(F.col("first.doc_id").alias("_line_doc"), F.col("first.key").alias("_line_key")).agg(
-        F.sort_array(F.collect_list("first.at")).alias("_line_kept")
+    of, key, places, parts = fresh(docs, "_of", "_key", "_places", "_parts")
+    kept = kept.groupBy(F.col("first.doc_id").alias(of), F.col("first.key").alias(key)).agg(
+        F.sort_array(F.collect_list("first.at")).alias(places)  # of one document, which bounds it
     )
-    kept = materialize(kept, "kept")
-    same = F.col(id_col).eqNullSafe(F.col("_line_doc")) & (F.xxhash64(text_col) == F.col("_line_key"))
-    joined = docs.join(bounded_broadcast(kept, small), same, "left")
-    parts = F.split(text_col, "\n")
+    joined = matching(docs, materialize(kept, "kept"), "left", id_col, text_col)
     worded = F.size(F.filter(parts, lambda x: F.translate(x, _BLANK, "") != ""))
-    text = F.concat_ws("\n", F.transform(F.coalesce("_line_kept", F.array().cast("array<int>")), lambda i: F.get("_line_parts", i)))
+    text = F.concat_ws("\n", F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.get(parts, i)))
     return (
-        joined.withColumn("_line_parts", parts)
-        .withColumn("_n_lines", F.coalesce(worded, F.lit(0)).cast("bigint"))
-        .withColumn("_n_kept", F.coalesce(F.size("_line_kept"), F.lit(0)).cast("bigint"))
+        joined.withColumn(parts, F.split(text_col, "\n"))
+        .withColumn(names[0], F.coalesce(worded, F.lit(0)).cast("bigint"))
+        .withColumn(names[1], F.coalesce(F.size(places), F.lit(0)).cast("bigint"))
         .withColumn(text_col, F.when(F.col(text_col).isNotNull(), text))
-        .drop("_line_doc", "_line_key", "_line_kept", "_line_parts")
+        .drop(places, parts)
     )

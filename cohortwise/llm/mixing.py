@@ -81,7 +81,8 @@ def mixture(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=(5, 2, 1), budget: float = 1.5, repeats: float = 2.0, schedules=None, seed=7,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, copies, taken, first_at, place, done``.
+    """One row per input row: ``doc_id, source, size, source_size, target, copies, taken, first_at, text_key``, and what
+    ``training_order`` needs.
 
     ``size`` counts the words of the whole text, ``copies`` how often the mix takes the document,
     ``taken = size * copies``. A source is passed in a seeded order; whole passes are taken while
@@ -91,16 +92,17 @@ def mixture(
 
     A null text or one without words has size 0 (it takes part as often as the words around it).
     A null source is a source of its own, the last one. Null and repeated ids are
-    allowed: every row counts. Ties of the seeded order go by id, then size. No rows in, no rows out.
+    allowed: every row counts. Ties of the seeded order go by id, size, text. No rows in, no rows out.
     Other columns are not read. Nothing is sorted per source: sums run over range partitions.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("text_key"),
         F.substring(hash_key(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 16).alias("key"),
     )
     sized = materialize(rows, "sizes")
     targets = materialize(source_targets(sized.select("source", "size"), weights, budget, repeats), "targets")
-    upto = ordered_running_sums(sized, ["source", "key", "doc_id", "size"], {"size": "upto"})
+    upto = ordered_running_sums(sized, ["source", "key", "doc_id", "size", "text_key"], {"size": "upto"})
     running = materialize(upto, "running")
     starts = running.groupBy("source").agg(F.min(F.col("upto") - F.col("size")).alias("start"))
     per_source = starts.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -117,7 +119,7 @@ def mixture(
         .withColumn("copies", (F.col("whole") + partial.cast("bigint")))
         .withColumn("taken", F.col("size") * F.col("copies"))
         .withColumn("first_at", F.when((F.col("copies") > 0) & (F.col("target") > 0), due_time(middle, F.col("place"), schedules)))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "first_at", "place", "done", "key")
+        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "first_at", "text_key", "place", "done", "key")
     )
 
 
@@ -131,4 +133,4 @@ def training_order(mixed: DataFrame, schedules=None) -> DataFrame:
     before = (F.col("pass") - 1) * F.col("source_size") + F.col("done") - F.col("size") / 2.0
     at = F.when(F.col("target") > 0, due_time(before / F.col("target"), F.col("place"), schedules)).otherwise(F.lit(0.0))
     timed = copies.withColumn("at", at)
-    return ordered_index(timed, ["at", "source", "key", "doc_id", "pass"], "position")
+    return ordered_index(timed, ["at", "source", "key", "doc_id", "text_key", "pass"], "position")

@@ -91,7 +91,7 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, folder, "documents"))
+    return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUALITY_SQL = r"""
@@ -159,7 +159,7 @@ def toxicity_score(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_line_dedup")
 def line_dedup_texts(spark: SparkSession, folder: str) -> DataFrame:
     docs = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_kept").alias("n_kept"), "text")
+    return docs.select("doc_id", "n_lines", "n_kept", "text")
 
 
 @query("op9_decontamination")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.llm.arrow import map_columns
 from cohortwise.llm.components import components
+from cohortwise.llm.rows import distinct_rows, fresh, matching
 from cohortwise.llm.words import word_bytes
 from cohortwise.session import materialize
 
@@ -49,14 +50,14 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fingerprint) per row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, key, fingerprint) per row; ``key`` is the hash of the text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {"doc_id": batch["doc_id"], "fingerprint": [fingerprint(t, width) for t in batch["text"]]}
+            yield {"doc_id": batch["doc_id"], "key": batch["key"], "fingerprint": [fingerprint(t, width) for t in batch["text"]]}
 
-    return map_columns(rows, kernel, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint bigint")
+    return map_columns(rows, kernel, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, fingerprint bigint")
 
 
 def _ring_shards(bits: Column, block: int) -> Column:
@@ -151,10 +152,11 @@ def near_pairs(prints: DataFrame, apart: int = BITS_APART, block: int = 8, room:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, apart: int = BITS_APART
 ) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint, component_id``.
+    """One row per input row: ``doc_id, fingerprint, component_id, key, class``.
 
     The fingerprint has 16 lower-case hex digits, the component is the smallest id that can be reached over
-    fingerprints at most ``apart`` bits apart, the document itself included. Equal fingerprints are searched once,
+    fingerprints at most ``apart`` bits apart, the document itself included; ``class`` names the component by its
+    smallest fingerprint and ``key`` is the hash of the text. Equal fingerprints are searched once,
     however many documents share one.
 
     A null or empty text, or one without words, has fingerprint zero and is linked like any other. Fewer words than
@@ -169,7 +171,24 @@ def near_duplicates(
     )
     rooted = materialize(rooted, "roots")
     smallest = rooted.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
-    classes = materialize(rooted.join(smallest, F.col("root") == F.col("of")).select("x", "component_id"), "classes")
+    classes = materialize(rooted.join(smallest, F.col("root") == F.col("of")).select("x", "component_id", "root"), "classes")
     return given.join(classes, F.col("fingerprint") == F.col("x")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id", "key",
+        F.col("root").alias("class"),
     )
+
+
+def one_per_class(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, apart: int = BITS_APART
+) -> DataFrame:
+    """``docs`` with one row of each class of ``near_duplicates``: the smallest id, then the smallest hash of the text.
+
+    Null ids come last; of rows that agree in id and text one stays. All columns are passed on unread, whatever their names.
+    """
+    classes = materialize(near_duplicates(docs, id_col, text_col, width, apart).select("doc_id", "key", "class"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = classes.groupBy(F.col("class").alias("of")).agg(F.min(order).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    others = classes.join(first, F.col("class") == F.col("of")).filter(~stays).select("doc_id", "key").distinct()
+    gone = materialize(others.toDF(*fresh(docs, "_of", "_key")), "gone")
+    return distinct_rows(matching(docs, gone, "left_anti", id_col, text_col), id_col, text_col)
