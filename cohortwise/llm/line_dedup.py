@@ -14,28 +14,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.arrow import map_columns
+from cohortwise.llm.arrow import map_arrays, map_columns
 from cohortwise.llm.components import components
 from cohortwise.llm.rows import bounded_broadcast, fresh, matching
 from cohortwise.session import materialize
 
 SHINGLE = 7
-BANDS, ROWS = 12, 4  # at a similarity of 0.8 a pair meets in one band with 99.8 %, at 0.9 with 99.9999 %
+BANDS, ROWS = 10, 4  # at a similarity of 0.8 a pair meets in one band with 99.5 %, at 0.9 with 99.999 %
 _BLANK = " \t\n\x0b\x0c\r"
 _CHUNK = 1 << 18
 _DRAWS = np.random.default_rng(2024)
 _SLOPES = _DRAWS.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _SHIFTS = _DRAWS.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
-_FOLD = np.uint32(0x9E3779B1)
+_FOLD, _STEP = np.uint32(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(line: str) -> set[str]:
-    """The character shingles of a line; a shorter line is one."""
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def shingles(line: str) -> np.ndarray:
+    """The character shingles of a line as sorted distinct 64-bit codes; a shorter line is one shingle."""
+    points = np.frombuffer(line.ljust(SHINGLE, "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points) - SHINGLE + 1
+    codes = points[:n].copy()
+    for i in range(1, SHINGLE):
+        codes *= _STEP
+        codes += points[i : i + n]
+    return np.unique(codes)
 
 
-def jaccard(a: set[str], b: set[str]) -> float:
-    both = len(a & b)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
@@ -117,79 +123,165 @@ def _batch_lines(batch: dict) -> Iterator[dict]:
 
 
 def _stars(distinct: DataFrame) -> DataFrame:
-    """(bucket, rep, member): every further line of a bucket with the bucket's first. Buckets pass as a sorted stream."""
+    """(bucket, rep, member): every further line of a bucket with the bucket's first in an order drawn for it.
+
+    Buckets pass as a sorted stream. Other buckets draw other orders, so a line meets several lines that speak for a bucket.
+    """
     bucket = F.shiftleft(F.col("band").cast("bigint"), 32).bitwiseOR(F.col("band_key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
     dealt = distinct.select("id", F.posexplode("bands").alias("band", "band_key")).select(bucket.alias("bucket"), "id")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "id")
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("bucket", "id"))
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         last, rep = None, 0
         for batch in batches:
-            bucket, ids = np.array(batch["bucket"], np.int64), np.array(batch["id"], np.int64)
+            bucket, ids = batch["bucket"], batch["id"]
             if not len(ids):
                 continue
             fresh = np.r_[last is None or bucket[0] != last, bucket[1:] != bucket[:-1]]
             owner = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), -1))
             reps = np.where(owner >= 0, ids[np.maximum(owner, 0)], rep)
             last, rep = bucket[-1], int(reps[-1])
-            yield {"bucket": bucket[~fresh].tolist(), "rep": reps[~fresh].tolist(), "member": ids[~fresh].tolist()}
+            yield {"bucket": bucket[~fresh], "rep": reps[~fresh], "member": ids[~fresh]}
 
-    return map_columns(ordered, kernel, "bucket bigint, rep bigint, member bigint")
+    return map_arrays(ordered, kernel, "bucket bigint, rep bigint, member bigint")
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, similarity: float, small: int) -> DataFrame:
-    """The pairs (a, b) whose lines are at least ``similarity`` alike, by their exact shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = materialize(distinct.join(ids, "id").select("id", F.col("first.doc_id").alias("of"), F.col("first.key").alias("of_key"),
-                                                        F.col("first.at").alias("of_at")), "wanted")
+def _texts(ids: DataFrame, distinct: DataFrame, docs: DataFrame, small: int) -> DataFrame:
+    """(id, line) of the given distinct lines, read from the documents where they occur first."""
+    first = [F.col(f"first.{n}").alias(f"of_{n}") for n in ("doc_id", "key", "at")]
+    wanted = materialize(distinct.join(ids, "id").select("id", *first), "wanted")
     lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")) & (F.col("at") == F.col("of_at"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("key") == F.col("of_key")) & (F.col("at") == F.col("of_at"))
     found = lines.join(bounded_broadcast(wanted, small), same).select("id", F.trim("line", F.lit(_BLANK)).alias("line"))
-    texts = materialize(found.dropDuplicates(["id"]), "texts")
-    left, right = texts.toDF("a", "line_a"), texts.toDF("b", "line_b")
-    both = pairs.join(left, "a").join(right, "b")
+    return found.dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose lines are at least ``similarity`` alike, by their exact shingle sets."""
+    both = pairs.join(texts.toDF("b", "line_b"), "b").join(texts.toDF("a", "line_a"), "a")
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
-        last, sets = None, set()
+        sets: dict[int, np.ndarray] = {}
         for batch in batches:
             kept = []
-            for i, (a, x, y) in enumerate(zip(batch["a"], batch["line_a"], batch["line_b"])):
-                if a != last:
-                    last, sets = a, shingles(x)
-                if jaccard(sets, shingles(y)) >= similarity:
+            for i, ends in enumerate(zip(*[zip(batch[e], batch[f"line_{e}"]) for e in "ab"])):
+                if len(sets) > 1_000:
+                    sets.clear()
+                for end, line in ends:
+                    if end not in sets:
+                        sets[end] = shingles(line)
+                if jaccard(*[sets[end] for end, _ in ends]) >= similarity:
                     kept.append(i)
             yield {"a": [batch["a"][i] for i in kept], "b": [batch["b"][i] for i in kept]}
 
     return map_columns(both.select("a", "b", "line_a", "line_b"), kernel, "a bigint, b bigint")
 
 
-def _classes(distinct: DataFrame, docs: DataFrame, similarity: float, small: int) -> DataFrame:
+def _settled(members: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the lines (cluster, id, bands, line) that are similar to another, cluster by cluster.
+
+    A line is compared with its bucket mates before it, class by class, and with no more of a class once it is
+    linked to it. The root is the smallest id of the class. A cluster is held by one task, so its size must be bounded.
+    """
+    ordered = members.repartition("cluster").sortWithinPartitions("cluster", "id")
+
+    def classes_of(ids: list[int], bands: list[list[int]], lines: list[str]) -> Iterator[tuple[int, int]]:
+        sets, parent = [shingles(x) for x in lines], list(range(len(ids)))
+        buckets: dict[tuple[int, int], list[int]] = {}
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, keys in enumerate(bands):
+            mates = {j: None for at in enumerate(keys) for j in buckets.get(at, ())}
+            for j in mates:
+                a, b = root(i), root(j)
+                if a != b and jaccard(sets[i], sets[j]) >= similarity:
+                    parent[max(a, b)] = min(a, b)
+            for at in enumerate(keys):
+                buckets.setdefault(at, []).append(i)
+        sizes: dict[int, int] = {}
+        for i in range(len(ids)):
+            sizes[root(i)] = sizes.get(root(i), 0) + 1
+        return ((ids[i], ids[root(i)]) for i in range(len(ids)) if sizes[root(i)] > 1)
+
+    def kernel(batches: Iterator[dict]) -> Iterator[dict]:
+        cluster, held = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*[batch[n] for n in ("cluster", "id", "bands", "line")]):
+                if held and row[0] != cluster:
+                    found += classes_of(*zip(*held))
+                    held = []
+                cluster = row[0]
+                held.append(row[1:])
+            yield {"node": [f[0] for f in found], "root": [f[1] for f in found]}
+        if held:
+            found = list(classes_of(*zip(*held)))
+            yield {"node": [f[0] for f in found], "root": [f[1] for f in found]}
+
+    return map_columns(ordered.select("cluster", "id", "bands", "line"), kernel, "node bigint, root bigint")
+
+
+def _settled_in_rounds(stars: DataFrame, texts: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """The same for clusters of any size, by joins.
+
+    Every bucket's lines are compared with one of them. Where they are then in several classes still, those outside its class are compared with
+    another one, ``rounds`` times. In buckets that are open even then, all lines of different classes are compared: no pair of
+    bucket mates is left open, and a bucket of many near copies costs a few passes.
+    """
+    members = materialize(stars.select("bucket", F.explode(F.array("rep", "member")).alias("id")).distinct(), "members")
+    pairs = stars.select(F.col("rep").alias("a"), F.col("member").alias("b")).distinct()
+    links = materialize(_verified(pairs, texts, similarity), "links")
+    for turn in range(rounds + 1):
+        roots = materialize(components(links, "lines"), "roots")
+        classed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        speaker = F.min_by(F.struct("id", "root"), F.xxhash64(F.lit(turn), "bucket", "id")).alias("speaker")
+        classed = materialize(classed, "classed")
+        split = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), speaker)
+        still = materialize(classed.join(split.filter("low != high and n > 2"), "bucket"), "open")
+        if still.isEmpty():
+            return roots
+        if turn < rounds:
+            met = still.filter("root != speaker.root").select(F.least("id", "speaker.id").alias("a"), F.greatest("id", "speaker.id").alias("b"))
+        else:
+            a, b = still.select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a")), still.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
+            met = a.join(b, "bucket").filter("a < b and root_a != root_b").select("a", "b")
+        links = links.unionByName(materialize(_verified(met.distinct(), texts, similarity), "links"))
+    return components(links, "lines")
+
+
+MOST_LINES, MOST_CHARS = 20_000, 8_000_000  # of a cluster that one task may hold
+
+
+def _classes(distinct: DataFrame, docs: DataFrame, similarity: float, small: int, most: tuple[int, int]) -> DataFrame:
     """(node, root) of the distinct lines that are similar to another.
 
-    First every bucket's lines are compared with its first line. Then, in buckets whose lines are still in several classes, all
-    lines of different classes are compared: no pair of bucket mates is left open, and a bucket of copies costs one pass.
+    Lines that share buckets, directly or through others, are a cluster, and every class lies inside one. Clusters up to ``most``
+    lines and characters are settled by one task each, larger ones in rounds of joins; both compare the same pairs.
     """
     stars = materialize(_stars(distinct), "stars")
-    tested = materialize(stars.select(F.col("rep").alias("a"), F.col("member").alias("b")).distinct(), "pairs")
-    links = materialize(_verified(tested, distinct, docs, similarity, small), "links")
-    roots = materialize(components(links, "lines"), "roots")
-    members = stars.select("bucket", F.explode(F.array("rep", "member")).alias("id")).distinct()
-    classed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    classed = materialize(classed, "members")
-    open_buckets = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-    still = materialize(classed.join(open_buckets.filter("low != high and n > 2").select("bucket"), "bucket"), "open")
-    a, b = still.toDF("bucket", "a", "root_a"), still.toDF("bucket", "b", "root_b")
-    cross = a.join(b, "bucket").filter("a < b and root_a != root_b").select("a", "b").distinct()
-    rest = materialize(cross.join(tested, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return roots
-    more = _verified(rest, distinct, docs, similarity, small)
-    return components(materialize(links.unionByName(more), "links"), "lines")
+    clusters = materialize(components(stars.select(F.col("rep").alias("a"), F.col("member").alias("b")), "clusters"), "clusters")
+    clusters = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    texts = materialize(_texts(clusters.select("id"), distinct, docs, small), "texts")
+    sizes = texts.select("id", F.length("line").alias("chars")).join(clusters, "id").groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")
+    )
+    crowded = materialize(sizes.filter((F.col("n") > most[0]) | (F.col("chars") > most[1])).select("cluster"), "crowded")
+    members = texts.join(clusters, "id").join(distinct.select("id", "bands"), "id").join(crowded, "cluster", "left_anti")
+    settled = _settled(members, similarity)
+    if crowded.isEmpty():
+        return settled
+    large = stars.join(clusters.withColumnRenamed("id", "rep"), "rep").join(crowded, "cluster").select("bucket", "rep", "member")
+    return settled.unionByName(_settled_in_rounds(materialize(large, "large"), texts, similarity))
 
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, names=("n_lines", "n_kept"),
-    small: int = 500_000,
+    small: int = 500_000, most: tuple[int, int] = (MOST_LINES, MOST_CHARS),
 ) -> DataFrame:
     """``docs`` with fewer lines: of every class of similar lines only the first occurrence stays.
 
@@ -201,14 +293,14 @@ def dedup_lines(
     A null text stays null, a text whose lines all go becomes empty; no row goes. A null id comes before all others; rows
     with equal id and text count as one document and keep the same lines. Other columns are passed on unread. No rows in, no rows out. A line
     that many documents hold is one row after the first, pre-aggregated step. ``small`` is the row bound of a broadcast
-    table; beyond it the join is shuffled.
+    table; beyond it the join is shuffled. ``most`` bounds the lines and characters that one task settles alone.
     """
     docs = docs.drop(*names)
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     lines = materialize(_lines(given), "lines")
     firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.first("bands").alias("bands"))
     distinct = materialize(firsts.select(F.monotonically_increasing_id().alias("id"), "first", "bands"), "distinct")
-    roots = materialize(_classes(distinct, given, similarity, small), "classes")
+    roots = materialize(_classes(distinct, given, similarity, small, most), "classes")
     rooted = distinct.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
     kept = rooted.groupBy(F.coalesce("root", "id").alias("class")).agg(F.min("first").alias("first"))
     of, key, places, parts = fresh(docs, "_of", "_key", "_places", "_parts")
@@ -216,7 +308,7 @@ def dedup_lines(
         F.sort_array(F.collect_list("first.at")).alias(places)  # of one document, which bounds it
     )
     joined = matching(docs, materialize(kept, "kept"), "left", id_col, text_col)
-    worded = F.size(F.filter(parts, lambda x: F.translate(x, _BLANK, "") != ""))
+    worded = F.size(F.filter(parts, lambda x: F.ltrim(x, F.lit(_BLANK)) != ""))
     text = F.concat_ws("\n", F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.get(parts, i)))
     return (
         joined.withColumn(parts, F.split(text_col, "\n"))

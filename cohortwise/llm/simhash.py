@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.arrow import map_columns
+from cohortwise.llm.arrow import map_arrays, map_columns
 from cohortwise.llm.components import components
 from cohortwise.llm.rows import distinct_rows, fresh, matching
 from cohortwise.llm.words import word_bytes
@@ -95,7 +95,7 @@ def _pairs(shards: DataFrame, apart: int, room: int | None) -> DataFrame:
         wide = None  # the shard that has already outgrown its room
         for batch in _with_end(batches):
             if batch is not None:
-                left = tuple(np.concatenate([o, np.asarray(batch[n], np.int64)]) for o, n in zip(left, ("shard", "x")))
+                left = tuple(np.concatenate([o, batch[n]]) for o, n in zip(left, ("shard", "x")))
             shard, x = left
             if not len(shard):
                 continue
@@ -126,7 +126,7 @@ def _pairs(shards: DataFrame, apart: int, room: int | None) -> DataFrame:
             b = np.concatenate([t for _, t in found[1:]]) if len(found) > 1 else np.empty(0, np.int64)
             yield {"a": a.tolist(), "b": [None] * len(found[0][0]) + b.tolist()}
 
-    return map_columns(ordered, kernel, "a bigint, b bigint").distinct()
+    return map_arrays(ordered, kernel, "a bigint, b bigint").distinct()
 
 
 def _with_end(batches: Iterator[dict]) -> Iterator[dict | None]:
