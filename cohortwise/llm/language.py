@@ -103,22 +103,24 @@ def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def fit_language_filter(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", members: int = 6_000, bits: int = 17,
-    fit_rows: int = 4_000, max_languages: int = 1_024, seed: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", members: int = 6_000,
+    bits: int = 17, fit_rows: int = 4_000, max_languages: int = 1_024, seed: int = 3,
 ) -> LanguageFilter:
     """The filter of the ``members`` n-grams that most documents of each language hold.
 
-    About ``fit_rows`` seeded rows per language are read (all of a smaller one); n-grams are counted by document inside the
+    About ``fit_rows`` rows per language, drawn by a hash of id and text, are read (all of a smaller one); n-grams are counted by document inside the
     partitions and summed. The table has ``2 ** bits`` slots, and the bits it takes grow only with the
     number of languages, which may be ``max_languages`` at most. Languages stand by rows, then name: this
     order breaks ties. Rows with a null language are left out.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.filter(F.col(lang_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
+    )
     counted = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     known = counted.orderBy(F.col("n").desc(), "lang").limit(max_languages + 1).collect()
     if len(known) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(1 << 20))
     rates = counted.select(F.col("lang").alias("of"), (F.lit(float(fit_rows << 20)) / F.col("n")).alias("rate"))
     sample = rows.join(rates, F.col("lang") == F.col("of")).filter(draw < F.col("rate")).select("lang", "text")
 

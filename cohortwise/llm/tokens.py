@@ -60,7 +60,9 @@ def count_text(text: str, pattern, lengths: PreTokenLengths, specials: list[str]
     return sum(map(lengths.__getitem__, pattern.findall(text)))
 
 
-def frequent_pretokens(docs: DataFrame, text_col: str, tokenizer_path: str, entries: int, sample_rows: int, seed: int) -> dict[str, int]:
+def frequent_pretokens(
+    docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, entries: int, sample_rows: int, seed: int
+) -> dict[str, int]:
     """Lengths of the most frequent pre-tokens of about ``sample_rows`` seeded rows.
 
     Each sampled partition sends its ``entries`` most frequent at most. Which ones are found only
@@ -68,7 +70,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str, tokenizer_path: str, entr
     """
     total = docs.count()
     share = min(1.0, sample_rows / max(total, 1))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(text_col)), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 20))
     sample = docs.filter(draw < int(share * (1 << 20)) + 1).select(F.col(text_col).alias("text"))
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
@@ -100,7 +102,7 @@ def token_counts(
     A null text is empty: 0 bytes, 0 tokens. Null and repeated ids keep their rows. Other columns
     are not read. No rows in, no rows out. The file at ``tokenizer_path`` must be there on every executor.
     """
-    lengths = frequent_pretokens(docs, text_col, tokenizer_path, entries, sample_rows, seed)
+    lengths = frequent_pretokens(docs, id_col, text_col, tokenizer_path, entries, sample_rows, seed)
     table = docs.sparkSession.sparkContext.broadcast(lengths)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
