@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.llm import chat, decontaminate, language, line_dedup, mixing, quality_model, quality_rules, simhash, tokens, toxicity
-from cohortwise.llm.labelled import held_out, labelled_rows
+from cohortwise.llm.labelled import held_out, labelled_rows, labelled_sample
 from cohortwise.llm.registry import ORACLES, QUERIES, query
 from cohortwise.sources.tables import table
 
@@ -150,8 +150,8 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_toxicity")
 def toxicity_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    seen = labelled_rows(docs, table(spark, folder, "labels"), "doc_id", "text", "toxic")
-    model = toxicity.fit_toxicity(seen.filter(~held_out("doc_id", 4, 2)))
+    labels = table(spark, folder, "labels").filter(~held_out("doc_id", 4, 2))
+    model = toxicity.fit_toxicity(labelled_sample(docs, labels, "toxic", {0: 8_000, 1: 4_000}))
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", "worst_word")
 

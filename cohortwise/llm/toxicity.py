@@ -12,17 +12,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.arrow import map_columns
-from cohortwise.llm.labelled import bounded_sample
 from cohortwise.session import materialize
 
 DECAY, REACH = 0.6, 5  # weight per character spanned, widest span of a subsequence
-NEAR = 0.35  # kernels that surely stay below this with all toxic landmarks count as none
+NEAR = 0.42  # kernels that surely stay below this with all toxic landmarks count as none
+LEAST_TELLING = 20.0
 SPAN = 20  # characters of a span; longer words are cut into overlapping ones
 _BITS = 18
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -33,7 +34,7 @@ _MIX, _STEP = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 def words_of(text: str) -> list[str]:
     """The words of a text, and every run of three or more words of one or two characters as one word more."""
     words = text.split()
-    short = np.fromiter((len(w) <= 2 for w in words), bool, len(words))
+    short = np.fromiter(map(len, words), np.int64, len(words)) <= 2
     edges = np.flatnonzero(np.diff(np.r_[False, short, False].astype(np.int8)))
     runs = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a > 2]
     return words + ["".join(words[a:b]) for a, b in runs] if runs else words
@@ -175,10 +176,10 @@ class WordMargins(dict):
     def evidence(self, texts: list[str | None]) -> list[tuple[list[float], str]]:
         """Per text 1, the two worst margins, the logarithm of one plus the bad words, and the worst word."""
         parted = [words_of((t or "").lower()) for t in texts]
-        missing = {w for words in parted for w in words if w not in self}
+        missing = set(chain.from_iterable(parted)).difference(self)
         if len(self) + len(missing) > self.room:
             self.clear()
-            missing = {w for words in parted for w in words}
+            missing = set(chain.from_iterable(parted))
         missing = list(missing)
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
@@ -231,22 +232,23 @@ def _obfuscated(span: str) -> list[str]:
 
 
 def fit_toxicity(
-    rows: DataFrame, toxic_rows: int = 4_000, clean_rows: int = 8_000, positives: int = 96, negatives: int = 96,
-    train_sentences: int = 4_000, passes: int = 20, penalty: float = 1e-4, seed: int = 23,
+    sample: DataFrame, positives: int = 96, negatives: int = 96, train_sentences: int = 4_000, passes: int = 20,
+    penalty: float = 1e-4, seed: int = 23,
 ) -> ToxicityModel:
-    """Train on rows (doc_id, text, label), label 1 toxic; about ``toxic_rows`` and ``clean_rows`` of them, drawn by a hash.
+    """Train on rows (doc_id, text, label), label 1 toxic: a bounded, written sample as ``labelled_sample`` gives it.
 
-    Suspect spans are those that at least three toxic documents hold and that are ten times as frequent there. The
-    ``positives`` most telling ones and the ``negatives`` clean spans nearest to them are the landmarks. The machine minimises the
+    Suspect spans are those that at least three toxic documents hold, that are ten times as frequent there, and whose
+    likelihood ratio statistic is beyond chance for a vocabulary of millions. The ``positives`` most telling ones and the ``negatives`` clean spans nearest to them are the landmarks. The machine minimises the
     hinge loss over at most ``train_sentences`` sentences per label; toxic ones also with an inserted character.
     Without suspects, as without rows, every document gets the share of toxic rows (0 without rows) as its score.
     """
-    sample = materialize(bounded_sample(rows, {1: toxic_rows, 0: clean_rows}, seed), "toxic")
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = seen.get(1, 0), seen.get(0, 0)
     counts = materialize(_span_counts(sample), "spans")
-    telling = F.col("toxic") * F.log((F.col("toxic") / max(toxic, 1)) / ((F.col("clean") + 0.5) / max(clean, 1)))
-    often = (F.col("toxic") >= 3) & (F.col("toxic") * max(clean, 1) >= 10 * (F.col("clean") + 0.5) * max(toxic, 1))
+    seen_share = (F.col("toxic") + F.col("clean")) / max(toxic + clean, 1)
+    surprise = lambda n, total: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (seen_share * total))).otherwise(0.0)
+    telling = 2 * (surprise("toxic", toxic) + surprise("clean", clean))
+    often = (F.col("toxic") >= 3) & (F.col("toxic") * max(clean, 1) >= 10 * (F.col("clean") + 0.5) * max(toxic, 1)) & (telling >= LEAST_TELLING)
     suspects = [r["span"] for r in counts.filter(often).orderBy(telling.desc(), "span").limit(4 * positives).collect()]
     share = toxic / max(toxic + clean, 1)
     if not suspects or not clean:
