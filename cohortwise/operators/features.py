@@ -10,6 +10,7 @@ from cohortwise.operators.clean import fill_like_zero, present_columns
 from cohortwise.operators.ordering import ordered_index
 from cohortwise.session import materialize
 
+_MOST_KINDS = 10_000
 _WINDOWED_CATEGORIES = 100_000  # above this a dictionary is ranked by range partitions
 
 
@@ -38,18 +39,30 @@ def activity_totals(log: DataFrame, keys: list[str], activity: str, day: str, am
 
 
 def activity_wide(
-    log: DataFrame, keys: list[str], activity: str, day: str, amount: str, kinds: list[str]
+    log: DataFrame, keys: list[str], activity: str, day: str, amount: str, kinds: list[str] | None = None, rest: str | None = None
 ) -> DataFrame:
     """One row per key with total_clicks_<kind> and active_days_<kind>, zero where absent.
 
-    Straight from the day table, so the pivot costs no shuffle of its own.
+    Without ``kinds`` every kind of the data gets its columns. With them the schema is fixed, and rows of other kinds
+    (or none) are counted under the name ``rest``; if that is not given, such a row fails the job, so
+    none is lost unseen. Straight from the day table, so the pivot costs no shuffle of its own.
     """
-    days = activity_days(log, keys, activity, day, amount)
+    if kinds is None:
+        found = log.select(activity).distinct().limit(_MOST_KINDS + 1).collect()
+        if len(found) > _MOST_KINDS:
+            raise ValueError(f"more than {_MOST_KINDS} kinds make no columns")
+        kinds = sorted(r[0] for r in found if r[0] is not None)
+        rest = rest or ("none" if any(r[0] is None for r in found) else None)
+    listed = F.coalesce(F.col(activity).isin(*kinds), F.lit(False))
+    unlisted = F.lit(rest) if rest else F.raise_error(F.concat(F.lit("no column for kind "), F.coalesce(activity, F.lit("NULL"))))
+    days = activity_days(log, keys, activity, day, amount).withColumn("_kind", F.when(listed, F.col(activity)).otherwise(unlisted))
+    named = [*kinds, *([rest] if rest and rest not in kinds else [])]
     totals = [
-        F.coalesce(F.sum(F.when(F.col(activity) == k, F.col("_amount"))), F.lit(0.0)).alias(f"total_clicks_{k}")
-        for k in kinds
+        F.coalesce(F.sum(F.when(F.col("_kind") == k, F.col("_amount"))), F.lit(0.0)).alias(f"total_clicks_{k}") for k in named
     ]
-    counts = [F.count(F.when(F.col(activity) == k, F.col(day))).alias(f"active_days_{k}") for k in kinds]
+    counts = [F.count(F.when(F.col("_kind") == k, F.col(day))).alias(f"active_days_{k}") for k in kinds]
+    if len(named) > len(kinds):  # several kinds may share a day
+        counts.append(F.count_distinct(F.when(~listed, F.col(day))).alias(f"active_days_{rest}"))
     return days.groupBy(*keys).agg(*totals, *counts)
 
 

@@ -63,6 +63,8 @@ def consensus_similarity(matches: DataFrame, key: str, tolerance: float, hypothe
 
     votes = held.filter(miss("m") < tolerance).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
     best = materialize(votes.agg(F.max_by("m", F.struct(F.col("n"), -F.col("m.h"))).alias("m")), "consensus")
+    if best.first()["m"] is None:
+        raise ValueError("no two of the sampled points differ, or nothing fits within the tolerance")
     inliers = matches.select("x", "y", "u", "v").withColumn("m", best.scalar()).filter(miss("m") < tolerance)
     sums = inliers.agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyuv"],

@@ -68,44 +68,45 @@ def ordered_running_sums(df: DataFrame, order_cols: list[str], sums: dict[str, s
     )
 
 
-def kth_in_class(df: DataFrame, class_col: str, key: str, k: int, name: str, largest: bool = False) -> DataFrame:
-    """Per class the k-th smallest (or largest) key, or the last one of a shorter class.
+def first_in_class(df: DataFrame, class_col: str, order_cols: list[str], k: int, name: str) -> DataFrame:
+    """Per class the struct of ``order_cols`` of its k-th row in their order, or of the last row of a shorter class.
 
-    The rank filter is applied inside each input partition first, so a class costs at most
-    k rows per partition in the shuffle.
+    The rows are placed by range partitions over (class, order columns), so no class is sorted in one task,
+    whatever k is. Rows without a class take no part.
     """
-    direction = F.col(key).desc() if largest else F.col(key).asc()
-    ranked = df.select(class_col, key).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(class_col).orderBy(direction))
-    )
-    kept = ranked.filter(F.col("_rn") <= k)
-    pick = F.min(key) if largest else F.max(key)
-    return kept.groupBy(class_col).agg(pick.alias(name))
+    slim = df.filter(F.col(class_col).isNotNull()).select(class_col, *order_cols)
+    placed = ordered_index(slim, [class_col, *order_cols], "_at")
+    ends = placed.groupBy(class_col).agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    wanted = F.least(F.col("_low") + F.lit(k - 1), "_high")
+    ends = materialize(ends.select(class_col, wanted.alias("_wanted")), "ends")
+    found = placed.join(ends, class_col).filter(F.col("_at") == F.col("_wanted"))
+    return found.select(class_col, F.struct(*order_cols).alias(name))
 
 
-def fraction_thresholds(df: DataFrame, class_col: str, key: str, fraction: float, name: str) -> DataFrame:
-    """Per class the hash key below or at which exactly ceil(fraction * n) rows lie.
+def rank_bounds(df: DataFrame, class_col: str, key: str, ranks: list, name: str) -> DataFrame:
+    """Per class the hash keys at several one-based ranks, as an array in the order of ``ranks``.
 
-    A histogram on the key's first digits finds the digit group holding the wanted rank; only
-    that 1/65536 of the rows is ranked. No class is ever sorted as a whole.
+    A rank is a function of the class size, a column. A histogram on the key's first digits finds the digit
+    group of each rank; only those groups, 1/65536 of the rows each, are ranked. No class is ever sorted as a
+    whole. Rows without a class take no part.
     """
-    keyed = df.select(class_col, key).withColumn("_digits", F.substring(key, 1, 4))
+    keyed = df.filter(F.col(class_col).isNotNull()).select(class_col, key).withColumn("_digits", F.substring(key, 1, 4))
     bins = keyed.groupBy(class_col, "_digits").agg(F.count(F.lit(1)).alias("_n"))
     by_class = Window.partitionBy(class_col)
     upto = by_class.orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.sum("_n").over(by_class)
     located = (
-        bins.withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_rank", F.ceil(F.sum("_n").over(by_class) * F.lit(fraction)))
+        bins.select(class_col, "_digits", "_n", F.sum("_n").over(upto).alias("_upto"),
+                    F.array(*[r(size).cast("bigint") for r in ranks]).alias("_ranks"))
+        .select("*", F.posexplode("_ranks").alias("_which", "_rank"))
         .filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n")))
-        .select(class_col, "_digits", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+        .select(class_col, "_digits", "_which", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
     )
     near = keyed.join(materialize(located, "digits"), [class_col, "_digits"])
-    place = Window.partitionBy(class_col).orderBy(key)
-    return (
-        near.withColumn("_rn", F.row_number().over(place))
-        .filter(F.col("_rn") == F.col("_rank"))
-        .select(class_col, F.col(key).alias(name))
-    )
+    place = Window.partitionBy(class_col, "_digits", "_which").orderBy(key)
+    at = near.withColumn("_rn", F.row_number().over(place)).filter(F.col("_rn") == F.col("_rank"))
+    pairs = F.array_sort(F.collect_list(F.struct("_which", F.col(key).alias("_key"))))  # one per rank
+    return at.groupBy(class_col).agg(F.transform(pairs, lambda x: x["_key"]).alias(name))
 
 
 def seeded_positions(df: DataFrame, key: str, seed, name: str) -> DataFrame:

@@ -9,57 +9,65 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.seeded import hash_key, integer, uniform
 from cohortwise.functions.vectors import as_double
-from cohortwise.operators.ordering import fraction_thresholds, kth_in_class, seeded_positions
+from cohortwise.operators.ordering import first_in_class, rank_bounds, seeded_positions
 from cohortwise.session import materialize
 
 
-def positional_class_split(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
-    """The first k rows of each class in key order are ``train``, the rest ``test``.
+def positional_class_split(df: DataFrame, label: str, key: str, k: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Exactly the first k rows of each class in the order of ``key``, then ``ties``, are ``train``, the rest ``test``.
 
-    Only the k-th key per class is looked for; the rows themselves are compared, not sorted.
+    ``key`` and ``ties`` together tell the rows of a class apart. Rows without a label belong to no class: they
+    are ``unlabeled``. Only the k-th place per class is looked for; the rows themselves are compared, not sorted.
     """
-    bounds = materialize(kth_in_class(df, label, key, k, "_last"), "bounds")
-    return df.join(bounds, label).withColumn(
-        "split", F.when(F.col(key) <= F.col("_last"), "train").otherwise("test")
-    ).drop("_last")
+    order = [key, *ties]
+    bounds = materialize(first_in_class(df, label, order, k, "_last"), "bounds")
+    split = F.when(F.col(label).isNull(), "unlabeled").when(F.struct(*order) <= F.col("_last"), "train").otherwise("test")
+    return df.join(bounds, label, "left").withColumn("split", split).drop("_last")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2, seed=42) -> DataFrame:
-    """Exactly ceil(fraction * n) rows of each class, chosen by seeded hash, are ``test``."""
+    """Exactly ceil(fraction * n) rows of each class, chosen by seeded hash, are ``test``; rows without a label are ``unlabeled``."""
     keyed = df.withColumn("_hash", hash_key(seed, key))
-    bounds = materialize(fraction_thresholds(keyed, label, "_hash", fraction, "_bound"), "bounds")
-    return keyed.join(bounds, label).withColumn(
-        "split", F.when(F.col("_hash") <= F.col("_bound"), "test").otherwise("train")
-    ).drop("_hash", "_bound")
+    bounds = rank_bounds(keyed, label, "_hash", [lambda n: F.ceil(n * F.lit(fraction))], "_bound")
+    split = F.when(F.col(label).isNull(), "unlabeled").when(F.col("_hash") <= F.get("_bound", F.lit(0)), "test").otherwise("train")
+    return keyed.join(materialize(bounds, "bounds"), label, "left").withColumn("split", split).drop("_hash", "_bound")
 
 
 def labeled_split(
     df: DataFrame, label: str, key: str, per_class: int, validation: int = 0, overlap: bool = False, seed=42
 ) -> DataFrame:
-    """Seeded choice of labelled rows per class.
+    """Seeded choice of labelled rows per class; rows without a label are always ``unlabeled``.
 
     Disjoint form: the last ``validation`` rows of each class in seeded order are ``validation``,
     the remaining ones ``unlabeled``. Overlap form: every row is also listed as ``unlabeled``.
     """
     keyed = df.withColumn("_hash", hash_key(seed, key))
-    first = materialize(kth_in_class(keyed, label, "_hash", per_class, "_first"), "bounds")
-    tagged = keyed.join(first, label)
-    chosen = F.col("_hash") <= F.col("_first")
+    ranks = [lambda n: F.least(n, F.lit(per_class))]
+    if validation and not overlap:
+        ranks.append(lambda n: F.greatest(n - F.lit(validation - 1), F.lit(1)))
+    bounds = materialize(rank_bounds(keyed, label, "_hash", ranks, "_bound"), "bounds")
+    tagged = keyed.join(bounds, label, "left")
+    chosen = F.coalesce(F.col("_hash") <= F.get("_bound", F.lit(0)), F.lit(False))
     if overlap:
         labeled = tagged.filter(chosen).withColumn("part", F.lit("labeled"))
-        return labeled.unionByName(tagged.withColumn("part", F.lit("unlabeled"))).drop("_hash", "_first")
-    held = F.lit(False)
+        return labeled.unionByName(tagged.withColumn("part", F.lit("unlabeled"))).drop("_hash", "_bound")
+    part = F.when(chosen, "labeled")
     if validation:
-        last = materialize(kth_in_class(keyed, label, "_hash", validation, "_held", largest=True), "bounds")
-        tagged = tagged.join(last, label)
-        held = F.col("_hash") >= F.col("_held")
-    part = F.when(chosen, "labeled").when(held, "validation").otherwise("unlabeled")
-    return tagged.withColumn("part", part).drop("_hash", "_first", "_held")
+        part = part.when(F.col("_hash") >= F.get("_bound", F.lit(1)), "validation")
+    return tagged.withColumn("part", part.otherwise("unlabeled")).drop("_hash", "_bound")
 
 
-def fold_of(key: str, folds: int, seed=42):
-    """Cross-validation fold of a row as an expression."""
-    return integer(f"{seed}fold", 0, folds, key)
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int, name: str = "fold", seed=42) -> DataFrame:
+    """Add the cross-validation fold of each row: per class the seeded order cut into ``folds`` parts that differ by at most one row.
+
+    Rows without a label are in no fold, null.
+    """
+    keyed = df.withColumn("_hash", hash_key(f"{seed}fold", key))
+    ranks = [lambda n, i=i: F.ceil(n * F.lit(i) / F.lit(folds)) for i in range(1, folds)]
+    bounds = materialize(rank_bounds(keyed, label, "_hash", ranks, "_bound"), "bounds")
+    below = F.size(F.filter("_bound", lambda b: b < F.col("_hash")))
+    fold = F.when(F.col(label).isNotNull(), below).cast("int")
+    return keyed.join(bounds, label, "left").withColumn(name, fold).drop("_hash", "_bound")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:

@@ -9,6 +9,7 @@ from cohortwise.operators import evaluate, ordering, sampling, sequence
 from cohortwise.plans import data
 from cohortwise.plans.prepare import rule_metrics
 from cohortwise.plans.registry import query, r6, sql_hash
+from cohortwise.session import materialize
 from cohortwise.sources.tables import table
 
 
@@ -20,13 +21,25 @@ def positional_class_split(spark, folder):
 
 
 @query("positional_class_split_hot", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, CASE WHEN l_orderkey <= (
-  SELECT max(l_orderkey) FROM (SELECT l_returnflag AS f, l_orderkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey) AS rn FROM lineitem)
-  WHERE rn <= 100 AND f = l.l_returnflag) THEN 'train' ELSE 'test' END AS split FROM lineitem l""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, CASE WHEN row_number() OVER (
+  PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) <= 5000 THEN 'train' ELSE 'test' END AS split FROM lineitem""")
 def positional_class_split_hot(spark, folder):
-    """Three classes, each a third of the largest table; ties at the bound share its side."""
-    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    return sampling.positional_class_split(items, "l_returnflag", "l_orderkey", 100)
+    """Three classes, each a third of the largest table; ties of the order key are broken by further columns."""
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return sampling.positional_class_split(items, "l_returnflag", "l_orderkey", 5000, ties=("l_linenumber", "l_partkey", "l_suppkey"))
+
+
+@query("positional_class_split_missing", """
+SELECT doc_id, quality, CASE WHEN quality IS NULL THEN 'unlabeled' WHEN row_number() OVER (PARTITION BY quality ORDER BY doc_id) <= 20 THEN 'train' ELSE 'test' END AS split
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def positional_class_split_missing(spark, folder):
+    return sampling.positional_class_split(_some_labeled(spark, folder), "quality", "doc_id", 20)
+
+
+def _some_labeled(spark, folder):
+    """All documents; those without a label have a null one."""
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    return table(spark, folder, "documents").select("doc_id").join(labels, "doc_id", "left")
 
 
 def _labeled_sql(order: str) -> str:
@@ -50,6 +63,32 @@ def labeled_overlap_split(spark, folder):
     return sampling.labeled_split(vectors, "label", "vec_id", 4, overlap=True)
 
 
+@query("labeled_split_missing", f"""
+WITH r AS (SELECT doc_id, quality, row_number() OVER w AS rn, count(*) OVER (PARTITION BY quality) AS cnt
+  FROM documents LEFT JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY quality ORDER BY {sql_hash(42, 'doc_id')}))
+SELECT doc_id, quality, CASE WHEN quality IS NULL THEN 'unlabeled' WHEN rn <= 10 THEN 'labeled' WHEN rn > cnt - 5 THEN 'validation' ELSE 'unlabeled' END AS part FROM r""")
+def labeled_split_missing(spark, folder):
+    """Rows without a label are the unlabelled ones to begin with."""
+    return sampling.labeled_split(_some_labeled(spark, folder), "quality", "doc_id", 10, validation=5)
+
+
+@query("labeled_split_large", f"""
+SELECT o_orderkey, o_orderstatus, CASE WHEN rn <= 2500 THEN 'labeled' WHEN rn > cnt - 1500 THEN 'validation' ELSE 'unlabeled' END AS part FROM (
+  SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {sql_hash(42, 'o_orderkey')}) AS rn,
+    count(*) OVER (PARTITION BY o_orderstatus) AS cnt FROM orders)""")
+def labeled_split_large(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    return sampling.labeled_split(orders, "o_orderstatus", "o_orderkey", 2500, validation=1500)
+
+
+@query("stratified_split_missing", f"""
+WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {sql_hash(42, 'doc_id')}) AS rn, count(*) OVER (PARTITION BY quality) AS cnt
+  FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, quality, CASE WHEN quality IS NULL THEN 'unlabeled' WHEN rn <= ceil(0.2::DOUBLE * cnt) THEN 'test' ELSE 'train' END AS split FROM r""")
+def stratified_split_missing(spark, folder):
+    return sampling.stratified_split(_some_labeled(spark, folder), "quality", "doc_id")
+
+
 def _stratified_sql(tbl: str, key: str, label: str) -> str:
     return f"""
 SELECT {key}, {label}, CASE WHEN rn <= ceil(0.2::DOUBLE * cnt) THEN 'test' ELSE 'train' END AS split FROM (
@@ -79,6 +118,35 @@ def weighted_running_mean(spark, folder):
     return meter.withColumns({c: S.rounded(c) for c in ("val", "running_sum", "running_avg")})
 
 
+@query("weighted_running_mean_events", f"""
+SELECT event_type, ts, event_id, {r6('value')} AS val, round(sum(value * sqrt(value + 1)) OVER w, 3) AS running_sum, round(sum(sqrt(value + 1)) OVER w, 3) AS running_count,
+  {r6('sum(value * sqrt(value + 1)) OVER w / sum(sqrt(value + 1)) OVER w')} AS running_avg
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def weighted_running_mean_events(spark, folder):
+    """Along the raw events, a step each; larger values weigh more."""
+    events = table(spark, folder, "events").select("event_type", "ts", "event_id", "value", F.sqrt(F.col("value") + 1).alias("n"))
+    meter = sequence.weighted_running_mean(events, "event_type", ["ts", "event_id"], "value", "n")
+    sums = {c: F.round(c, 3) for c in ("running_sum", "running_count")}
+    return meter.withColumns(sums | {c: S.rounded(c) for c in ("val", "running_avg")})
+
+
+@query("running_best_events", f"""
+WITH p AS (SELECT event_type, ts, event_id, value, greatest(0.0, coalesce(max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS p FROM events)
+SELECT event_type, ts, event_id, {r6('value')} AS value, {r6('greatest(p, value)')} AS best, value > p AS is_best FROM p""")
+def running_best_events(spark, folder):
+    best = sequence.running_best(table(spark, folder, "events").select("event_type", "ts", "event_id", "value"), "event_type", ["ts", "event_id"], "value")
+    return best.withColumns({c: S.rounded(c) for c in ("value", "best")})
+
+
+@query("trailing_mean_events", f"""
+SELECT user_id, ts, event_id, {r6('value')} AS value, {r6('avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 19 PRECEDING)')} AS trailing_mean FROM events""")
+def trailing_mean_events(spark, folder):
+    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
+    mean = sequence.trailing_mean(events, "user_id", ["ts", "event_id"], "value", block=50)
+    return mean.withColumns({c: S.rounded(c) for c in ("value", "trailing_mean")})
+
+
 @query("running_best", f"""
 WITH {data.DAILY_SQL}, prev AS (SELECT *, greatest(0.0, coalesce(max(total) OVER (PARTITION BY event_type ORDER BY day
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS p FROM daily)
@@ -152,11 +220,14 @@ def seeded_shuffle(spark, folder):
     return ordering.seeded_positions(table(spark, folder, "events").select("event_id"), "event_id", 7, "position")
 
 
-@query("union_tagged", f"WITH {data.METRICS_SQL} SELECT model, metric, {r6('value')} AS value FROM met WHERE model IN ('Variety', 'Lines', 'Language') AND metric <> 'ROC AUC'")
+@query("union_tagged", f"WITH {data.METRICS_SQL} SELECT model, metric, {r6('value')} AS value FROM met")
 def union_tagged(spark, folder):
-    """The single-model path: metrics of each model on its own, tagged and put together."""
-    predictions = data.rule_predictions(spark, folder)
-    parts = {m: evaluate.model_metrics(predictions.filter(F.col("model") == m), "label", "prediction") for m in ("Variety", "Lines", "Language")}
+    """The single-model path: metrics of each model on its own, tagged and put together. The texts are measured once."""
+    predictions = materialize(data.rule_predictions(spark, folder), "predictions")
+    parts = {}
+    for name in [*data.RULES, "Language"]:
+        own = predictions.filter(F.col("model") == name)
+        parts[name] = evaluate.model_metrics(own, "label", "prediction", *(["score"] if name in data.RULES else []))
     return evaluate.tag_union(parts).withColumn("value", S.rounded("value"))
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def local_session(app: str = "cohortwise", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -43,12 +46,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside go at its end; results must be consumed or written before.
+
+    For long sessions: without a scope scratch tables stay until the application ends.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        jvm = spark.sparkContext._jvm
+        for path in paths:
+            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
+    """A fresh path in the shared folder, removed with the scope around it or when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/cohortwise/{tag}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 

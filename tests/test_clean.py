@@ -87,9 +87,10 @@ def test_cap_leaves_missing_and_low_values(spark):
 def test_entity_without_activity_and_unseen_kind(spark):
     log = spark.createDataFrame([(1, "quiz", 3, 2.0), (1, "quiz", 3, 4.0), (1, "quiz", 5, 1.0), (1, "other", 1, 9.0)],
                                 "id int, kind string, day int, clicks double")
-    wide = activity_wide(log, ["id"], "kind", "day", "clicks", ["quiz", "forum"])
+    wide = activity_wide(log, ["id"], "kind", "day", "clicks", ["quiz", "forum"], rest="rest")
     rows = {r["id"]: r for r in join_features(spark.createDataFrame([(1,), (2,)], "id int"), wide, ["id"]).collect()}
     assert (rows[1]["total_clicks_quiz"], rows[1]["active_days_quiz"], rows[1]["total_clicks_forum"]) == (7.0, 2, 0.0)
+    assert (rows[1]["total_clicks_rest"], rows[1]["active_days_rest"]) == (9.0, 1)
     assert (rows[2]["total_clicks_quiz"], rows[2]["active_days_forum"]) == (0.0, 0)
 
 
