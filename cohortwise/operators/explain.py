@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.seeded import hash_key, integer
+from cohortwise.operators.ordering import seeded_positions
+from cohortwise.session import materialize
 
 
 def linear_attribution(df: DataFrame, key: str, weights: dict[str, float], background: DataFrame | None = None) -> DataFrame:
@@ -41,24 +43,27 @@ def dependence(attributions: DataFrame, key: str, n: int = 3) -> DataFrame:
 
 
 def sampled_shapley(
-    model, rows: DataFrame, background: DataFrame, key: str, cols: list[str], permutations: int = 16, seed=42
+    model, rows: DataFrame, background: DataFrame, key: str, cols: list[str], permutations: int = 16, seed=42,
+    score=lambda df: df.withColumn("_score", vector_to_array("probability")[1]),
 ) -> DataFrame:
     """(key, feature, value, attribution, base, score) by permutation sampling.
 
-    ``rows`` and ``background`` are samples. For every row and permutation a background row is
+    ``rows`` and ``background`` are samples; ``score`` adds column ``_score`` to what the model made. For every row and permutation a background row is
     turned into the explained row one feature at a time; all steps are scored by the model in
     one distributed pass, and a feature gets the mean change of its step. The changes of a row
-    add up to its score minus the mean score of the background rows drawn for it.
+    add up to its score minus the mean score of the background rows drawn for it. The background is numbered in a seeded
+    order and the drawn numbers are joined, so it may be of any size.
     """
     d = len(cols)
-    packed = background.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("b"), hash_key(f"{seed}bg", key).alias("h"))
-    pool = packed.agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "b"))), lambda s: s["b"]).alias("p")).scalar()
+    known = rows.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    pool = background.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("b"))
+    pool = materialize(seeded_positions(pool, key, f"{seed}bg", "_place").select("_place", "b"), "pool")
+    size = pool.count()
     drawn = (
-        rows.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-        .withColumn("pool", pool)
-        .withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-        .withColumn("b", F.get("pool", F.pmod(integer(f"{seed}draw", 0, 1 << 30, key, "perm"), F.size("pool"))))
-        .drop("pool")
+        known.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+        .withColumn("_place", F.pmod(integer(f"{seed}draw", 0, 1 << 30, key, "perm"), F.lit(size)).cast("bigint") + 1)
+        .join(pool, "_place")
+        .drop("_place")
     )
     order = F.array_sort(F.array(*[F.struct(hash_key(f"{seed}f{j}", key, "perm").alias("h"), F.lit(j).alias("j")) for j in range(d)]))
     stepped = (
@@ -69,7 +74,7 @@ def sampled_shapley(
         key, "perm", "step", F.when(F.col("step") > 0, F.get("order", F.col("step") - 1)).alias("j"), "x",
         *[F.when(F.array_position("order", j) <= F.col("step"), F.col("x")[j]).otherwise(F.col("b")[j]).alias(c) for j, c in enumerate(cols)],
     )
-    scored = model.transform(mixed).select(key, "perm", "step", "j", "x", vector_to_array("probability")[1].alias("score"))
+    scored = score(model.transform(mixed)).select(key, "perm", "step", "j", "x", "_score").withColumnRenamed("_score", "score")
     along = Window.partitionBy(key, "perm").orderBy("step")
     changes = scored.withColumn("change", F.col("score") - F.lag("score").over(along))
     names = F.array(*[F.lit(c) for c in cols])

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -19,24 +22,26 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, PolynomialExpansion, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasOutputCol, HasOutputCols, HasPredictionCol
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from cohortwise.functions.vectors import as_double, euclidean
 from cohortwise.operators.aggregates import between_group_spread, group_means, group_mode, group_positive_rate
-from cohortwise.operators.sampling import fold_of
+from cohortwise.operators.sampling import stratified_folds
 from cohortwise.session import materialize, scratch_path
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """(label, n, weight): rows over classes times rows of the class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    """(label, n, weight): labelled rows over classes times rows of the class. A missing label is no class."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     whole = counts.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).alias("w")).scalar()
     return counts.withColumn("_w", whole).select(
         label, "n", (F.col("_w.n") / (F.col("_w.c") * F.col("n"))).alias("weight")
@@ -44,8 +49,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def add_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """Every row with the weight of its class, null where the label is missing."""
     weights = materialize(class_weights(df, label).select(label, F.col("weight").alias(name)), "weights")
-    return df.join(weights, label)
+    return df.join(weights, label, "left")
 
 
 class _Scale(HasInputCols, HasOutputCols):
@@ -93,14 +99,118 @@ def f1_of_positives(label: str) -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0, beta=1.0)
 
 
-def grid_search(df: DataFrame, estimator, grid: list, label: str, key: str, folds: int, parallelism: int = 4):
-    """Cross-validated grid search on seeded folds. The prepared rows are written once, so no
-    cell repeats the preparation and small data comes back as few partitions."""
-    foldable = materialize(df.withColumn("fold", fold_of(key, folds)), "folds")
-    return CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=f1_of_positives(label), numFolds=folds,
-        foldCol="fold", parallelism=parallelism,
-    ).fit(foldable)
+@dataclass
+class Search:
+    """A finished grid search: the mean score per cell and the best cell's pipeline on all rows."""
+
+    avgMetrics: list[float]
+    bestModel: PipelineModel
+
+
+def in_threads(spark: SparkSession, task, items: list) -> list:
+    """``task`` of every item, as many jobs at a time as there are cores; the driver only waits for them."""
+    run = inheritable_thread_target(spark)(task)
+    with ThreadPool(max(1, min(len(items), spark.sparkContext.defaultParallelism))) as pool:
+        return pool.map(run, items)
+
+
+ROWS_PER_TASK = 50_000
+
+
+def in_few_tasks(df: DataFrame) -> DataFrame:
+    """The rows in no more partitions than they fill: iterative fits pay per task and iteration."""
+    return df.coalesce(max(1, math.ceil(df.count() / ROWS_PER_TASK)))
+
+
+def fold_sides(df: DataFrame, prepare: list, label: str, key: str, folds: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Training and held-out side of every fold, both prepared by stages fitted on the training side and written once.
+
+    Folds are class-stratified; rows without a label take no part.
+    """
+    rows = in_few_tasks(materialize(stratified_folds(df.filter(F.col(label).isNotNull()), label, key, folds), "folds"))
+
+    def sides(fold: int) -> tuple[DataFrame, DataFrame]:
+        train, held = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
+        fitted = Pipeline(stages=prepare).fit(train)
+        return materialize(fitted.transform(train), "train"), materialize(fitted.transform(held), "held")
+
+    return in_threads(df.sparkSession, sides, list(range(folds)))
+
+
+def grid_search(df: DataFrame, prepare: list, estimator, grid: list, label: str, key: str, folds: int, fits=None, score=None) -> Search:
+    """Cross-validated grid search on seeded, class-stratified folds.
+
+    The rows of a fold are prepared once for all cells; cells and folds run side by side. Where one fit serves several cells, ``fits``
+    lists (parameters of the fit, its cells) and ``score`` gives a fitted model's score in each of those cells on the held-out rows.
+    """
+    spark = df.sparkSession
+    sides = fold_sides(df, prepare, label, key, folds)
+    evaluator = f1_of_positives(label)
+    fits = fits or [(cell, [i]) for i, cell in enumerate(grid)]
+    score = score or (lambda model, held, cells: [evaluator.evaluate(model.transform(held))])
+
+    def one(job: tuple[int, dict, list[int]]) -> list[tuple[int, float]]:
+        fold, params, cells = job
+        train, held = sides[fold]
+        return list(zip(cells, score(estimator.fit(train, params), held, cells)))
+
+    sums = [0.0] * len(grid)
+    for found in in_threads(spark, one, [(f, params, cells) for params, cells in fits for f in range(folds)]):
+        for cell, value in found:
+            sums[cell] += value / folds
+    best = max(range(len(grid)), key=lambda i: sums[i])
+    labelled = in_few_tasks(df.filter(F.col(label).isNotNull()))
+    whole = Pipeline(stages=prepare).fit(labelled)
+    final = estimator.fit(materialize(whole.transform(labelled), "whole"), grid[best])
+    return Search(sums, PipelineModel(stages=[*whole.stages, final]))
+
+
+def tree_arrays(model, spark: SparkSession) -> list[dict]:
+    """The trees of a fitted tree or forest as arrays, read back from the model's own saved form."""
+    path = scratch_path(spark, "tree")
+    model.write().save(path)
+    data = spark.read.parquet(f"{path}/data")
+    nodes = data.select("treeID", "nodeData.*") if "treeID" in data.columns else data.withColumn("treeID", F.lit(0))
+    split = [F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")]
+    table = nodes.select("treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild", *split).toPandas()
+    trees = []
+    for _, rows in table.sort_values(["treeID", "id"]).groupby("treeID"):
+        stats = np.stack(rows["impurityStats"].to_numpy())
+        trees.append({
+            "left": rows["leftChild"].to_numpy(), "right": rows["rightChild"].to_numpy(), "feature": rows["feature"].to_numpy(),
+            "threshold": rows["threshold"].fillna(0.0).to_numpy(), "said": rows["prediction"].to_numpy(),
+            "chance": stats / np.maximum(stats.sum(axis=1, keepdims=True), 1e-300),
+        })
+    return trees
+
+
+def descend(tree: dict, rows: np.ndarray, depths: list[int]) -> dict[int, np.ndarray]:
+    """The node that each row has reached after so many splits, or the leaf before."""
+    at, found = np.zeros(len(rows), np.int64), {}
+    for depth in range(max(depths) + 1):
+        if depth in depths:
+            found[depth] = at
+        inner = tree["left"][at] >= 0
+        if not inner.any():
+            return {d: found.get(d, at) for d in depths}
+        below = rows[np.arange(len(rows)), np.where(inner, tree["feature"][at], 0)] <= tree["threshold"][at]
+        at = np.where(inner, np.where(below, tree["left"][at], tree["right"][at]), at)
+    return found
+
+
+def _f1_of_variants(held: DataFrame, label: str, said) -> list[float]:
+    """F1 of class 1 for each row of the matrix of predictions that ``said`` makes from the features."""
+
+    def count(batches):
+        for batch in batches:
+            if len(batch):
+                y = batch["y"].to_numpy() == 1
+                for i, p in enumerate(said(np.stack(batch["x"].to_numpy()))):
+                    yield pd.DataFrame({"i": [i], "both": [int((p & y).sum())], "either": [int(p.sum() + y.sum())]})
+
+    rows = held.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y"))
+    sums = rows.mapInPandas(count, "i int, both long, either long").groupBy("i").agg(F.sum("both"), F.sum("either")).orderBy("i").collect()
+    return [2.0 * r[1] / r[2] if r[2] else 0.0 for r in sums]
 
 
 def grid_table(df: DataFrame, fitted, grid: list) -> DataFrame:
@@ -143,29 +253,60 @@ def logistic_regression_cv(
         ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in cs])
         .addGrid(model.elasticNetParam, [LR_PENALTY[p] for p in penalties]).build()
     )
-    return grid_search(weighted, Pipeline(stages=[*scaled_stages(cols), model]), grid, label, key, folds), grid
+    return grid_search(weighted, scaled_stages(cols), model, grid, label, key, folds), grid
 
 
 def decision_tree_cv(df, cols, label, key, folds=5, depths=TREE_DEPTH, leaves=TREE_LEAF):
+    """A tree splits greedily from the root, so one cut at depth m is the one grown to depth m: each leaf size is fitted
+    once per fold, to the largest depth, and its cuts are scored."""
     weighted = add_class_weight(df, label)
     model = DecisionTreeClassifier(labelCol=label, weightCol="weight", seed=42, maxBins=64)
-    grid = ParamGridBuilder().addGrid(model.maxDepth, depths).addGrid(model.minInstancesPerNode, leaves).build()
-    return grid_search(weighted, Pipeline(stages=[*scaled_stages(cols), model]), grid, label, key, folds), grid
+    grid = ParamGridBuilder().addGrid(model.minInstancesPerNode, leaves).addGrid(model.maxDepth, depths).build()
+    fits = [({model.minInstancesPerNode: leaf, model.maxDepth: max(depths)},
+             [i for i, c in enumerate(grid) if c[model.minInstancesPerNode] == leaf]) for leaf in leaves]
+
+    def score(fitted, held, cells):
+        tree, wanted = tree_arrays(fitted, held.sparkSession)[0], [grid[i][model.maxDepth] for i in cells]
+
+        def said(rows):
+            reached = descend(tree, rows, wanted)
+            return [tree["said"][reached[d]] == 1 for d in wanted]
+
+        return _f1_of_variants(held, label, said)
+
+    return grid_search(weighted, scaled_stages(cols), model, grid, label, key, folds, fits, score), grid
 
 
 def random_forest_cv(
     df, cols, label, key, folds=3, trees=FOREST_TREES, depths=FOREST_DEPTH, leaves=FOREST_LEAF, subsets=FOREST_FEATURES
 ):
-    """The scaler is fitted once, before the folds are cut; trees do not see the difference."""
-    prepared = Pipeline(stages=scaled_stages(cols)).fit(df)
-    weighted = add_class_weight(prepared.transform(df), label)
+    """The trees of a forest are drawn one by one, so the first of a larger forest are a forest of their own: the numbers of
+    trees share one fit. They are other draws than separate fits would make."""
+    weighted = add_class_weight(df, label)
     model = RandomForestClassifier(labelCol=label, weightCol="weight", seed=42)
-    grid = (
-        ParamGridBuilder().addGrid(model.numTrees, trees).addGrid(model.maxDepth, depths)
-        .addGrid(model.minInstancesPerNode, leaves).addGrid(model.featureSubsetStrategy, subsets).build()
-    )
-    fitted = grid_search(weighted, Pipeline(stages=[model]), grid, label, key, folds)
-    return fitted, grid, PipelineModel(stages=[*prepared.stages, *fitted.bestModel.stages])
+    shape = [model.maxDepth, model.minInstancesPerNode, model.featureSubsetStrategy]
+    builder = ParamGridBuilder()
+    for param, values in zip([*shape, model.numTrees], [depths, leaves, subsets, trees]):
+        builder = builder.addGrid(param, values)
+    grid, shared = builder.build(), {}
+    for i, cell in enumerate(grid):
+        shared.setdefault(tuple(cell[p] for p in shape), []).append(i)
+    fits = [({**dict(zip(shape, values)), model.numTrees: max(trees)}, cells) for values, cells in shared.items()]
+
+    def score(fitted, held, cells):
+        grown, wanted, deepest = tree_arrays(fitted, held.sparkSession), [grid[i][model.numTrees] for i in cells], fitted.getOrDefault("maxDepth")
+
+        def said(rows):
+            chance, found = 0.0, {}
+            for n, tree in enumerate(grown, 1):
+                chance = chance + tree["chance"][descend(tree, rows, [deepest])[deepest]]
+                if n in wanted:
+                    found[n] = chance.argmax(axis=1) == 1
+            return [found[n] for n in wanted]
+
+        return _f1_of_variants(held, label, said)
+
+    return grid_search(weighted, scaled_stages(cols), model, grid, label, key, folds, fits, score), grid
 
 
 def mlp(cols: list[str], label: str, classes: int = 2, hidden=tuple(HIDDEN), iterations: int = 200) -> Pipeline:
@@ -207,16 +348,15 @@ def kernel_stages(features: int, kernel: str, size: int = 256, degree: int = 3)
     """Stages turning ``features`` into explicit kernel features."""
     if kernel == "rbf":
         return [FourierFeatures(inputCol="features", outputCol="kernel", gamma=1.0 / features, size=size)]
-    return [PCA(k=min(4, features), inputCol="features", outputCol="axes"),
-            PolynomialExpansion(degree=degree, inputCol="axes", outputCol="kernel")]
+    return [PolynomialExpansion(degree=degree, inputCol="features", outputCol="kernel")]
 
 
 def kernel_svm_cv(df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly"), size=256, degree=3, iterations=100):
     """Support vector machine on explicit kernel features, C by kernel grid.
 
     rbf: random cosine features with gamma = 1 / features (scaled inputs have unit variance).
-    poly: polynomial expansion of at most four principal components. Returns the best
-    (kernel, fitted search) with the searches of all kernels.
+    poly: polynomial expansion of all features. Returns the best (kernel, fitted search) with the
+    searches of all kernels.
     """
     weighted = add_class_weight(df, label)
     n = df.count()
@@ -225,19 +365,23 @@ def kernel_svm_cv(df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly
         expansion = kernel_stages(len(cols), kernel, size, degree)
         svc = LinearSVC(featuresCol="kernel", labelCol=label, weightCol="weight", maxIter=iterations)
         grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in cs]).build()
-        pipeline = Pipeline(stages=[*scaled_stages(cols), *expansion, svc])
-        searches[kernel] = (grid_search(weighted, pipeline, grid, label, key, folds), grid)
+        searches[kernel] = (grid_search(weighted, [*scaled_stages(cols), *expansion], svc, grid, label, key, folds), grid)
     best = max(searches, key=lambda kernel: max(searches[kernel][0].avgMetrics))
     return best, searches
 
 
-def calibrated(scored: DataFrame, train: DataFrame, label: str) -> DataFrame:
-    """Turn margins into probabilities by a logistic fit on the training margins."""
-    margin = VectorAssembler(inputCols=["margin"], outputCol="margin_vec")
-    add = lambda df: df.withColumn("margin", vector_to_array("rawPrediction")[1])
-    fit = Pipeline(stages=[margin, LogisticRegression(
+def calibrated(scored: DataFrame, df: DataFrame, prepare: list, machine, label: str, key: str, folds: int = 5) -> DataFrame:
+    """Turn the margins of ``scored`` into probabilities in column ``score``.
+
+    The logistic curve is fitted on margins of rows that the machine giving them was not fitted on: each fold is scored by
+    a machine fitted on the others.
+    """
+    sides = fold_sides(df, prepare, label, key, folds)
+    margin = lambda rows: rows.withColumn("margin", vector_to_array("rawPrediction")[1])
+    held = in_threads(df.sparkSession, lambda side: margin(machine.fit(side[0]).transform(side[1])).select("margin", label), sides)
+    curve = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="margin_vec"), LogisticRegression(
         featuresCol="margin_vec", labelCol=label, rawPredictionCol="cal_raw", probabilityCol="cal_prob", predictionCol="cal_pred")])
-    out = fit.fit(add(train)).transform(add(scored))
+    out = curve.fit(materialize(reduce(DataFrame.unionByName, held), "margins")).transform(margin(scored))
     return out.withColumn("score", vector_to_array("cal_prob")[1]).drop("margin", "margin_vec", "cal_raw", "cal_prob", "cal_pred")
 
 
@@ -248,33 +392,48 @@ def linear_svm_multiclass(features: str, label: str, n: int, c: float = 1.0, ite
 
 
 def kmeans_best(df: DataFrame, features: str, k: int = 2, starts: int = 10, iterations: int = 300):
-    """The clustering with the lowest cost out of several seeded starts."""
+    """The clustering with the lowest cost out of several seeded starts, which run side by side."""
     kept = df.select(features).persist()
     try:
-        fits = [KMeans(featuresCol=features, k=k, maxIter=iterations, seed=42 + i).fit(kept) for i in range(starts)]
+        fit = lambda seed: KMeans(featuresCol=features, k=k, maxIter=iterations, seed=seed).fit(kept)
+        fits = in_threads(df.sparkSession, fit, [42 + i for i in range(starts)])
     finally:
         kept.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
 def mean_centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
-    """(cluster, center): element-wise means, counted per position before the shuffle."""
-    cells = df.select(cluster, F.posexplode(as_double(vec)).alias("pos", "x"))
-    means = cells.groupBy(cluster, "pos").agg(F.avg("x").alias("m"))
-    return means.groupBy(cluster).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center")
-    )
+    """(cluster, center): element-wise means, summed as whole vectors in the tasks. Null vectors take no part."""
+    rows = df.filter(F.col(vec).isNotNull()).select(cluster, array_to_vector(as_double(vec)).alias("_v"))
+    return rows.groupBy(cluster).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("center"))
 
 
-def nearest_centroid(df: DataFrame, vec: str, centroids: DataFrame, cluster: str, name: str) -> DataFrame:
-    """Add the cluster of the nearest centre, the smallest cluster on ties.
+MOST_CENTERS = 10_000
 
-    All centres travel as one value; their number is the number of clusters.
+
+def nearest_centroid(df: DataFrame, vec: str, centroids: DataFrame, cluster: str, name: str, most: int = MOST_CENTERS) -> DataFrame:
+    """Add the cluster of the nearest centre, the smallest cluster on ties; null for a null vector.
+
+    Up to ``most`` centres travel as one value. Beyond that the centres are searched like any other table of vectors; the
+    clusters must then be whole numbers.
     """
-    centers = centroids.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("center").alias("m"))).alias("cs"))
+    known = materialize(centroids.select(F.col(cluster).alias("_c"), F.col("center").alias("_m")), "centers")
+    if known.limit(most + 1).count() > most:
+        return _searched_centroid(df, vec, known, name)
+    centers = known.agg(F.collect_list(F.struct(F.col("_c").alias("c"), F.col("_m").alias("m"))).alias("cs"))
     held = df.withColumn("_cs", centers.scalar())
     ranked = F.transform("_cs", lambda s: F.struct(F.round(euclidean(as_double(vec), s["m"]), 6).alias("d"), s["c"].alias("c")))
-    return held.withColumn(name, F.array_min(ranked)["c"]).drop("_cs")
+    return held.withColumn(name, F.when(F.col(vec).isNotNull(), F.array_min(ranked)["c"])).drop("_cs")
+
+
+def _searched_centroid(df: DataFrame, vec: str, known: DataFrame, name: str) -> DataFrame:
+    from cohortwise.operators.neighbors import knn_join
+
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    queries = rows.filter(F.col(vec).isNotNull()).select(F.col("_row").alias("id"), F.col(vec).alias("v"))
+    found = knn_join(queries, known.select(F.col("_c").alias("id"), F.col("_m").alias("v")), "id", "v", 1)
+    near = found.select(F.col("query_id").alias("_row"), F.col("neighbor_id").cast(known.schema["_c"].dataType).alias(name))
+    return rows.join(near, "_row", "left").drop("_row")
 
 
 def cluster_classes(df: DataFrame, cluster: str, label: str) -> DataFrame:
@@ -282,8 +441,41 @@ def cluster_classes(df: DataFrame, cluster: str, label: str) -> DataFrame:
     return group_mode(df, cluster, label, "prediction")
 
 
-def classify_by_cluster(df: DataFrame, mapping: DataFrame, cluster: str) -> DataFrame:
-    return df.join(materialize(mapping, "cluster-classes"), cluster)
+class _ClusterToClass(HasLabelCol, HasPredictionCol):
+    clusterCol = Param(Params._dummy(), "clusterCol", "column with the cluster", TypeConverters.toString)
+    clusters = Param(Params._dummy(), "clusters", "known clusters", TypeConverters.toListInt)
+    classes = Param(Params._dummy(), "classes", "class of each known cluster", TypeConverters.toListInt)
+
+
+class ClusterToClassModel(Model, _ClusterToClass, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds the majority class of the row's cluster, null for a cluster not seen in training."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        known = zip(self.getOrDefault(self.clusters), self.getOrDefault(self.classes))
+        pairs = [F.lit(x).cast("bigint") for pair in known for x in pair]
+        empty = F.create_map().cast("map<bigint,bigint>")
+        mapping = F.create_map(*pairs) if pairs else empty
+        found = F.try_element_at(mapping, F.col(self.getOrDefault(self.clusterCol)).cast("bigint"))
+        return dataset.withColumn(self.getPredictionCol(), found.cast("int"))
+
+
+class ClusterToClass(Estimator, _ClusterToClass, DefaultParamsReadable, DefaultParamsWritable):
+    """Names every cluster by the majority label of its rows, the smallest label on ties; one pair per cluster is kept."""
+
+    @keyword_only
+    def __init__(self, *, clusterCol="cluster", labelCol="label", predictionCol="prediction"):
+        super().__init__()
+        self._setDefault(clusterCol="cluster", labelCol="label", predictionCol="prediction")
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> ClusterToClassModel:
+        cluster, label = self.getOrDefault(self.clusterCol), self.getLabelCol()
+        seen = dataset.filter(F.col(cluster).isNotNull() & F.col(label).isNotNull())
+        pairs = cluster_classes(seen, cluster, label).orderBy(cluster).collect()
+        model = ClusterToClassModel()
+        model._set(clusterCol=cluster, labelCol=label, predictionCol=self.getPredictionCol(),
+                   clusters=[int(r[cluster]) for r in pairs], classes=[int(r["prediction"]) for r in pairs])
+        return model
 
 
 def cluster_profile(df: DataFrame, cluster: str, cols: list[str], label: str) -> DataFrame:
@@ -327,8 +519,6 @@ def silhouette_squared(df: DataFrame, vec: str, cluster: str) -> DataFrame:
 
 def tree_nodes(model, names: list[str]) -> DataFrame:
     """Nodes of a fitted tree as a table, read back from the model's own saved form."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.getActiveSession()
     path = scratch_path(spark, "tree")
     model.write().save(path)

@@ -4,8 +4,8 @@ Two exact ways, chosen by the measured size of the searched side:
 
 * It fits a fixed byte bound: every task searches the whole of it, block by block, and hands
   on k rows per query.
-* It does not: both sides are cut into cells around pivots. Pivots are searched rows, so the
-  k-th nearest pivot bounds a query's k-th neighbour distance, and by the triangle inequality
+* It does not: both sides are cut into cells around pivots. A first look into the nearest cell gives
+  every query k true distances, and the largest bounds how far to look: by the triangle inequality
   a query visits only cells that can hold something nearer. Cells are cut further into tiles
   of bounded size, so a hot cell spreads over many tasks. Nothing else leaves a row out.
 """
@@ -14,6 +14,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +53,12 @@ def knn_join(
     pivots: int | None = None,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """(query_id, neighbor_id, distance, rank): the k nearest rows of ``searched`` per query."""
-    q = queries.select(F.col(key).cast("bigint").alias("id"), as_double(vec).alias("v"))
-    s = searched.select(F.col(key).cast("bigint").alias("id"), as_double(vec).alias("v"))
+    """(query_id, neighbor_id, distance, rank): the k nearest rows of ``searched`` per query.
+
+    A null vector has no neighbours and is nobody's neighbour.
+    """
+    q = queries.filter(F.col(vec).isNotNull()).select(F.col(key).cast("bigint").alias("id"), as_double(vec).alias("v"))
+    s = searched.filter(F.col(vec).isNotNull()).select(F.col(key).cast("bigint").alias("id"), as_double(vec).alias("v"))
     size = s.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     if not size["n"]:
         return queries.sparkSession.createDataFrame([], _PAIR + ", rank int")
@@ -153,41 +170,18 @@ def _cell_pairs(
     tiles = np.zeros(len(centers), dtype=int)
     tiles[stats["cell"]] = -(-stats["n"] // tile_rows)
 
-    def visits(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            gaps = to_pivots(np.stack(batch["v"].to_numpy()))
-            if len(centers) >= k:
-                reach = np.partition(gaps, k - 1, axis=1)[:, k - 1]
-            else:
-                reach = np.full(len(batch), np.inf)
-            margin = 1e-6 * (1.0 + gaps) + 10.0**-DECIMALS
-            hit = (gaps - outer <= reach[:, None] + margin) & (inner - gaps <= reach[:, None] + margin)
-            batch["cells"] = [[int(c) for c in np.flatnonzero(row & (tiles > 0))] for row in hit]
-            yield batch
-
-    tile_of = F.array(*[F.lit(int(t)) for t in tiles])
-    visiting = materialize(
-        q.mapInPandas(visits, "id bigint, v array<double>, cells array<int>")
-        .select("id", "v", F.explode("cells").alias("cell")),
-        "visits",
-    )
-    # Queries of a busy cell are cut into tiles as well; a tile pair is one task's work unit.
-    load = visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    query_tiles = [1] * len(centers)
-    for row in load:
-        query_tiles[row["cell"]] = max(1, -(-row["n"] // tile_rows))
-    query_tile_of = F.array(*[F.lit(t) for t in query_tiles])
-
     def one_of(counts):
         return F.pmod(F.xxhash64("id"), F.get(counts, F.col("cell"))).cast("int")
 
     def all_of(counts):
         return F.explode(F.sequence(F.lit(0), F.get(counts, F.col("cell")) - 1))
 
-    left = visiting.withColumn("qt", one_of(query_tile_of)).withColumn("st", all_of(tile_of))
-    right = cells.drop("gap").withColumn("st", one_of(tile_of)).withColumn("qt", all_of(query_tile_of))
+    def query_tiles(placed: DataFrame):
+        """Tiles per cell for queries: those of a busy cell are cut up as well."""
+        counts = [1] * len(centers)
+        for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[row["cell"]] = max(1, -(-row["n"] // tile_rows))
+        return F.array(*[F.lit(t) for t in counts])
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -195,6 +189,43 @@ def _cell_pairs(
         return _nearest(a["id"].to_numpy(), np.stack(a["v"].to_numpy()), b["id"].to_numpy(),
                         np.stack(b["v"].to_numpy()), k, False)
 
+    def homes(batches):
+        for batch in batches:
+            if len(batch):
+                gaps = to_pivots(np.stack(batch["v"].to_numpy()))
+                batch["cell"] = np.where(tiles > 0, gaps, np.inf).argmin(axis=1)
+                yield batch
+
+    tile_of = F.array(*[F.lit(int(max(t, 1))) for t in tiles])
+    # First look: one tile of the nearest cell gives a true k-th distance, which bounds how far to look.
+    near = materialize(q.mapInPandas(homes, "id bigint, v array<double>, cell int"), "homes")
+    counts = query_tiles(near)
+    some = cells.drop("gap").filter(one_of(tile_of) == 0).withColumn("qt", all_of(counts))
+    first = near.withColumn("qt", one_of(counts)).groupBy("cell", "qt").cogroup(some.groupBy("cell", "qt")).applyInPandas(search, _PAIR)
+    reached = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("reach"))
+    bounded = q.join(materialize(reached, "reach"), F.col("id") == F.col("query_id"), "left").drop("query_id")
+
+    def visits(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            gaps = to_pivots(np.stack(batch["v"].to_numpy()))
+            reach = np.partition(gaps, k - 1, axis=1)[:, k - 1] if len(centers) >= k else np.full(len(batch), np.inf)
+            reach = np.fmin(reach, batch["reach"].to_numpy(float))
+            margin = 1e-6 * (1.0 + gaps) + 10.0**-DECIMALS
+            hit = (gaps - outer <= reach[:, None] + margin) & (inner - gaps <= reach[:, None] + margin)
+            batch["cells"] = [[int(c) for c in np.flatnonzero(row & (tiles > 0))] for row in hit]
+            yield batch.drop(columns="reach")
+
+    visiting = materialize(
+        bounded.mapInPandas(visits, "id bigint, v array<double>, cells array<int>")
+        .select("id", "v", F.explode("cells").alias("cell")),
+        "visits",
+    )
+    # A tile pair is one task's work unit.
+    counts = query_tiles(visiting)
+    left = visiting.withColumn("qt", one_of(counts)).withColumn("st", all_of(tile_of))
+    right = cells.drop("gap").withColumn("st", one_of(tile_of)).withColumn("qt", all_of(counts))
     tile = ["cell", "qt", "st"]
     found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(search, _PAIR)
     nearest = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
@@ -215,6 +246,69 @@ def knn_classify(train: DataFrame, test: DataFrame, key: str, vec: str, label: s
     return test.select(key, label).join(votes, key)
 
 
+class _Neighbors(HasInputCol, HasLabelCol, HasPredictionCol):
+    idCol = Param(Params._dummy(), "idCol", "column that names a row", TypeConverters.toString)
+    k = Param(Params._dummy(), "k", "number of neighbours", TypeConverters.toInt)
+
+
+class _NeighborsWriter(MLWriter):
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.train.write.parquet(f"{path}/train")
+
+
+class _NeighborsReader(MLReader):
+    def load(self, path: str) -> KNNClassifierModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = KNNClassifierModel(self.sparkSession.read.parquet(f"{path}/train"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+class KNNClassifierModel(Model, _Neighbors, MLWritable, MLReadable):
+    """Adds the majority label of the k nearest training rows, null for a null vector. The training rows are stored with the model."""
+
+    def __init__(self, train: DataFrame | None = None):
+        super().__init__()
+        self._setDefault(idCol="id", k=3, predictionCol="prediction")
+        self.train = train
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        key, vec = self.getOrDefault(self.idCol), self.getInputCol()
+        found = knn_join(dataset, self.train, key, vec, self.getOrDefault(self.k))
+        votes = knn_vote(found, self.train, key, self.getLabelCol())
+        said = votes.select(F.col("query_id").alias("_query"), F.col("prediction").alias(self.getPredictionCol()))
+        return dataset.join(said, F.col(key).cast("bigint") == F.col("_query"), "left").drop("_query")
+
+    def write(self) -> MLWriter:
+        return _NeighborsWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _NeighborsReader()
+
+
+class KNNClassifier(Estimator, _Neighbors, DefaultParamsReadable, DefaultParamsWritable):
+    """Keeps the training rows (id, vector, label); what is learned is where they lie."""
+
+    @keyword_only
+    def __init__(self, *, idCol="id", inputCol="features", labelCol="label", predictionCol="prediction", k=3):
+        super().__init__()
+        self._setDefault(idCol="id", inputCol="features", labelCol="label", predictionCol="prediction", k=3)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> KNNClassifierModel:
+        cols = [self.getOrDefault(self.idCol), self.getInputCol(), self.getLabelCol()]
+        model = KNNClassifierModel(materialize(dataset.select(*cols), "knn"))
+        model._set(idCol=cols[0], inputCol=cols[1], labelCol=cols[2], predictionCol=self.getPredictionCol(), k=self.getOrDefault(self.k))
+        return model
+
+
 def mutual_nearest(a: DataFrame, b: DataFrame, key: str, vec: str, **search) -> DataFrame:
     """Pairs that are each other's nearest row, as (query_id, neighbor_id, distance)."""
     there = knn_join(a, b, key, vec, 1, **search).drop("rank")
@@ -261,9 +355,10 @@ def silhouette(
 
     The measure itself compares every row with every other; the comparison runs tile against
     tile, a tile being a seeded share of the rows whatever their cluster, and only one sum per
-    row and cluster leaves a task. ``models.silhouette_squared`` is the linear-time variant.
+    row and cluster leaves a task. ``models.silhouette_squared`` is the linear-time variant. Rows without a vector or a
+    cluster take no part.
     """
-    rows = df.select(
+    rows = df.filter(F.col(vec).isNotNull() & F.col(cluster).isNotNull()).select(
         F.col(key).cast("bigint").alias("id"), F.col(cluster).cast("int").alias("c"), as_double(vec).alias("v")
     )
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions.vectors import as_double
+from cohortwise.session import materialize
 
 
 def vector_sums(df: DataFrame, vec: str, group: str | None = None, center=None) -> DataFrame:
@@ -20,7 +21,7 @@ def vector_sums(df: DataFrame, vec: str, group: str | None = None, center=None)
 
     Cells with i = -1 hold the sum of position j in group g, the others (g = 0) the sum of the
     products of positions i <= j, both after subtracting ``center``. Each task folds its rows
-    into one matrix and a vector per group, and only those are shuffled, however many rows.
+    into one matrix and a vector per group, and only those are shuffled, however many rows. Null vectors take no part.
     """
 
     def fold(batches):
@@ -45,7 +46,7 @@ def vector_sums(df: DataFrame, vec: str, group: str | None = None, center=None)
             yield pd.DataFrame({"g": 0, "i": i, "j": j, "s": products[i, j], "n": whole})
 
     key = F.lit(0) if group is None else F.col(group)
-    rows = df.select(key.cast("bigint").alias("g"), as_double(vec).alias("v"))
+    rows = df.filter(F.col(vec).isNotNull()).select(key.cast("bigint").alias("g"), as_double(vec).alias("v"))
     partial = rows.mapInPandas(fold, "g bigint, i int, j int, s double, n bigint")
     return partial.groupBy("g", "i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
@@ -62,7 +63,7 @@ def vector_mean(df: DataFrame, vec: str) -> np.ndarray:
         if n:
             yield pd.DataFrame({"j": np.arange(len(s)), "s": s, "n": n})
 
-    sums = df.select(as_double(vec).alias("v")).mapInPandas(fold, "j int, s double, n bigint")
+    sums = df.filter(F.col(vec).isNotNull()).select(as_double(vec).alias("v")).mapInPandas(fold, "j int, s double, n bigint")
     cells = sums.groupBy("j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("j").toPandas()
     return (cells["s"] / cells["n"]).to_numpy()
 
@@ -85,15 +86,24 @@ def class_scatter(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Within-class and between-class scatter as (i, j, sw, sb).
 
     With vectors centred at the overall mean and class sums s_c, Sb = sum(s_c s_c' / n_c), and
-    what is left of the total scatter is Sw; no class needs a matrix of its own.
+    what is left of the total scatter is Sw. The class sums, one vector per class, are stacked and
+    multiplied inside the tasks; no class needs a matrix of its own.
     """
-    cells = vector_sums(df, vec, group=label, center=vector_mean(df, vec))
-    sums = cells.filter("i = -1")
-    left = sums.select("g", F.col("j").alias("i"), F.col("s").alias("si"), "n")
-    right = sums.select("g", "j", F.col("s").alias("sj"))
-    between = left.join(right, "g").filter("i <= j").groupBy("i", "j").agg(
-        F.sum(F.col("si") * F.col("sj") / F.col("n")).alias("sb")
-    )
+    cells = materialize(vector_sums(df, vec, group=label, center=vector_mean(df, vec)), "scatter")
+    by_place = F.array_sort(F.collect_list(F.struct("j", "s")))  # of one class, d long
+    sums = cells.filter("i = -1").groupBy("g").agg(F.transform(by_place, lambda x: x["s"]).alias("s"), F.first("n").alias("n"))
+
+    def products(batches):
+        whole = 0.0
+        for batch in batches:
+            if len(batch):
+                rows = np.stack(batch["s"].to_numpy())
+                whole = whole + rows.T @ (rows / batch["n"].to_numpy()[:, None])
+        if np.ndim(whole):
+            i, j = np.triu_indices(len(whole))
+            yield pd.DataFrame({"i": i, "j": j, "sb": whole[i, j]})
+
+    between = sums.select("s", "n").mapInPandas(products, "i int, j int, sb double").groupBy("i", "j").agg(F.sum("sb").alias("sb"))
     total = cells.filter("i >= 0").select("i", "j", F.col("s").alias("st"))
     upper = total.join(between, ["i", "j"]).select("i", "j", (F.col("st") - F.col("sb")).alias("sw"), "sb")
     return _both_triangles(upper, ["sw", "sb"])
@@ -122,7 +132,7 @@ class _Projection(Params):
 
 
 class ProjectionModel(Model, HasInputCol, HasOutputCol, _Projection, DefaultParamsReadable, DefaultParamsWritable):
-    """Adds the coordinates of the input vector on the fitted axes as array<double>."""
+    """Adds the coordinates of the input vector on the fitted axes as array<double>, null for a null vector."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         axes = np.array(self.getOrDefault(self.axes))
@@ -130,9 +140,11 @@ class ProjectionModel(Model, HasInputCol, HasOutputCol, _Projection, DefaultPara
 
         @F.pandas_udf("array<double>")
         def project(vectors: pd.Series) -> pd.Series:
-            if not len(vectors):
-                return pd.Series([], dtype=object)
-            return pd.Series(list((np.stack(vectors.to_numpy()) - center) @ axes.T))
+            out, there = [None] * len(vectors), np.flatnonzero(vectors.notna().to_numpy())
+            if len(there):
+                for i, row in zip(there, (np.stack(vectors.iloc[there].to_numpy()) - center) @ axes.T):
+                    out[i] = row
+            return pd.Series(out, dtype=object)
 
         return dataset.withColumn(self.getOutputCol(), project(as_double(self.getInputCol())))
 

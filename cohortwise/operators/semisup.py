@@ -75,6 +75,37 @@ def mixup(df: DataFrame, key: str, vec: str, target: str, share: float, seed=42)
     )
 
 
+def mixmatch_rows(
+    labeled: DataFrame, unlabeled: DataFrame, key: str, classes: int, temperature: float, share: float, seed=42
+) -> DataFrame:
+    """(id, part, vec, target, partner): the mixed rows of one step.
+
+    ``labeled`` holds (key, view, label), ``unlabeled`` (key, first, second, logits_first, logits_second): two weak views and what the
+    model says about them. Their sharpened mean is the guessed target of both views. All rows together are mixed
+    with one share: each with the row that a seeded permutation gives it.
+    """
+    named = lambda part: F.concat(F.lit(f"{part}|"), F.col(key).cast("string")).alias("id")
+    guess = V.sharpen(V.softmax(F.col("logits_first")), V.softmax(F.col("logits_second")), temperature)
+    guessed = unlabeled.withColumn("target", guess)
+    rows = labeled.select(named("x"), F.lit("x").alias("part"), F.col("view").alias("vec"), V.one_hot("label", classes).alias("target"))
+    for part, view in (("a", "first"), ("b", "second")):
+        rows = rows.unionByName(guessed.select(named(part), F.lit(part).alias("part"), F.col(view).alias("vec"), "target"))
+    rows = materialize(rows, "mixmatch")
+    mixed = mixup(rows, "id", "vec", "target", share, seed)
+    return mixed.withColumn("part", F.substring("id", 1, 1))
+
+
+def mixmatch_loss(scored: DataFrame, logits: str, target: str, classes: int, weight: float, step: float, length: float) -> DataFrame:
+    """One row (lx, lu, weight, loss) of mixed rows with logits: the labelled part by cross-entropy, the rest by squared
+    error, which counts ``weight`` times the ramp at ``step`` of ``length``."""
+    known = F.col("part") == "x"
+    grown = float(weight) * ramp_up(step, length)
+    return scored.agg(
+        F.avg(F.when(known, soft_cross_entropy(F.col(logits), F.col(target)))).alias("lx"),
+        F.avg(F.when(~known, squared_gap(F.col(logits), F.col(target), classes))).alias("lu"),
+    ).select("lx", "lu", F.lit(grown).alias("weight"), (F.col("lx") + F.lit(grown) * F.col("lu")).alias("loss"))
+
+
 def self_training(
     labeled: DataFrame, unlabeled: DataFrame, test: DataFrame, key: str, vec: str, label: str,
     rounds: int = 3, threshold: float = 0.95, iterations: int = 50,

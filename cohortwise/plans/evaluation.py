@@ -11,6 +11,7 @@ from cohortwise.operators.neighbors import knn_classify
 from cohortwise.plans import data
 from cohortwise.plans.prepare import rule_metrics
 from cohortwise.plans.registry import query, r6, sql_hash, sql_uniform
+from cohortwise.session import materialize
 from cohortwise.sources.tables import table
 
 
@@ -183,12 +184,35 @@ def attribution_dependence(spark, folder):
     return pairs.withColumns({c: S.rounded(c) for c in ("value", "attribution")})
 
 
+class LinearScorer:
+    """A score that is a weighted sum of columns, with the face of a fitted model."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+
+    def transform(self, df):
+        score = sum((F.lit(w) * F.col(c) for c, w in self.weights.items()), F.lit(0.0))
+        return df.withColumn("_score", score)
+
+
+@query("sampled_shapley_linear", f"""
+WITH {data.DOCUMENT_SQL}, bg AS (SELECT row_number() OVER (ORDER BY {sql_hash('42bg', 'doc_id')}, doc_id) AS place, * FROM feat), n AS (SELECT count(*) AS n FROM feat),
+drawn AS (SELECT doc_id, p, floor({sql_uniform('42draw', 'doc_id', 'p')} * 1073741824)::BIGINT % n + 1 AS place FROM feat, n, range(1, 17) t(p)),
+mean AS (SELECT d.doc_id, {", ".join(f"avg(b.{c}) AS m_{c}" for c in WEIGHTS)} FROM drawn d JOIN bg b USING (place) GROUP BY d.doc_id)
+{" UNION ALL ".join(f"SELECT f.doc_id, '{c}' AS feature, round({w}::DOUBLE * (f.{c} - m_{c}), 9) + 0.0::DOUBLE AS attribution FROM feat f JOIN mean m USING (doc_id)" for c, w in WEIGHTS.items())}""")
+def sampled_shapley_linear(spark, folder):
+    """Sampled attributions of a linear score, which have a closed form, against all documents as background."""
+    frame = materialize(data.document_features(spark, folder), "frame")
+    found = explain.sampled_shapley(LinearScorer(WEIGHTS), frame, frame, "doc_id", list(WEIGHTS), score=lambda df: df)
+    return found.select("doc_id", "feature", (F.round("attribution", 9) + F.lit(0.0)).alias("attribution"))
+
+
 @query("sampled_shapley")
 def sampled_shapley(spark, folder):
-    """Attributions of a fitted forest for twenty sampled documents against a sampled background."""
+    """Attributions of a fitted forest for a thousand sampled documents against a sampled background."""
     from cohortwise.plans.learning import document_model
 
     model, frame = document_model(spark, folder)
-    rows = sampling.seeded_sample(frame, "doc_id", 20)
+    rows = sampling.seeded_sample(frame, "doc_id", 1000)
     background = sampling.seeded_sample(frame, "doc_id", 100, seed="background")
-    return explain.sampled_shapley(model, rows, background, "doc_id", data.TEXT_FEATURES, permutations=8)
+    return explain.sampled_shapley(model, rows, background, "doc_id", data.TEXT_FEATURES)

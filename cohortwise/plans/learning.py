@@ -70,76 +70,116 @@ def smote_oversample(spark, folder):
     )
 
 
-@query("prepare_model_data")
+_SPLIT_FRAME_SQL = f"""
+lab AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {sql_hash(42, 'doc_id')}) AS rn, count(*) OVER (PARTITION BY quality) AS cnt FROM feat),
+cut AS (SELECT doc_id, quality AS label, rn <= ceil(0.2::DOUBLE * cnt) AS test FROM lab)"""
+
+PREPARED_SQL = f"""{data.DOCUMENT_SQL},{_SPLIT_FRAME_SQL},
+pts AS (SELECT doc_id, label, test, {_VEC} AS v FROM feat JOIN cut USING (doc_id)),
+small AS (SELECT label AS l FROM pts WHERE NOT test GROUP BY label ORDER BY count(*), label LIMIT 1),
+few AS (SELECT * FROM pts, small WHERE NOT test AND label = l),
+size AS (SELECT (SELECT count(*) FROM few) AS f, (SELECT count(*) FROM pts, small WHERE NOT test AND label <> l) AS m),
+near AS (SELECT a.doc_id, b.v AS w, row_number() OVER (PARTITION BY a.doc_id ORDER BY round(list_distance(a.v, b.v), 6), b.doc_id) AS rk
+  FROM few a, few b WHERE a.doc_id <> b.doc_id),
+start AS (SELECT doc_id, label, v, row_number() OVER (ORDER BY {sql_hash('42start', 'doc_id')}, doc_id) AS pos FROM few),
+drawn AS (SELECT doc_id, label, v, unnest(range(1, (m - f) // f + CASE WHEN pos <= (m - f) % f THEN 1 ELSE 0 END + 1)) AS copy FROM start, size),
+pick AS (SELECT *, {sql_integer('42pick', 1, 6, 'doc_id', 'copy')} AS rk, {sql_uniform('42share', 'doc_id', 'copy')} AS u FROM drawn),
+grown AS (SELECT doc_id, label, v FROM pts WHERE NOT test
+  UNION ALL SELECT p.doc_id, label, list_transform(range(1, {len(FEATURES) + 1}), lambda i: v[i] + u * (w[i] - v[i])) FROM pick p JOIN near n ON n.doc_id = p.doc_id AND n.rk = p.rk),
+long AS (SELECT unnest(range(1, {len(FEATURES) + 1})) AS i, unnest(v) AS x FROM grown),
+stat AS (SELECT list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM long GROUP BY i)),
+sides AS (SELECT 'train' AS split, doc_id, label, v FROM grown UNION ALL SELECT 'test', doc_id, label, v FROM pts WHERE test)
+SELECT split, doc_id, label::INT AS label, {', '.join(f"(round((v[{i}] - m[{i}]) / CASE WHEN s[{i}] > 0 THEN s[{i}] ELSE 1 END, 6) + 0.0::DOUBLE) AS {c}" for i, c in enumerate(FEATURES, 1))}
+FROM sides, stat"""
+
+
+@query("prepare_model_data", f"WITH {PREPARED_SQL}")
 def prepare_model_data(spark, folder):
     """Leaks dropped, split, training side balanced by synthetic rows, both sides scaled by it."""
     train, test = train_test(spark, folder)
     as_vec = lambda df: df.select("doc_id", "label", F.array(*FEATURES).alias("v"))
     minority = train.groupBy("label").count().orderBy("count", "label").first()["label"]
     balanced = sampling.smote(materialize(as_vec(train), "train"), "doc_id", "v", "label", minority)
-    spread = lambda df, key: df.select(F.col(key).alias("doc_id"), "label", *[F.col("v")[i].alias(c) for i, c in enumerate(FEATURES)])
+    spread = lambda df, key: df.select(F.col(key).alias("doc_id"), F.col("label").cast("int").alias("label"), *[F.col("v")[i].alias(c) for i, c in enumerate(FEATURES)])
     train_rows = materialize(spread(balanced, "source_id"), "balanced")
     scaler = models.PopulationScaler(inputCols=FEATURES, outputCols=FEATURES).fit(drop_leakage(train_rows, "label"))
     parts = {"train": scaler.transform(train_rows), "test": scaler.transform(spread(as_vec(test), "doc_id"))}
-    return evaluate.tag_union(parts, "split")
+    return evaluate.tag_union(parts, "split").withColumns({c: S.rounded(c) for c in FEATURES})
 
 
 def _grid(spark, search, grid):
     return models.grid_table(spark.range(0), search, grid)
 
 
+@query("stratified_folds", f"""
+WITH r AS (SELECT quality, row_number() OVER (PARTITION BY quality ORDER BY {sql_hash('42fold', 'doc_id')}) AS rn, count(*) OVER (PARTITION BY quality) AS n FROM labels)
+SELECT quality, (SELECT count(*) FROM range(1, 5) t(i) WHERE rn > ceil(n * i / 5.0::DOUBLE))::INT AS fold, count(*) AS n FROM r GROUP BY ALL""")
+def stratified_folds(spark, folder):
+    """Rows per class and fold of five: they differ by one at most."""
+    cut = sampling.stratified_folds(table(spark, folder, "labels"), "quality", "doc_id", 5)
+    return cut.groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("logistic_regression_cv")
 def logistic_regression_cv(spark, folder):
     train, _ = train_test(spark, folder)
-    search, grid = models.logistic_regression_cv(train, FEATURES, "label", "doc_id", folds=3, cs=[0.1, 1.0, 10.0], iterations=30)
-    return _grid(spark, search, grid)
+    return _grid(spark, *models.logistic_regression_cv(train, FEATURES, "label", "doc_id"))
 
 
 @query("decision_tree_cv")
 def decision_tree_cv(spark, folder):
     train, _ = train_test(spark, folder)
-    search, grid = models.decision_tree_cv(train, FEATURES, "label", "doc_id", folds=3, depths=[3, 5, 7], leaves=[1, 4])
-    return _grid(spark, search, grid)
+    return _grid(spark, *models.decision_tree_cv(train, FEATURES, "label", "doc_id"))
 
 
 @query("random_forest_cv")
 def random_forest_cv(spark, folder):
     train, _ = train_test(spark, folder)
-    search, grid, _ = models.random_forest_cv(train, FEATURES, "label", "doc_id", trees=[20], depths=[4, 8], leaves=[1], subsets=["sqrt", "log2"])
-    return _grid(spark, search, grid)
+    return _grid(spark, *models.random_forest_cv(train, FEATURES, "label", "doc_id"))
+
+
+def _kernel_grids(spark, train):
+    best, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id")
+    return best, {kernel: _grid(spark, *found) for kernel, found in searches.items()}
 
 
 @query("kernel_svm")
 def kernel_svm(spark, folder):
     train, _ = train_test(spark, folder)
-    best, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[0.1, 1.0], size=64, degree=2, iterations=15)
-    parts = {kernel: _grid(spark, *found) for kernel, found in searches.items()}
+    best, parts = _kernel_grids(spark, train)
     return evaluate.tag_union(parts, "kernel").withColumn("best_kernel", F.lit(best))
 
 
 @query("grid_search_table")
 def grid_search_table(spark, folder):
-    """Best cell per search, of two searches."""
+    """Best cell per search, of all searches."""
     train, _ = train_test(spark, folder)
-    lr = models.logistic_regression_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[1.0], iterations=30)
-    tree = models.decision_tree_cv(train, FEATURES, "label", "doc_id", folds=2, depths=[5], leaves=[1, 4])
-    parts = {"LogisticRegression": _grid(spark, *lr), "DecisionTree": _grid(spark, *tree)}
-    return evaluate.tag_union(parts).filter("is_best").select("model", "params", "f1")
+    parts = {
+        "LogisticRegression": _grid(spark, *models.logistic_regression_cv(train, FEATURES, "label", "doc_id")),
+        "DecisionTree": _grid(spark, *models.decision_tree_cv(train, FEATURES, "label", "doc_id")),
+        "RandomForest": _grid(spark, *models.random_forest_cv(train, FEATURES, "label", "doc_id")),
+    }
+    best, kernels = _kernel_grids(spark, train)
+    return evaluate.tag_union({**parts, "SVM": kernels[best]}).filter("is_best").select("model", "params", "f1")
 
 
 @query("mlp_classifier")
 def mlp_classifier(spark, folder):
     train, test = train_test(spark, folder)
-    said = models.mlp(FEATURES, "label", iterations=60).fit(train).transform(test)
+    said = models.mlp(FEATURES, "label").fit(train).transform(test)
     return said.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("score"))
 
 
 def _machine():
-    return LinearSVC(featuresCol="kernel", labelCol="label", weightCol="weight", regParam=0.001, maxIter=15)
+    return LinearSVC(featuresCol="kernel", labelCol="label", weightCol="weight", regParam=0.001)
+
+
+def _kernel_prepare():
+    return [*models.scaled_stages(FEATURES), *models.kernel_stages(len(FEATURES), "rbf")]
 
 
 def _forest():
-    return RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=30, maxDepth=8, seed=42)
+    return RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=100, maxDepth=10, seed=42)
 
 
 # The registry of compared models: shown name and how to build it. Adding an entry is all it
@@ -148,18 +188,18 @@ MODELS = {
     "LogisticRegression": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), LogisticRegression(labelCol="label", weightCol="weight")]),
     "DecisionTree": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), DecisionTreeClassifier(labelCol="label", weightCol="weight", maxDepth=5, seed=42)]),
     "RandomForest": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), _forest()]),
-    "SVM": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), *models.kernel_stages(len(FEATURES), "rbf", 64), _machine()]),
-    "NeuralNetwork": lambda: models.mlp(FEATURES, "label", hidden=(16, 8), iterations=40),
+    "SVM": lambda: Pipeline(stages=[*_kernel_prepare(), _machine()]),
+    "NeuralNetwork": lambda: models.mlp(FEATURES, "label"),
 }
 
 
 def cluster_predictions(train, test):
     """Two clusters on scaled features, named by the majority label of their training rows."""
     prepared = Pipeline(stages=models.scaled_stages(FEATURES)).fit(train)
-    clustering = models.kmeans_best(prepared.transform(train), "features", k=2, starts=3)
+    clustering = models.kmeans_best(prepared.transform(train), "features", k=2)
     assign = lambda df: clustering.transform(prepared.transform(df)).withColumnRenamed("prediction", "cluster")
-    mapping = models.cluster_classes(assign(train), "cluster", "label")
-    return models.classify_by_cluster(assign(test), mapping, "cluster").select("doc_id", "label", "cluster", "prediction")
+    named = models.ClusterToClass(clusterCol="cluster", labelCol="label").fit(assign(train))
+    return named.transform(assign(test)).select("doc_id", "label", "cluster", "prediction")
 
 
 @query("kmeans_cluster")
@@ -179,7 +219,7 @@ def trained_model_comparison(spark, folder):
         if "probability" in said.columns:
             said = said.withColumn("score", vector_to_array("probability")[1])
         else:  # a margin only
-            said = models.calibrated(said, fitted.transform(weighted), "label")
+            said = models.calibrated(said, weighted, _kernel_prepare(), _machine(), "label", "doc_id")
         said = said.select("label", F.col("prediction").cast("int").alias("prediction"), "score")
         parts[name] = evaluate.model_metrics(said, "label", "prediction", "score")
     parts["KMeans"] = evaluate.model_metrics(cluster_predictions(train, test), "label", "prediction")
@@ -188,11 +228,13 @@ def trained_model_comparison(spark, folder):
 
 @query("svm_probabilities")
 def svm_probabilities(spark, folder):
-    """Margins of the kernel machine turned into probabilities."""
+    """Margins of the best rbf machine turned into probabilities by a curve over held-out margins."""
     train, test = train_test(spark, folder)
-    _, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id", folds=2, cs=[1.0], kernels=("rbf",), size=64, iterations=15)
-    machine = searches["rbf"][0].bestModel
-    scored = models.calibrated(machine.transform(test), machine.transform(train), "label")
+    _, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id", kernels=("rbf",))
+    search = searches["rbf"][0]
+    machine = _machine().copy({_machine().regParam: search.bestModel.stages[-1].getRegParam()})
+    weighted = materialize(models.add_class_weight(train, "label"), "weighted")
+    scored = models.calibrated(search.bestModel.transform(test), weighted, _kernel_prepare(), machine, "label", "doc_id")
     return scored.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"), "score")
 
 
@@ -203,15 +245,16 @@ def tree_nodes(spark, folder):
     return models.tree_nodes(fitted.stages[-1], FEATURES)
 
 
-@query("model_store")
+@query("model_store", f"WITH {data.DOCUMENT_SQL},{_SPLIT_FRAME_SQL} SELECT doc_id, true AS equal FROM cut WHERE test")
 def model_store(spark, folder):
-    """Predictions of a stored and reloaded pipeline next to those of the fitted one."""
+    """Whether a stored and reloaded pipeline scores every held-out row as the fitted one does."""
     train, test = train_test(spark, folder)
     fitted = MODELS["LogisticRegression"]().fit(models.add_class_weight(train, "label"))
     path = scratch_path(spark, "model")
     models.save_model(fitted, path)
     score = lambda model, name: model.transform(test).select("doc_id", vector_to_array("probability")[1].alias(name))
-    return score(fitted, "before").join(score(models.load_model(path), "after"), "doc_id")
+    both = score(fitted, "before").join(score(models.load_model(path), "after"), "doc_id")
+    return both.select("doc_id", (F.col("before") == F.col("after")).alias("equal"))
 
 
 _NEAREST_SQL = f"""{CENTROID_SQL},
@@ -232,8 +275,8 @@ WITH {_NEAREST_SQL}, maj AS (SELECT cluster, label AS prediction FROM (
 SELECT vec_id, label, cluster, prediction FROM asg JOIN maj USING (cluster)""")
 def cluster_to_class(spark, folder):
     clustered = materialize(nearest_clusters(spark, folder).select("vec_id", "label", "cluster"), "clusters")
-    mapping = models.cluster_classes(clustered, "cluster", "label")
-    return models.classify_by_cluster(clustered, mapping, "cluster").select("vec_id", "label", "cluster", "prediction")
+    named = models.ClusterToClass(clusterCol="cluster", labelCol="label").fit(clustered)
+    return named.transform(clustered).select("vec_id", "label", "cluster", "prediction")
 
 
 @query("cluster_profile", f"WITH {data.DOCUMENT_SQL} SELECT lang, {', '.join(f'{r6(f'avg({c})')} AS {c}' for c in FEATURES)}, {r6('avg(quality)')} AS positive_rate FROM feat GROUP BY lang")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from cohortwise.functions.seeded import uniform
 from cohortwise.operators import augment, geometry, models, neighbors, reduce
 from cohortwise.plans.evaluation import _SPLIT_SQL, KNN_SQL, knn_predictions, split_vectors
 from cohortwise.plans.registry import query, r6, sql_hash, sql_integer, sql_uniform
-from cohortwise.session import materialize
+from cohortwise.session import materialize, scratch_path
 from cohortwise.sources.tables import table
 
 _LONG = "SELECT vec_id, label, unnest(range(64))::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings"
@@ -133,6 +134,50 @@ def pca_explained_variance(spark, folder):
     return reduce.explained_variance(model, train)
 
 
+_CENTERED_SQL = f"""{_SPLIT_SQL},
+mu AS (SELECT list(m ORDER BY pos) AS m FROM (SELECT pos, avg(x) AS m FROM (SELECT unnest(range(64)) AS pos, unnest(v) AS x FROM split WHERE NOT test) GROUP BY pos)),
+cen AS (SELECT vec_id, label, test, list_transform(range(1, 65), lambda i: v[i] - m[i]) AS y FROM split, mu),
+trn AS (SELECT y FROM cen WHERE NOT test), num AS (SELECT count(*) AS n FROM trn)"""
+
+
+@query("pca_row_energy", f"""
+WITH {_CENTERED_SQL}, g AS (SELECT c.vec_id, sum(pow(list_dot_product(c.y, t.y), 2)) AS s FROM cen c, trn t GROUP BY c.vec_id)
+SELECT vec_id, {r6('s / (n - 1)')} AS energy FROM g, num""")
+def pca_row_energy(spark, folder):
+    """Per row the squares of its coordinates weighted with the spectrum: (x - mean)' C (x - mean), whatever the axes."""
+    model, train, test = _fit(spark, folder, "pca", 64)
+    spectrum = F.array(*[F.lit(v) for v in model.getOrDefault(model.spectrum)])
+    coords = model.transform(train.unionByName(test))
+    return coords.select("vec_id", S.rounded(V.total(F.zip_with("coords", spectrum, lambda c, v: c * c * v))).alias("energy"))
+
+
+@query("pca_spectrum_moments", f"""
+WITH {_CENTERED_SQL}, g AS (SELECT sum(pow(list_dot_product(a.y, b.y), 2)) AS s2 FROM trn a, trn b), d AS (SELECT sum(list_dot_product(y, y)) AS s1 FROM trn)
+SELECT {r6('s1 / (n - 1)')} AS first_moment, {r6('s2 / pow(n - 1, 2)')} AS second_moment FROM g, d, num""")
+def pca_spectrum_moments(spark, folder):
+    """Sums of the eigenvalues and of their squares: the traces of C and of C squared."""
+    spectrum = pca_explained_variance(spark, folder)
+    return spectrum.agg(S.rounded(F.sum("variance")).alias("first_moment"), S.rounded(F.sum(F.col("variance") * F.col("variance"))).alias("second_moment"))
+
+
+@query("pca_full_dimension_knn", f"WITH {KNN_SQL} SELECT vec_id, label, prediction FROM said")
+def pca_full_dimension_knn(spark, folder):
+    """Neighbours in all principal coordinates are those of the vectors themselves."""
+    model, train, test = _fit(spark, folder, "pca", 64)
+    cut = lambda df: materialize(model.transform(df).select("vec_id", "label", F.col("coords").alias("v")), "coords")
+    return neighbors.knn_classify(cut(train), cut(test), "vec_id", "v", "label")
+
+
+@query("knn_estimator", f"WITH {KNN_SQL} SELECT vec_id, label, prediction FROM said")
+def knn_estimator(spark, folder):
+    """The classifier as an estimator, stored inside a pipeline and loaded again."""
+    train, test = split_vectors(spark, folder)
+    stage = neighbors.KNNClassifier(idCol="vec_id", inputCol="embedding", labelCol="label", k=3)
+    path = scratch_path(spark, "pipeline")
+    models.save_model(Pipeline(stages=[stage]).fit(train), path)
+    return models.load_model(path).transform(test).select("vec_id", "label", "prediction")
+
+
 @query("pca_total_variance", f"""
 WITH {_SPLIT_SQL}, long AS (SELECT unnest(range(64)) AS pos, unnest(v) AS x FROM split WHERE NOT test),
 var AS (SELECT var_samp(x) AS v FROM long GROUP BY pos)
@@ -169,7 +214,7 @@ def _knn_score(train, test, dim):
 
 def _svm_score(train, test, dim, n):
     cut = lambda df: df.select("vec_id", "label", array_to_vector(reduce.leading("coords", dim)).alias("f"))
-    machine = models.linear_svm_multiclass("f", "label", n, iterations=10).setParallelism(8)
+    machine = models.linear_svm_multiclass("f", "label", n).setParallelism(8)
     said = machine.fit(cut(train)).transform(cut(test))
     return said.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
 
@@ -195,7 +240,7 @@ def dimension_sweep(spark, folder, dims=(2, 4, 8, 16, 32, 64)):
 def linear_svm_multiclass(spark, folder):
     train, test = split_vectors(spark, folder)
     as_vector = lambda df: df.select("vec_id", "label", array_to_vector(V.as_double("embedding")).alias("f"))
-    machine = models.linear_svm_multiclass("f", "label", train.count(), iterations=20).setParallelism(8)
+    machine = models.linear_svm_multiclass("f", "label", train.count()).setParallelism(8)
     said = machine.fit(as_vector(train)).transform(as_vector(test))
     return said.select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
