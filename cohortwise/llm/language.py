@@ -142,13 +142,15 @@ def fit_language_filter(
     return LanguageFilter.build(sets, [r["lang"] for r in known], bits)
 
 
-def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", names=("lang_pred", "score")) -> DataFrame:
+def identify(
+    docs: DataFrame, model: LanguageFilter, text_col: str = "text", names=("lang_pred", "score"), keep_text: bool = True
+) -> DataFrame:
     """``docs`` with the predicted language and its corrected share of known n-grams (0 to 1) under ``names``.
 
     The language is ``und`` with score 0 if the text is null or has no letter, or nothing was learned. With no known
     n-gram at all the language with most training rows is named, with score 0. Ties go to the language with
     more training rows. All rows and columns of ``docs`` are passed on, whatever they hold; columns of ``docs`` that have one of
-    ``names`` give way. The broadcast filter is bounded by its slots and the number of languages.
+    ``names`` give way, and the text does without ``keep_text``. The broadcast filter is bounded by its slots and the number of languages.
     """
     table = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -156,4 +158,4 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text", nam
         made = [table.value.predict(t) for t in texts]
         return {names[0]: [m[0] for m in made], names[1]: [m[1] for m in made]}
 
-    return add_columns(docs.drop(*names), text_col, kernel, f"{names[0]} string, {names[1]} double")
+    return add_columns(docs.drop(*names), text_col, kernel, f"{names[0]} string, {names[1]} double", keep_text)

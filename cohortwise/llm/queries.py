@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.llm import chat, decontaminate, language, line_dedup, mixing, quality_model, quality_rules, simhash, tokens, toxicity
-from cohortwise.llm.labelled import held_out, labelled_rows, labelled_sample
+from cohortwise.llm.labelled import held_out, labelled_sample
 from cohortwise.llm.registry import ORACLES, QUERIES, query
 from cohortwise.sources.tables import table
 
@@ -135,14 +135,14 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.fit_language_filter(docs.filter(~held_out("doc_id", 5, 0)))
     given = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
-    return language.identify(given, model).drop("text")
+    return language.identify(given, model, keep_text=False)
 
 
 @query("op3_quality_classifier")
 def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    seen = labelled_rows(docs, table(spark, folder, "labels"), "doc_id", "text", "quality")
-    weights = quality_model.fit_quality(seen.filter(~held_out("doc_id", 3, 1)))
+    labels = table(spark, folder, "labels").filter(~held_out("doc_id", 3, 1))
+    weights = quality_model.fit_quality(labelled_sample(docs, labels, "quality", {0: 12_000, 1: 12_000}))
     scored = quality_model.score_quality(docs, weights)
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 

@@ -24,10 +24,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts too short for that to mean anything, of under 20 characters, stay if they have a letter.
     """
     model = language.fit_language_filter(docs.filter(~held_out("doc_id", 5, 0)))
-    found, share = fresh(docs, "_lang_pred", "_lang_score")
-    known = language.identify(docs, model, names=(found, share))
-    sure = (F.col(share) >= LEAST_SHARE) | (F.length("text") < 20)
-    return known.filter((F.col(found) != language.UNKNOWN) & sure).select(*docs.columns)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.length("text").alias("chars"), "text")
+    known = language.identify(rows, model, keep_text=False)
+    sure = (F.col("score") >= LEAST_SHARE) | (F.col("chars") < 20)
+    gone = known.filter((F.col("lang_pred") == language.UNKNOWN) | ~F.coalesce(sure, F.lit(False)))
+    gone = materialize(gone.select("doc_id", "key").distinct().toDF(*fresh(docs, "_of", "_key")), "gone")
+    return matching(docs, gone, "left_anti", "doc_id", "text")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
