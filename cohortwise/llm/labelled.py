@@ -33,22 +33,3 @@ def labelled_sample(
     drawn = materialize(known.filter(chosen), "drawn")
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return materialize(given.join(F.broadcast(drawn), F.col("doc_id") == F.col("of")).select("doc_id", "text", "label"), "labelled")
-
-
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(doc_id, text, label) of the documents with a label of 0 or 1; null ids and labels are left out."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("label")
-    ).distinct()
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return given.join(known, F.col("doc_id") == F.col("of")).drop("of")
-
-
-def bounded_sample(rows: DataFrame, per_label: dict[int, int], seed: int) -> DataFrame:
-    """About ``per_label[label]`` rows of each label, all where there are fewer, drawn by a hash of id and text."""
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20))
-    chosen = F.lit(False)
-    for label, n in per_label.items():
-        chosen = chosen | ((F.col("label") == label) & (draw < int((1 << 20) * min(1.0, n / max(counts.get(label, 0), 1)))))
-    return rows.filter(chosen)

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.arrow import map_columns
-from cohortwise.llm.labelled import bounded_sample
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _SAME = np.uint64(1)  # the shape of a token that repeats the one before
@@ -30,11 +29,12 @@ def _shape(token: str) -> str:
 
 
 class Tokens(dict):
-    """Token to the hashes of its lower-case form and of its shape; bounded."""
+    """Token to one number: the hash of its lower-case form above that of its shape; bounded."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
-        made = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")), zlib.crc32(b"\x00" + _shape(token).encode("utf-8", "surrogatepass"))
-        if len(self) >= 400_000:
+    def __missing__(self, token: str) -> int:
+        word, shape = (zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (token.lower(), "\x00" + _shape(token)))
+        made = word << 32 | shape
+        if len(self) >= 250_000:
             self.clear()
         if len(token) <= 48:
             self[token] = made
@@ -49,8 +49,8 @@ def features(text: str | None, bits: int, known: Tokens) -> tuple[np.ndarray, np
     tokens = _TOKEN.findall(text or "")
     if not tokens:
         return np.zeros(1, np.int64), np.ones(1)
-    both = np.array([known[t] for t in tokens], np.uint64)
-    word, shape = both[:, 0], both[:, 1].copy()
+    both = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     shape[1:][word[1:] == word[:-1]] = _SAME
     hashes = [word, word[:-1] * _PAIR + word[1:], (shape[:-2] * _PAIR + shape[1:-1]) * _TRIPLE + shape[2:], shape * _TRIPLE]
     mixed = np.concatenate(hashes) * _MIX
@@ -85,18 +85,20 @@ def _sigmoid(x: float) -> float:
 
 
 def fit_quality(
-    rows: DataFrame, bits: int = 18, fit_rows: int = 12_000, shards: int = 6, passes: int = 4, alpha: float = 0.5,
-    beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, seed: int = 17,
+    rows: DataFrame, bits: int = 18, shard_rows: int = 3_000, updates: int = 12_000, alpha: float = 0.5, beta: float = 1.0,
+    l1: float = 0.05, l2: float = 0.1, seed: int = 17,
 ) -> np.ndarray:
-    """The averaged weights from rows (doc_id, text, label).
+    """The averaged weights from rows (doc_id, text, label), a bounded sample as ``labelled_sample`` gives it.
 
-    About ``fit_rows`` rows of each label are learned from, drawn by a hash. A shard takes its rows in the order of a hash, so the
-    weights do not depend on partitions; it sends its non-zero weights, at most
+    Rows are dealt to shards of about ``shard_rows``, which pass over them until they have made ``updates`` (4 to 40 times). A shard takes
+    its rows in the order of a hash, so the weights do not depend on partitions; it sends its non-zero weights, at most
     ``2 ** bits`` of them. Without rows all weights are 0 and every score is one half.
     """
-    sample = bounded_sample(rows, {0: fit_rows, 1: fit_rows}, seed)
+    total = rows.count()
+    shards = max(1, round(total / shard_rows))
+    passes = min(40, max(4, updates * shards // max(total, 1)))
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
-    dealt = sample.select("text", "label", order.alias("turn")).withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int"))
+    dealt = rows.select("text", "label", order.alias("turn")).withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int"))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "turn")
     size = (1 << bits) + 1
 
