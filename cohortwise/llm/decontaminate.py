@@ -2,7 +2,8 @@
 
 A seed is a fixed mask over consecutive words; its hash leaves some places out, so it survives substitutions
 there. Seeds of benchmark items and documents are joined by hash, and around each hit the item is laid
-over the document: an overlap counts where a window of words agrees in four fifths of them.
+over the document: an overlap counts where a window of words agrees in four fifths of them. Items shorter than a
+window have masks for their length, so that whatever may differ, one mask is left whole.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -23,8 +25,14 @@ from cohortwise.session import materialize
 # With these two masks every 13 words that differ in at most two places share a seed.
 MASKS = ("11110011", "11010111")
 SPAN = 8
-_WORD = re.compile(r"\w+")
-_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(SPAN)], np.uint64)
+SURE, SURE_OFF = 13, 2
+# Scripts written without blanks: Thai, Lao, Burmese, Khmer, kana and Chinese characters; each character is a word.
+_UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30fa\u30fc-\u30ff\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+_WORD, _ANY_UNSPACED = re.compile(r"\w+"), re.compile(f"[{_UNSPACED}]")
+_MIXED = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOW = 8  # where a seed's second place in the bitmap begins; the first is its highest bits
 
@@ -42,32 +50,58 @@ class WordHashes(dict):
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (_WORD if text.isascii() or not _ANY_UNSPACED.search(text) else _MIXED).findall(text)
 
 
-def seeds(words: list[str], known: WordHashes) -> list[np.ndarray]:
-    """Per mask the hash of every place where it fits."""
-    n = len(words) - SPAN + 1
+def kind_of(n: int, window: int, similarity: float) -> tuple[int, int]:
+    """(words of a window, how many of them may differ) for an item of ``n`` words: under ``SPAN`` words none."""
+    if n < SPAN:
+        return n, 0
+    wide = min(window, n)
+    return wide, wide - math.ceil(similarity * wide - 1e-9)
+
+
+def masks_for(wide: int, off: int) -> list[tuple[int, ...]]:
+    """The places of each mask, for windows of ``wide`` words of which ``off`` may differ.
+
+    Beyond what ``MASKS`` promise, the window is dealt into ``off + 2`` groups. Whatever ``off`` places differ, two groups
+    are left whole, and every two groups are a mask.
+    """
+    if wide >= SURE and off <= SURE_OFF:
+        return [tuple(i for i, used in enumerate(mask) if used == "1") for mask in MASKS]
+    if not off:
+        return [tuple(range(wide))]
+    groups = [range(i, wide, off + 2) for i in range(off + 2)]
+    return [tuple(sorted((*a, *b))) for a, b in combinations(groups, 2)]
+
+
+def hashed(words: list[str], known: WordHashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def seeds(codes: np.ndarray, wide: int, off: int) -> list[np.ndarray]:
+    """Per mask for such windows the hash of every place where it fits."""
+    sure = wide >= SURE and off <= SURE_OFF
+    n = len(codes) - (SPAN if sure else wide) + 1
     if n < 1:
-        return [np.empty(0, np.uint64) for _ in MASKS]
-    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return []
     found = []
-    for number, mask in enumerate(MASKS):
-        total = np.full(n, number + 1, np.uint64)
-        for i, used in enumerate(mask):
-            if used == "1":
-                total += codes[i : i + n] * _MULTIPLIERS[i]
+    for number, places in enumerate(masks_for(wide, off)):
+        total = np.full(n, number + 1 if sure else (wide << 32) + (off << 16) + number, np.uint64)
+        for i in places:
+            total += codes[i : i + n] * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1)
         found.append((total ^ (total >> np.uint64(31))) * _MIX)
     return found
 
 
-def _benchmark_seeds(items: DataFrame) -> DataFrame:
+def _benchmark_seeds(items: DataFrame, window: int, similarity: float) -> DataFrame:
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         known = WordHashes()
         for batch in batches:
             out = {"seed": [], "item": [], "at": []}
             for item, words in zip(batch["item"], batch["words"]):
-                for hashes in seeds(words, known):
+                for hashes in seeds(hashed(words, known), *kind_of(len(words), window, similarity)):
                     out["seed"] += hashes.view(np.int64).tolist()
                     out["item"] += [item] * len(hashes)
                     out["at"] += range(len(hashes))
@@ -105,8 +139,11 @@ def _in_bitmap(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 _REGION = "start int, words array<string>, hits array<struct<seed: bigint, at: int>>"
 
 
-def _regions(docs: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
-    """Stretches of documents around possible seed hits, with the hits; documents are read once."""
+def _regions(docs: DataFrame, bitmap: np.ndarray, window: int, kinds: list[tuple[int, int]]) -> DataFrame:
+    """Stretches of documents around possible seed hits, with the hits; documents are read once.
+
+    ``kinds`` are the windows of the items. Of an item that must be equal as a whole the first place in a document is enough.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
@@ -115,9 +152,13 @@ def _regions(docs: DataFrame, bitmap: np.ndarray, window: int) -> DataFrame:
             out = {n: [] for n in ("doc_id", "key", "start", "words", "hits")}
             for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
                 words, hits = words_of(text), []
-                for hashes in seeds(words, known):
-                    at = np.flatnonzero(_in_bitmap(hashes, shared.value))
-                    hits += zip(at.tolist(), hashes[at].view(np.int64).tolist())
+                codes = hashed(words, known)
+                for wide, off in kinds:
+                    for hashes in seeds(codes, wide, off):
+                        at = np.flatnonzero(_in_bitmap(hashes, shared.value))
+                        if wide < SPAN and not off:
+                            at = at[np.unique(hashes[at], return_index=True)[1]]
+                        hits += zip(at.tolist(), hashes[at].view(np.int64).tolist())
                 hits.sort()
                 i = 0
                 while i < len(hits):
@@ -141,15 +182,15 @@ def overlap(words: list[str], start: int, item: list[str], shift: int, window: i
     """(first word, words, equal words) of the item's overlap with the stretch, at item place = document place - shift.
 
     It is the widest cover by windows, or the whole of a shorter item, that agree in at least ``similarity`` of
-    their words; None if no window does.
+    their words; None if no window does. An item of under ``SPAN`` words must be equal as a whole.
     """
     low, high = max(0, start - shift), min(len(item), start + len(words) - shift)
-    wide = min(window, len(item))
+    wide, off = kind_of(len(item), window, similarity)
     if high - low < wide:
         return None
     equal = np.array([item[i] == words[i + shift - start] for i in range(low, high)])
     sums = np.convolve(equal, np.ones(wide, np.int64), "valid")
-    good = np.flatnonzero(sums >= similarity * wide - 1e-9)
+    good = np.flatnonzero(sums >= wide - off)
     if not len(good):
         return None
     first, last = int(good[0]), int(good[-1]) + wide
@@ -158,14 +199,14 @@ def overlap(words: list[str], start: int, item: list[str], shift: int, window: i
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = 13, similarity: float = 0.8, most_bits: int = 26,
+    item_text_col: str = "text", window: int = 13, similarity: float = 0.8, most_bits: int = 26, least_words: int = SPAN,
 ) -> DataFrame:
     """A row per document and item that overlap: ``doc_id, item_id, first_word, n_words, n_equal, key``.
 
-    Words are runs of letters and digits in lower case, of whole texts. Where several alignments overlap, the one with most
+    Words are runs of letters and digits in lower case, and single characters of scripts written without blanks, of whole texts. Where several alignments overlap, the one with most
     equal words is given (ties: the first). ``key`` is the hash of the document's text, which tells documents with
-    one id apart. Items of fewer than 8 words are no evidence and never match; items under
-    ``window`` words must agree as a whole.
+    one id apart. Items of fewer than ``least_words`` words never match; items under ``window`` words must agree as a
+    whole, and those under 8 words in every word.
 
     Null and empty texts overlap with nothing. Null and repeated ids on either side are kept; rows repeated entirely
     give one row. Other columns are not read. An empty table on either side gives no rows. A seed that many documents
@@ -181,10 +222,13 @@ def contaminated(
             yield {"item": batch["item"], "item_id": batch["item_id"], "words": [words_of(t) for t in batch["text"]]}
 
     kind = items.schema["item_id"].dataType.simpleString()
-    items = materialize(map_columns(items, split, f"item bigint, item_id {kind}, words array<string>"), "items")
-    table = materialize(_benchmark_seeds(items), "seeds")
+    parted = map_columns(items, split, f"item bigint, item_id {kind}, words array<string>")
+    items = materialize(parted.filter(F.size("words") >= max(1, least_words)), "items")
+    lengths = items.select(F.least(F.size("words"), F.lit(max(window, SPAN))).alias("n")).distinct().collect()
+    kinds = sorted({kind_of(r["n"], window, similarity) for r in lengths})
+    table = materialize(_benchmark_seeds(items, window, similarity), "seeds")
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    found = _regions(given, _bitmap(table, most_bits), window).withColumn("region", F.monotonically_increasing_id())
+    found = _regions(given, _bitmap(table, most_bits), window, kinds).withColumn("region", F.monotonically_increasing_id())
     regions = materialize(found, "regions")
     hits = regions.select("region", F.inline("hits")).withColumnRenamed("at", "place")
     laid = hits.join(table, "seed").select("region", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()

@@ -164,5 +164,5 @@ def line_dedup_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_decontamination")
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), least_words=1)
     return found.select("doc_id", "item_id", "first_word", "n_words", "n_equal")

@@ -47,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that overlap with a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), least_words=1)
     return decontaminate.without_contaminated(docs, found)
 
 

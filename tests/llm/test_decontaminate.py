@@ -80,3 +80,46 @@ def test_edge_rows(spark):
     assert left.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in left.collect() if r["text"]) == [(4, "nothing")]
     assert left.count() == 3
     assert D.contaminated(docs.limit(0), items).count() == 0 and D.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_masks_of_short_items_meet_every_allowed_pattern():
+    for n in range(1, 13):
+        wide, off = D.kind_of(n, 13, 0.8)
+        assert (wide, off) == (n, 0 if n < 8 else n // 5)
+        for gone in itertools.combinations(range(n), off):
+            assert any(not set(gone) & set(places) for places in D.masks_for(wide, off)), (n, gone)
+        assert n < 8 or min(map(len, D.masks_for(wide, off))) >= 4
+
+
+def plain_of_any_length(docs, items):
+    parted = [(j, D.words_of(x)) for j, x in items]
+    return {
+        (i, j) for i, t in docs for words in [D.words_of(t)] for j, item in parted
+        if item and any(D.overlap(words, 0, item, shift, 13, 0.8) for shift in range(-len(item), len(words)))
+    }
+
+
+def test_items_of_every_length_against_every_alignment(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefgh", k=draw.randint(3, 6)))
+    items = [(j, [word() for _ in range(1 + j % 16)]) for j in range(64)]
+    docs = []
+    for i in range(512):
+        _, item = items[i % 64]
+        cut = list(item)
+        for at in draw.sample(range(len(cut)), min(len(cut), draw.randint(0, 3))):
+            cut[at] = word()
+        docs.append((i, " ".join([word() for _ in range(draw.randint(0, 9))] + cut + [word() for _ in range(draw.randint(0, 9))])))
+    items = [(j, " ".join(x)) for j, x in items]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), least_words=1)
+    want = plain_of_any_length(docs, items)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == sorted(want)
+    assert {len(dict(items)[j].split()) for _, j in want} == set(range(1, 17))
+
+
+def test_unspaced_scripts_and_the_first_place_of_a_short_item(spark):
+    han = "床前明月光疑是地上霜举头望明月低头思故乡"
+    docs = spark.createDataFrame([(1, f"引言,{han[:9]}x{han[10:]}完"), (2, han[:7]), (3, "so red, so red: so red"), (4, "red so")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, han), (2, "So red")], "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["first_word"], r["n_words"], r["n_equal"]) for r in D.contaminated(docs, items, least_words=1).collect())
+    assert got == [(1, 1, 2, 20, 19), (3, 2, 0, 2, 2)]
