@@ -20,7 +20,7 @@ from cohortwise.llm.rows import bounded_broadcast, fresh, matching
 from cohortwise.session import materialize
 
 SHINGLE = 7
-BANDS, ROWS = 10, 4  # at a similarity of 0.8 a pair meets in one band with 99.5 %, at 0.9 with 99.999 %
+BANDS, ROWS = 12, 4  # at a similarity of 0.8 a pair meets in one band with 99.8 %, at 0.9 with 99.9999 %
 _BLANK = " \t\n\x0b\x0c\r"
 _CHUNK = 1 << 18
 _DRAWS = np.random.default_rng(2024)
@@ -29,12 +29,12 @@ _SHIFTS = _DRAWS.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _FOLD, _STEP = np.uint32(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(line: str) -> np.ndarray:
+def shingles(line: str, width: int = SHINGLE) -> np.ndarray:
     """The character shingles of a line as sorted distinct 64-bit codes; a shorter line is one shingle."""
-    points = np.frombuffer(line.ljust(SHINGLE, "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(points) - SHINGLE + 1
+    points = np.frombuffer(line.ljust(width, "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points) - width + 1
     codes = points[:n].copy()
-    for i in range(1, SHINGLE):
+    for i in range(1, width):
         codes *= _STEP
         codes += points[i : i + n]
     return np.unique(codes)
@@ -45,7 +45,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
+def signatures(lines: list[str], width: int = SHINGLE) -> np.ndarray:
     """MinHash signatures, one row per line."""
     out = np.empty((len(lines), BANDS * ROWS), np.uint32)
     at = 0
@@ -54,27 +54,27 @@ def signatures(lines: list[str]) -> np.ndarray:
         while end < len(lines) and (end == at or size + len(lines[end]) <= _CHUNK):
             size += len(lines[end])
             end += 1
-        out[at:end] = _signed([line.ljust(SHINGLE, "\x00") for line in lines[at:end]])
+        out[at:end] = _signed([line.ljust(width, "\x00") for line in lines[at:end]], width)
         at = end
     return out
 
 
-def _signed(lines: list[str]) -> np.ndarray:
+def _signed(lines: list[str], width: int) -> np.ndarray:
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(line) for line in lines])
-    hashes = points[: len(points) - SHINGLE + 1].copy()
-    for i in range(1, SHINGLE):
+    hashes = points[: len(points) - width + 1].copy()
+    for i in range(1, width):
         hashes *= _FOLD
-        hashes += points[i : len(points) - SHINGLE + 1 + i]
+        hashes += points[i : len(points) - width + 1 + i]
     inside = np.ones(len(points), bool)
     ends = np.cumsum(lengths)
-    for i in range(1, SHINGLE):
+    for i in range(1, width):
         inside[ends - i] = False
     hashes = hashes[inside[: len(hashes)]]
     hashes ^= hashes >> np.uint32(15)
     hashes *= np.uint32(0x85EBCA6B)
     hashes ^= hashes >> np.uint32(13)
-    counts = lengths - SHINGLE + 1
+    counts = lengths - width + 1
     starts = np.cumsum(counts) - counts
     out, drawn = np.empty((len(lines), len(_SLOPES)), np.uint32), np.empty_like(hashes)
     for k, (slope, shift) in enumerate(zip(_SLOPES, _SHIFTS)):
@@ -93,19 +93,19 @@ def band_keys(signs: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint32(15))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, key, at, hi, lo, bands) of every line with a word: 128 bits of hash name the line without blanks around it."""
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             for i in range(0, len(batch["text"]), 1_000):
-                yield from _batch_lines({n: v[i : i + 1_000] for n, v in batch.items()})
+                yield from _batch_lines({n: v[i : i + 1_000] for n, v in batch.items()}, width)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_columns(docs, kernel, f"doc_id {kind}, key bigint, at int, hi bigint, lo bigint, bands array<int>")
 
 
-def _batch_lines(batch: dict) -> Iterator[dict]:
+def _batch_lines(batch: dict, width: int) -> Iterator[dict]:
     rows, places = [], {}
     for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
         for at, line in enumerate((text or "").split("\n")):
@@ -115,7 +115,7 @@ def _batch_lines(batch: dict) -> Iterator[dict]:
     if not rows:
         return
     distinct = list(places)
-    bands = band_keys(signatures(distinct)).view(np.int32).tolist()
+    bands = band_keys(signatures(distinct, width)).view(np.int32).tolist()
     names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in distinct), np.int64).reshape(-1, 2).tolist()
     docs, keys, ats, which = zip(*rows)
     yield {"doc_id": list(docs), "key": list(keys), "at": list(ats), "hi": [names[w][0] for w in which],
@@ -156,7 +156,7 @@ def _texts(ids: DataFrame, distinct: DataFrame, docs: DataFrame, small: int) ->
     return found.dropDuplicates(["id"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """The pairs (a, b) whose lines are at least ``similarity`` alike, by their exact shingle sets."""
     both = pairs.join(texts.toDF("b", "line_b"), "b").join(texts.toDF("a", "line_a"), "a")
 
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                     sets.clear()
                 for end, line in ends:
                     if end not in sets:
-                        sets[end] = shingles(line)
+                        sets[end] = shingles(line, width)
                 if jaccard(*[sets[end] for end, _ in ends]) >= similarity:
                     kept.append(i)
             yield {"a": [batch["a"][i] for i in kept], "b": [batch["b"][i] for i in kept]}
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return map_columns(both.select("a", "b", "line_a", "line_b"), kernel, "a bigint, b bigint")
 
 
-def _settled(members: DataFrame, similarity: float) -> DataFrame:
+def _settled(members: DataFrame, similarity: float, width: int) -> DataFrame:
     """(node, root) of the lines (cluster, id, bands, line) that are similar to another, cluster by cluster.
 
     A line is compared with its bucket mates before it, class by class, and with no more of a class once it is
@@ -186,7 +186,7 @@ def _settled(members: DataFrame, similarity: float) -> DataFrame:
     ordered = members.repartition("cluster").sortWithinPartitions("cluster", "id")
 
     def classes_of(ids: list[int], bands: list[list[int]], lines: list[str]) -> Iterator[tuple[int, int]]:
-        sets, parent = [shingles(x) for x in lines], list(range(len(ids)))
+        sets, parent = [shingles(x, width) for x in lines], list(range(len(ids)))
         buckets: dict[tuple[int, int], list[int]] = {}
 
         def root(i: int) -> int:
@@ -226,7 +226,7 @@ def _settled(members: DataFrame, similarity: float) -> DataFrame:
     return map_columns(ordered.select("cluster", "id", "bands", "line"), kernel, "node bigint, root bigint")
 
 
-def _settled_in_rounds(stars: DataFrame, texts: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+def _settled_in_rounds(stars: DataFrame, texts: DataFrame, similarity: float, width: int, rounds: int = 2) -> DataFrame:
     """The same for clusters of any size, by joins.
 
     Every bucket's lines are compared with one of them. Where they are then in several classes still, those outside its class are compared with
@@ -235,7 +235,7 @@ def _settled_in_rounds(stars: DataFrame, texts: DataFrame, similarity: float, ro
     """
     members = materialize(stars.select("bucket", F.explode(F.array("rep", "member")).alias("id")).distinct(), "members")
     pairs = stars.select(F.col("rep").alias("a"), F.col("member").alias("b")).distinct()
-    links = materialize(_verified(pairs, texts, similarity), "links")
+    links = materialize(_verified(pairs, texts, similarity, width), "links")
     for turn in range(rounds + 1):
         roots = materialize(components(links, "lines"), "roots")
         classed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -250,14 +250,14 @@ def _settled_in_rounds(stars: DataFrame, texts: DataFrame, similarity: float, ro
         else:
             a, b = still.select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a")), still.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
             met = a.join(b, "bucket").filter("a < b and root_a != root_b").select("a", "b")
-        links = links.unionByName(materialize(_verified(met.distinct(), texts, similarity), "links"))
+        links = links.unionByName(materialize(_verified(met.distinct(), texts, similarity, width), "links"))
     return components(links, "lines")
 
 
 MOST_LINES, MOST_CHARS = 20_000, 8_000_000  # of a cluster that one task may hold
 
 
-def _classes(distinct: DataFrame, docs: DataFrame, similarity: float, small: int, most: tuple[int, int]) -> DataFrame:
+def _classes(distinct: DataFrame, docs: DataFrame, similarity: float, small: int, most: tuple[int, int], width: int) -> DataFrame:
     """(node, root) of the distinct lines that are similar to another.
 
     Lines that share buckets, directly or through others, are a cluster, and every class lies inside one. Clusters up to ``most``
@@ -272,21 +272,21 @@ def _classes(distinct: DataFrame, docs: DataFrame, similarity: float, small: int
     )
     crowded = materialize(sizes.filter((F.col("n") > most[0]) | (F.col("chars") > most[1])).select("cluster"), "crowded")
     members = texts.join(clusters, "id").join(distinct.select("id", "bands"), "id").join(crowded, "cluster", "left_anti")
-    settled = _settled(members, similarity)
+    settled = _settled(members, similarity, width)
     if crowded.isEmpty():
         return settled
     large = stars.join(clusters.withColumnRenamed("id", "rep"), "rep").join(crowded, "cluster").select("bucket", "rep", "member")
-    return settled.unionByName(_settled_in_rounds(materialize(large, "large"), texts, similarity))
+    return settled.unionByName(_settled_in_rounds(materialize(large, "large"), texts, similarity, width))
 
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, names=("n_lines", "n_kept"),
-    small: int = 500_000, most: tuple[int, int] = (MOST_LINES, MOST_CHARS),
+    small: int = 500_000, most: tuple[int, int] = (MOST_LINES, MOST_CHARS), shingle: int = SHINGLE,
 ) -> DataFrame:
     """``docs`` with fewer lines: of every class of similar lines only the first occurrence stays.
 
     Lines are parted at line feeds; blanks around a line do not count, and lines without a word go. Lines are similar if the Jaccard
-    similarity of their 7-character shingles is at least ``similarity``; classes are the connected components of that. First
+    similarity of their shingles of ``shingle`` characters is at least ``similarity``; classes are the connected components of that. First
     means the smallest id, then the text's hash, then the place in the text. Kept lines stand in their old order, unchanged. The lines with a
     word before and after are counted under ``names``; columns of ``docs`` with these names give way.
 
@@ -297,10 +297,10 @@ def dedup_lines(
     """
     docs = docs.drop(*names)
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    lines = materialize(_lines(given), "lines")
+    lines = materialize(_lines(given, shingle), "lines")
     firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.first("bands").alias("bands"))
     distinct = materialize(firsts.select(F.monotonically_increasing_id().alias("id"), "first", "bands"), "distinct")
-    roots = materialize(_classes(distinct, given, similarity, small, most), "classes")
+    roots = materialize(_classes(distinct, given, similarity, small, most, shingle), "classes")
     rooted = distinct.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
     kept = rooted.groupBy(F.coalesce("root", "id").alias("class")).agg(F.min("first").alias("first"))
     of, key, places, parts = fresh(docs, "_of", "_key", "_places", "_parts")

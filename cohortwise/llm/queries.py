@@ -158,7 +158,7 @@ def toxicity_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_line_dedup")
 def line_dedup_texts(spark: SparkSession, folder: str) -> DataFrame:
-    docs = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), shingle=5)
     return docs.select("doc_id", "n_lines", "n_kept", "text")
 
 
