@@ -134,3 +134,19 @@ def training_order(mixed: DataFrame, schedules=None) -> DataFrame:
     at = F.when(F.col("target") > 0, due_time(before / F.col("target"), F.col("place"), schedules)).otherwise(F.lit(0.0))
     timed = copies.withColumn("at", at)
     return ordered_index(timed, ["at", "source", "key", "doc_id", "text_key", "pass"], "position")
+
+
+def dealt(mixed: DataFrame, schedules=None) -> DataFrame:
+    """The rows of ``mixture`` with what ``training_order`` makes of them.
+
+    ``taken`` is the sum of the sizes of a row's copies in the order, 0 where it has none; ``first_at``, ``last_at``,
+    ``first_position`` and ``last_position`` are the times and places of its first and last copy, null where it has none. The
+    order is written with times and positions, so all of it is made whatever columns are read.
+    """
+    rows = materialize(mixed.drop("taken", "first_at").withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    order = materialize(training_order(rows, schedules).select("_row", "size", "at", "position"), "order")
+    copies = order.groupBy("_row").agg(
+        F.sum("size").alias("taken"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
+        F.min("position").alias("first_position"), F.max("position").alias("last_position"),
+    )
+    return rows.join(copies, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0))).drop("_row")

@@ -42,7 +42,7 @@ FROM passes
 
 @query("op7_source_mixing", MIXTURE_SQL)
 def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mixture(table(spark, folder, "documents"))
+    mixed = mixing.dealt(mixing.mixture(table(spark, folder, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
