@@ -135,3 +135,9 @@ def test_edge_rows(spark):
         assert len(scored) == len(EDGE) and all(0 <= r["score"] <= 1 for r in scored)
     assert quality_model.score_quality(docs.limit(0), weights).count() == 0
     assert language.identify(docs.limit(0), nothing).count() == 0
+
+
+def test_changed_insults_are_near_their_landmark():
+    model = landmarks("loser")
+    for changed in ("loxqser", "loqxser", "lqosxer", "loxer"):  # two letters inserted, the middle one changed
+        assert best(model, changed) > 0, changed
