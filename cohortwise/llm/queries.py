@@ -6,9 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import chat, decontaminate, language, line_dedup, mixing, quality_model, quality_rules, simhash, tokens, toxicity
+from cohortwise.llm import (
+    chat, decontaminate, language, line_dedup, mixing, quality_model, quality_rules, simhash, substrings, tokens, toxicity,
+    vector_codes, whitening,
+)
 from cohortwise.llm.labelled import held_out, labelled_sample
 from cohortwise.llm.registry import ORACLES, QUERIES, query
+from cohortwise.llm.words import word_list
 from cohortwise.sources.tables import table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -166,3 +170,77 @@ def line_dedup_texts(spark: SparkSession, folder: str) -> DataFrame:
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), least_words=1)
     return found.select("doc_id", "item_id", "first_word", "n_words", "n_equal")
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, folder, "embeddings"))[0]
+
+
+_PART = "v[4 * p + 1 : 4 * p + 4]"
+
+
+def _assignment_sql(source: str, book: str) -> str:
+    gap = " + ".join(f"(e.v[{i}] - b.v[{i}]) * (e.v[{i}] - b.v[{i}])" for i in range(1, 5))
+    return f"""SELECT rid, vec_id, label, p, v, min_by(k, d * 64 + k) AS k, min(d) AS d
+  FROM (SELECT e.rid, e.vec_id, e.label, e.p, e.v, b.k, {gap} AS d FROM {source} e JOIN {book} b ON e.p = b.p)
+  GROUP BY rid, vec_id, label, p, v"""
+
+
+def _update_sql(assigned: str, book: str) -> str:
+    means = ", ".join(f"floor(sum(v[{i}]) / count(*))::BIGINT AS m{i}" for i in range(1, 5))
+    return f"""SELECT b.p, b.k, CASE WHEN m1 IS NULL THEN b.v ELSE [m1, m2, m3, m4] END AS v
+  FROM {book} b LEFT JOIN (SELECT p, k, {means} FROM {assigned} GROUP BY p, k) a ON a.p = b.p AND a.k = b.k"""
+
+
+CODES_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, vec_id, label, p, {_PART} AS v FROM kept, range(16) t(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS k, v FROM parts WHERE rid <= 64),
+a1 AS MATERIALIZED ({_assignment_sql("parts", "b0")}),
+b1 AS MATERIALIZED ({_update_sql("a1", "b0")}),
+a2 AS MATERIALIZED ({_assignment_sql("parts", "b1")}),
+b2 AS MATERIALIZED ({_update_sql("a2", "b1")}),
+a3 AS MATERIALIZED ({_assignment_sql("parts", "b2")}),
+coded AS (
+  SELECT rid, vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a3 GROUP BY rid, vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS h FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM coded, books
+"""
+
+
+@query("op12_vector_code_compression", CODES_SQL)
+def vector_code_compression(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress_vectors(table(spark, folder, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256")
+    )
+
+
+SUBSTRINGS_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+windows AS (
+  SELECT rid, i, array_to_string(words[i : i + 34], ' ') AS w
+  FROM (SELECT rid, words, unnest(generate_series(1, len(words) - 34)) AS i FROM texts WHERE len(words) >= 35)),
+repeated AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY md5(w)) > 1),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(i, i + 34)) AS p FROM repeated),
+placed AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM texts),
+kept AS (
+  SELECT t.rid, count(g.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY t.p) FILTER (g.p IS NULL), '') AS left_over
+  FROM placed t LEFT JOIN gone g ON g.rid = t.rid AND g.p = t.p GROUP BY t.rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op13_substring_dedup", SUBSTRINGS_SQL)
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = substrings.dedup_substrings(table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.array_join(word_list(F.col("text")), " ")
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

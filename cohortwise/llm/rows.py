@@ -19,9 +19,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def bounded_broadcast(table: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A written table marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+MOST_BYTES = 24 << 20
+
+
+def written_bytes(table: DataFrame) -> int:
+    """The size of the folder behind a table that ``materialize`` has written."""
+    files = table.inputFiles()
+    if not files:
+        return 0
+    folder = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    return folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``materialize`` has written and that nothing reads any more."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            folder = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def bounded_broadcast(table: DataFrame, rows: int = 500_000, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """A written table marked for broadcast if it has at most ``rows`` rows in ``most_bytes`` of files, else as it is, for a shuffled join."""
+    small = table.limit(rows + 1).count() <= rows and written_bytes(table) <= most_bytes
+    return F.broadcast(table) if small else table
 
 
 def matching(docs: DataFrame, keys: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
