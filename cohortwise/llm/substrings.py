@@ -156,9 +156,13 @@ def _anchored(docs: DataFrame, window: int, base: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, *names: str) -> DataFrame:
-    """The rows whose values of ``names`` are there more than once. Counts are made before the shuffle, and no group is gathered."""
+    """The rows whose values of ``names`` are there more than once.
+
+    Counts are made before the shuffle, and no group is gathered. The counts are written, so the planner knows how many
+    there are; it splits a frequent value's rows.
+    """
     counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*names)
-    return rows.join(bounded_broadcast(materialize(counts, "repeated")), list(names), "left_semi")
+    return rows.join(materialize(counts, "repeated"), list(names), "left_semi")
 
 
 def _by_doc(rows: DataFrame, tag: str) -> DataFrame:
@@ -167,7 +171,7 @@ def _by_doc(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def _regions(docs: DataFrame, places: DataFrame, window: int, base: int) -> DataFrame:
-    """(doc_no, starts, sizes, words): the word hashes of all that a window with a repeated anchor may cover, a row per document."""
+    """(doc_no, at, starts, sizes, words): the word hashes of all that a window with a repeated anchor may cover, a row per document."""
     given = matching(docs, places, "inner", "doc_id", "text").select("doc_no", "at", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -181,9 +185,10 @@ def _regions(docs: DataFrame, places: DataFrame, window: int, base: int) -> Data
                 starts.append(first)
                 sizes.append(last - first)
                 kept.append(np.concatenate([words[a:b] for a, b in zip(first, last)]))
-            yield {"doc_no": part["doc_no"], "starts": _lists(starts, pa.int32()), "sizes": _lists(sizes, pa.int32()), "words": _lists(kept, pa.int64())}
+            at = _lists(part["at"], pa.int32())
+            yield {"doc_no": part["doc_no"], "at": at, "starts": _lists(starts, pa.int32()), "sizes": _lists(sizes, pa.int32()), "words": _lists(kept, pa.int64())}
 
-    return map_batches(given, kernel, "doc_no bigint, starts array<int>, sizes array<int>, words array<bigint>")
+    return map_batches(given, kernel, "doc_no bigint, at array<int>, starts array<int>, sizes array<int>, words array<bigint>")
 
 
 class _Doc:
@@ -272,7 +277,7 @@ def _covered(regions: DataFrame, length: int, window: int) -> DataFrame:
     pieces = materialize(_pieces(regions, length, window), "pieces")
     name = ["hi", "lo", "n"]
     several = pieces.groupBy(*name).agg(F.count(F.lit(1)).alias("_c"), F.min("doc_no").alias("_speaker")).filter("_c > 1").drop("_c")
-    judged = pieces.join(bounded_broadcast(materialize(several, "several")), name, "left")
+    judged = pieces.join(materialize(several, "several"), name, "left")
     judged = materialize(judged.select("doc_no", "at", "n", "_speaker"), "judged")
     release(pieces)
     whole = judged.filter("_speaker is not null").select("doc_no", F.col("at").alias("first"), (F.col("at") + F.col("n") + (window - 1)).alias("stop"))
@@ -284,7 +289,7 @@ def _covered(regions: DataFrame, length: int, window: int) -> DataFrame:
     windows = materialize(_windows(given, window), "windows")
     counts = windows.groupBy("hi", "lo").agg(F.sum("weight").alias("_n"), F.min("weight").alias("_least"))
     twice = materialize(counts.filter("_n > 1 and _least = 1").select("hi", "lo"), "twice")
-    single = windows.filter("weight = 1").join(bounded_broadcast(twice), ["hi", "lo"], "left_semi")
+    single = windows.filter("weight = 1").join(twice, ["hi", "lo"], "left_semi")
     return whole.unionByName(single.select("doc_no", F.col("at").alias("first"), (F.col("at") + window).alias("stop")))
 
 
@@ -339,14 +344,16 @@ def repeated_words(
     first = materialize(first, "first")
     release(anchored)
     laid = materialize(_regions(given.drop("key"), first, window, base), "regions")
-    at, length = places, base
-    while length < window and not at.isEmpty():
+    here, length = laid, base
+    while not here.isEmpty():
         longer = min(2 * length, window)
-        here = laid.join(bounded_broadcast(at), "doc_no")
         if longer == window:
             spans = _covered(here, length, window)
             break
-        at, length = _by_doc(_repeated(materialize(_extended(here, length, longer, window), "windows"), "hash"), "places"), longer
+        longer_windows = materialize(_extended(here, length, longer, window), "windows")
+        at, length = _by_doc(_repeated(longer_windows, "hash"), "places"), longer
+        release(longer_windows)
+        here = laid.drop("at").join(bounded_broadcast(at), "doc_no")
     else:
         spans = docs.sparkSession.createDataFrame([], "doc_no bigint, first int, stop int")
     if twins:
@@ -369,11 +376,12 @@ def dedup_substrings(
     docs = docs.drop(*names)
     of, key, kept, gone = fresh(docs, "_of", "_key", "_kept", "_gone")
     joined = matching(docs, repeated_words(docs, id_col, text_col, window, base).toDF(of, key, kept, gone), "left", id_col, text_col)
-    words = word_list(F.col(text_col))
+    (words,) = fresh(joined, "_words")
     runs = F.flatten(F.transform(kept, lambda r: F.slice(words, r["at"] + 1, r["n"])))
     return (
-        joined.withColumn(names[0], F.size(words).cast("bigint"))
+        joined.withColumn(words, word_list(F.col(text_col)))
+        .withColumn(names[0], F.size(words).cast("bigint"))
         .withColumn(names[1], F.coalesce(gone, F.lit(0)).cast("bigint"))
         .withColumn(text_col, F.when(F.col(kept).isNull(), F.col(text_col)).otherwise(F.array_join(runs, " ")))
-        .drop(kept, gone)
+        .drop(kept, gone, words)
     )
