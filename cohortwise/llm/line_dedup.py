@@ -2,11 +2,13 @@
 
 Character shingles of every distinct line are hashed into a signature, bands of it put lines into buckets, the
 exact Jaccard similarity of bucket mates decides, and a distributed union-find makes classes of similar lines. Of each class
-the first occurrence stays.
+the first occurrence stays. Two numbers go with a line into its buckets, the count of its shingles and 64 bits of its signature:
+mates whose counts differ too much cannot be similar, and mates whose bits differ too much are not, so few texts are moved.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +18,14 @@ from pyspark.sql import functions as F
 
 from cohortwise.llm.arrow import map_arrays, map_columns
 from cohortwise.llm.components import components
-from cohortwise.llm.rows import bounded_broadcast, fresh, matching
+from cohortwise.llm.rows import bounded_broadcast, fresh, matching, release
 from cohortwise.session import materialize
 
-SHINGLE = 7
-BANDS, ROWS = 12, 4  # at a similarity of 0.8 a pair meets in one band with 99.8 %, at 0.9 with 99.9999 %
+SHINGLE = 5
+BANDS, ROWS = 16, 5  # at a similarity of 0.8 a pair meets in one band with 99.8 %, at 0.9 with 99.9999 %
+ALIKE = 0.9999  # the share of pairs at the bar whose sketches pass for alike, at least
 _BLANK = " \t\n\x0b\x0c\r"
+_WORDED = r"[^\x20\x09-\x0D][^\n]*"  # a line from its first word on
 _CHUNK = 1 << 18
 _DRAWS = np.random.default_rng(2024)
 _SLOPES = _DRAWS.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -45,21 +49,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def signatures(lines: list[str], width: int = SHINGLE) -> np.ndarray:
-    """MinHash signatures, one row per line."""
-    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
+def signatures(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash signatures, one row per line, and the numbers of distinct shingles."""
+    out, counts = np.empty((len(lines), BANDS * ROWS), np.uint32), np.empty(len(lines), np.int64)
     at = 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(lines[end]) <= _CHUNK):
             size += len(lines[end])
             end += 1
-        out[at:end] = _signed([line.ljust(width, "\x00") for line in lines[at:end]], width)
+        out[at:end], counts[at:end] = _signed([line.ljust(width, "\x00") for line in lines[at:end]], width)
         at = end
-    return out
+    return out, counts
 
 
-def _signed(lines: list[str], width: int) -> np.ndarray:
+def _signed(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(line) for line in lines])
     hashes = points[: len(points) - width + 1].copy()
@@ -74,14 +78,32 @@ def _signed(lines: list[str], width: int) -> np.ndarray:
     hashes ^= hashes >> np.uint32(15)
     hashes *= np.uint32(0x85EBCA6B)
     hashes ^= hashes >> np.uint32(13)
-    counts = lengths - width + 1
+    owners = np.repeat(np.arange(len(lines), dtype=np.uint64), lengths - width + 1)
+    codes = np.sort(owners << np.uint64(32) | hashes)
+    codes = codes[np.r_[True, codes[1:] != codes[:-1]]]
+    hashes, counts = codes.astype(np.uint32), np.bincount((codes >> np.uint64(32)).astype(np.int64), minlength=len(lines))
     starts = np.cumsum(counts) - counts
     out, drawn = np.empty((len(lines), len(_SLOPES)), np.uint32), np.empty_like(hashes)
     for k, (slope, shift) in enumerate(zip(_SLOPES, _SHIFTS)):
         np.multiply(hashes, slope, out=drawn)
         drawn += shift
         out[:, k] = np.minimum.reduceat(drawn, starts)
-    return out
+    return out, counts
+
+
+def sketches(signs: np.ndarray) -> np.ndarray:
+    """64 bits per line, one of each of 64 values of its signature: two lines share a bit with (1 + similarity) / 2."""
+    mixed = (signs[:, :64] ^ (signs[:, :64] >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    return np.packbits((mixed >> np.uint32(31)).astype(np.uint8), axis=1).view(np.int64)[:, 0]
+
+
+def bits_apart(similarity: float, alike: float = ALIKE) -> int:
+    """The number of differing sketch bits that ``alike`` of the pairs at ``similarity`` do not exceed."""
+    differ, at, reached = (1 - similarity) / 2, -1, 0.0
+    while reached < alike and at < 64:
+        at += 1
+        reached += math.comb(64, at) * differ**at * (1 - differ) ** (64 - at)
+    return at
 
 
 def band_keys(signs: np.ndarray) -> np.ndarray:
@@ -94,7 +116,7 @@ def band_keys(signs: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, at, hi, lo, bands) of every line with a word: 128 bits of hash name the line without blanks around it."""
+    """(doc_id, key, at, hi, lo, n, sketch, bands) of every line with a word: 128 bits of hash name the line without blanks around it."""
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -102,7 +124,7 @@ def _lines(docs: DataFrame, width: int) -> DataFrame:
                 yield from _batch_lines({n: v[i : i + 1_000] for n, v in batch.items()}, width)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_columns(docs, kernel, f"doc_id {kind}, key bigint, at int, hi bigint, lo bigint, bands array<int>")
+    return map_columns(docs, kernel, f"doc_id {kind}, key bigint, at int, hi bigint, lo bigint, n int, sketch bigint, bands array<int>")
 
 
 def _batch_lines(batch: dict, width: int) -> Iterator[dict]:
@@ -115,41 +137,93 @@ def _batch_lines(batch: dict, width: int) -> Iterator[dict]:
     if not rows:
         return
     distinct = list(places)
-    bands = band_keys(signatures(distinct, width)).view(np.int32).tolist()
+    signs, counts = signatures(distinct, width)
+    bands, marks = band_keys(signs).view(np.int32).tolist(), sketches(signs).tolist()
     names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in distinct), np.int64).reshape(-1, 2).tolist()
     docs, keys, ats, which = zip(*rows)
     yield {"doc_id": list(docs), "key": list(keys), "at": list(ats), "hi": [names[w][0] for w in which],
-           "lo": [names[w][1] for w in which], "bands": [bands[w] for w in which]}
+           "lo": [names[w][1] for w in which], "n": counts[list(which)].tolist(), "sketch": [marks[w] for w in which], "bands": [bands[w] for w in which]}
 
 
-def _stars(distinct: DataFrame) -> DataFrame:
-    """(bucket, rep, member): every further line of a bucket with the bucket's first in an order drawn for it.
+ROOM = 2_048  # members of a bucket whose pairs are looked at inside the task
 
-    Buckets pass as a sorted stream. Other buckets draw other orders, so a line meets several lines that speak for a bucket.
+
+def _mates(distinct: DataFrame, similarity: float, room: int) -> DataFrame:
+    """(bucket, a, b): what is worth comparing. Buckets pass as a sorted stream.
+
+    With a null bucket, a line and the first line of one of its buckets, in an order drawn for the bucket, whose counts and
+    sketches allow the similarity. With a bucket, a member ``a`` that has another such mate there; of a bucket of more than ``room``
+    lines all members.
     """
     bucket = F.shiftleft(F.col("band").cast("bigint"), 32).bitwiseOR(F.col("band_key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    dealt = distinct.select("id", F.posexplode("bands").alias("band", "band_key")).select(bucket.alias("bucket"), "id")
+    dealt = distinct.select("id", "n", "sketch", F.posexplode("bands").alias("band", "band_key")).select(bucket.alias("bucket"), "id", "n", "sketch")
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("bucket", "id"))
+    names, apart = ("bucket", "id", "n", "sketch"), bits_apart(similarity)
+
+    def alike(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, sketch = rows["n"], rows["sketch"]
+        near = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) <= apart
+        return near & (np.minimum(n[i], n[j]) >= (similarity - 1e-3) * np.maximum(n[i], n[j]))
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
-        last, rep = None, 0
-        for batch in batches:
-            bucket, ids = batch["bucket"], batch["id"]
-            if not len(ids):
+        held, speaker = None, None  # rows of a bucket that may go on; the first row of a bucket that outgrew its room
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = batch if held is None else {c: np.concatenate([held[c], batch[c]]) for c in names}
+            if held is None or not len(held["id"]):
                 continue
-            fresh = np.r_[last is None or bucket[0] != last, bucket[1:] != bucket[:-1]]
-            owner = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), -1))
-            reps = np.where(owner >= 0, ids[np.maximum(owner, 0)], rep)
-            last, rep = bucket[-1], int(reps[-1])
-            yield {"bucket": bucket[~fresh], "rep": reps[~fresh], "member": ids[~fresh]}
-
-    return map_arrays(ordered, kernel, "bucket bigint, rep bigint, member bigint")
-
-
-def _texts(ids: DataFrame, distinct: DataFrame, docs: DataFrame, small: int) -> DataFrame:
+            rows = held
+            if speaker is not None:  # its bucket goes on in front
+                goes = int(np.searchsorted(rows["bucket"] != speaker["bucket"][0], True))
+                yield {"bucket": rows["bucket"][:goes].tolist(), "a": rows["id"][:goes].tolist(), "b": [None] * goes}
+                joined = {c: np.concatenate([speaker[c], rows[c][:goes]]) for c in names}
+                j = np.arange(1, goes + 1)
+                j = j[alike(joined, np.zeros_like(j), j)]
+                yield {"bucket": [None] * len(j), "a": [int(speaker["id"][0])] * len(j), "b": joined["id"][j].tolist()}
+                rows = {c: rows[c][goes:] for c in names}
+                held = rows
+                if not len(rows["id"]):
+                    continue
+                speaker = None
+            new = np.flatnonzero(np.r_[True, rows["bucket"][1:] != rows["bucket"][:-1]])
+            last, total = int(new[-1]), len(rows["id"])
+            if batch is None:
+                held = None
+            elif total - last > room:
+                speaker = {c: rows[c][last : last + 1] for c in names}
+                held = {c: rows[c][total:] for c in names}
+            else:
+                held, rows, new = {c: rows[c][last:] for c in names}, {c: rows[c][:last] for c in names}, new[:-1]
+            sizes = np.diff(np.r_[new, len(rows["id"])])
+            firsts = np.repeat(new, sizes)
+            others = np.flatnonzero(firsts != np.arange(len(firsts)))
+            others = others[alike(rows, firsts[others], others)]
+            yield {"bucket": [None] * len(others), "a": rows["id"][firsts[others]].tolist(), "b": rows["id"][others].tolist()}
+            wide = np.repeat(sizes > room, sizes)
+            open_, here, step = wide.copy(), np.flatnonzero((firsts != np.arange(len(firsts))) & ~wide), 1
+            while True:  # pairs without the first line, ``step`` places apart
+                here = here[here + step < len(firsts)]
+                here = here[firsts[here] == firsts[here + step]]
+                if not len(here):
+                    break
+                near = here[alike(rows, here, here + step)]
+                open_[near] = open_[near + step] = True
+                step += 1
+            found = np.flatnonzero(open_)
+            yield {"bucket": rows["bucket"][found].tolist(), "a": rows["id"][found].tolist(), "b": [None] * len(found)}
+
+    return map_arrays(ordered, kernel, "bucket bigint, a bigint, b bigint")
+
+
+def _with_end(batches: Iterator[dict]) -> Iterator[dict | None]:
+    yield from batches
+    yield None
+
+
+def _texts(ids: DataFrame, known: DataFrame, docs: DataFrame, small: int) -> DataFrame:
     """(id, line) of the given distinct lines, read from the documents where they occur first."""
     first = [F.col(f"first.{n}").alias(f"of_{n}") for n in ("doc_id", "key", "at")]
-    wanted = materialize(distinct.join(ids, "id").select("id", *first), "wanted")
+    wanted = materialize(known.join(ids, "id").select("id", *first), "wanted")
     lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("key") == F.col("of_key")) & (F.col("at") == F.col("of_at"))
     found = lines.join(bounded_broadcast(wanted, small), same).select("id", F.trim("line", F.lit(_BLANK)).alias("line"))
@@ -177,111 +251,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return map_columns(both.select("a", "b", "line_a", "line_b"), kernel, "a bigint, b bigint")
 
 
-def _settled(members: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(node, root) of the lines (cluster, id, bands, line) that are similar to another, cluster by cluster.
+TILE, TILE_CHARS = 512, 2_000_000  # lines and characters of a tile; a task holds two
 
-    A line is compared with its bucket mates before it, class by class, and with no more of a class once it is
-    linked to it. The root is the smallest id of the class. A cluster is held by one task, so its size must be bounded.
-    """
-    ordered = members.repartition("cluster").sortWithinPartitions("cluster", "id")
 
-    def classes_of(ids: list[int], bands: list[list[int]], lines: list[str]) -> Iterator[tuple[int, int]]:
-        sets, parent = [shingles(x, width) for x in lines], list(range(len(ids)))
-        buckets: dict[tuple[int, int], list[int]] = {}
+def _compared(members: DataFrame, similarity: float, width: int, tile: int) -> DataFrame:
+    """Links (a, b) between lines (bucket, id, root, line) of one bucket and different roots that are similar.
 
-        def root(i: int) -> int:
+    A bucket is cut into tiles by hash, and every two tiles of it are compared by one task, so no task follows the size of a bucket
+    and no pair is written. Of the similar pairs of two tiles only a spanning set is returned.
+    """
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("line")).alias("chars"))
+    tiles = F.ceil(F.greatest(F.col("m") / tile, F.col("chars") / TILE_CHARS)).cast("int")
+    cut = members.join(materialize(sizes.select("bucket", tiles.alias("tiles")), "sizes"), "bucket")
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    met = cut.select("bucket", "id", "root", "line", own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    met = met.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    group = ["bucket", "low", "high"]
+    ordered = met.select(*group, "tile", "id", "root", "line").repartition(*group).sortWithinPartitions(*group)
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        tile, ids, roots, lines = zip(*rows)
+        tile, same = np.array(tile), len(set(tile)) == 1
+        classes = {r: i for i, r in reversed(list(enumerate(roots)))}
+        parent = [classes[r] for r in roots]
+
+        def top(i: int) -> int:
             while parent[i] != i:
                 parent[i] = parent[parent[i]]
                 i = parent[i]
             return i
 
-        for i, keys in enumerate(bands):
-            mates = {j: None for at in enumerate(keys) for j in buckets.get(at, ())}
-            for j in mates:
-                a, b = root(i), root(j)
-                if a != b and jaccard(sets[i], sets[j]) >= similarity:
+        sets = [shingles(x, width) for x in lines]
+        counts = np.array([len(s) for s in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        holder = np.repeat(np.arange(len(sets)), counts)[np.argsort(code, kind="stable")]  # lines by shingle
+        ends = np.cumsum(np.bincount(code))
+        begins, cut, found = np.r_[0, ends[:-1]], np.cumsum(counts), []
+        for i in range(len(sets)):
+            of = code[cut[i] - counts[i] : cut[i]]
+            n = ends[of] - begins[of]
+            shared = np.bincount(holder[np.repeat(begins[of] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+            for j in np.flatnonzero((shared >= similarity * (counts + counts[i] - shared)) & (np.arange(len(sets)) > i) & (same | (tile != tile[i]))):
+                a, b = top(i), top(int(j))
+                if a != b:
                     parent[max(a, b)] = min(a, b)
-            for at in enumerate(keys):
-                buckets.setdefault(at, []).append(i)
-        sizes: dict[int, int] = {}
-        for i in range(len(ids)):
-            sizes[root(i)] = sizes.get(root(i), 0) + 1
-        return ((ids[i], ids[root(i)]) for i in range(len(ids)) if sizes[root(i)] > 1)
+                    found.append((ids[i], ids[j]))
+        return found
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
-        cluster, held = None, []
-        for batch in batches:
+        at, held = None, []
+        for batch in _with_end(batches):
             found = []
-            for row in zip(*[batch[n] for n in ("cluster", "id", "bands", "line")]):
-                if held and row[0] != cluster:
-                    found += classes_of(*zip(*held))
+            for row in zip(*batch.values()) if batch is not None else [(None,) * 7]:
+                if held and row[:3] != at:
+                    found += links(held)
                     held = []
-                cluster = row[0]
-                held.append(row[1:])
-            yield {"node": [f[0] for f in found], "root": [f[1] for f in found]}
-        if held:
-            found = list(classes_of(*zip(*held)))
-            yield {"node": [f[0] for f in found], "root": [f[1] for f in found]}
+                at = row[:3]
+                held.append(row[3:])
+            yield {"a": [f[0] for f in found], "b": [f[1] for f in found]}
 
-    return map_columns(ordered.select("cluster", "id", "bands", "line"), kernel, "node bigint, root bigint")
+    return map_columns(ordered, kernel, "a bigint, b bigint")
 
 
-def _settled_in_rounds(stars: DataFrame, texts: DataFrame, similarity: float, width: int, rounds: int = 2) -> DataFrame:
-    """The same for clusters of any size, by joins.
+def _classes(distinct: DataFrame, known: DataFrame, docs: DataFrame, similarity: float, small: int, width: int, room: int, tile: int) -> DataFrame:
+    """(node, root) of the distinct lines that are similar to another: the components of the verified links.
 
-    Every bucket's lines are compared with one of them. Where they are then in several classes still, those outside its class are compared with
-    another one, ``rounds`` times. In buckets that are open even then, all lines of different classes are compared: no pair of
-    bucket mates is left open, and a bucket of many near copies costs a few passes.
+    Lines are first compared with the first of each of their buckets. Buckets that then still hold several classes have all
+    pairs of lines of different classes compared, so every two bucket mates are compared or in one class.
     """
-    members = materialize(stars.select("bucket", F.explode(F.array("rep", "member")).alias("id")).distinct(), "members")
-    pairs = stars.select(F.col("rep").alias("a"), F.col("member").alias("b")).distinct()
+    mates = materialize(_mates(distinct, similarity, room), "mates")
+    pairs = mates.filter("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(mates.filter("bucket is not null").select(F.col("a").alias("id")))
+    texts = materialize(_texts(ids.distinct(), known, docs, small), "texts")
     links = materialize(_verified(pairs, texts, similarity, width), "links")
-    for turn in range(rounds + 1):
-        roots = materialize(components(links, "lines"), "roots")
-        classed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        speaker = F.min_by(F.struct("id", "root"), F.xxhash64(F.lit(turn), "bucket", "id")).alias("speaker")
-        classed = materialize(classed, "classed")
-        split = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), speaker)
-        still = materialize(classed.join(split.filter("low != high and n > 2"), "bucket"), "open")
-        if still.isEmpty():
-            return roots
-        if turn < rounds:
-            met = still.filter("root != speaker.root").select(F.least("id", "speaker.id").alias("a"), F.greatest("id", "speaker.id").alias("b"))
-        else:
-            a, b = still.select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a")), still.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-            met = a.join(b, "bucket").filter("a < b and root_a != root_b").select("a", "b")
-        links = links.unionByName(materialize(_verified(met.distinct(), texts, similarity, width), "links"))
-    return components(links, "lines")
-
-
-MOST_LINES, MOST_CHARS = 20_000, 8_000_000  # of a cluster that one task may hold
-
-
-def _classes(distinct: DataFrame, docs: DataFrame, similarity: float, small: int, most: tuple[int, int], width: int) -> DataFrame:
-    """(node, root) of the distinct lines that are similar to another.
-
-    Lines that share buckets, directly or through others, are a cluster, and every class lies inside one. Clusters up to ``most``
-    lines and characters are settled by one task each, larger ones in rounds of joins; both compare the same pairs.
-    """
-    stars = materialize(_stars(distinct), "stars")
-    clusters = materialize(components(stars.select(F.col("rep").alias("a"), F.col("member").alias("b")), "clusters"), "clusters")
-    clusters = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster"))
-    texts = materialize(_texts(clusters.select("id"), distinct, docs, small), "texts")
-    sizes = texts.select("id", F.length("line").alias("chars")).join(clusters, "id").groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")
-    )
-    crowded = materialize(sizes.filter((F.col("n") > most[0]) | (F.col("chars") > most[1])).select("cluster"), "crowded")
-    members = texts.join(clusters, "id").join(distinct.select("id", "bands"), "id").join(crowded, "cluster", "left_anti")
-    settled = _settled(members, similarity, width)
-    if crowded.isEmpty():
-        return settled
-    large = stars.join(clusters.withColumnRenamed("id", "rep"), "rep").join(crowded, "cluster").select("bucket", "rep", "member")
-    return settled.unionByName(_settled_in_rounds(materialize(large, "large"), texts, similarity, width))
+    roots = materialize(components(links, "lines"), "roots")
+    open_ = mates.filter("bucket is not null").select("bucket", F.col("a").alias("id")).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    open_ = materialize(open_.withColumn("root", F.coalesce("root", "id")), "open")
+    several = open_.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    members = materialize(open_.join(several, "bucket").join(texts, "id"), "members")
+    if members.isEmpty():
+        return roots
+    more = materialize(_compared(members, similarity, width, tile), "links")
+    release(mates, texts, members)
+    return components(links.unionByName(more), "lines")
 
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, names=("n_lines", "n_kept"),
-    small: int = 500_000, most: tuple[int, int] = (MOST_LINES, MOST_CHARS), shingle: int = SHINGLE,
+    small: int = 1_000_000, shingle: int = SHINGLE, room: int = ROOM, tile: int = TILE,
 ) -> DataFrame:
     """``docs`` with fewer lines: of every class of similar lines only the first occurrence stays.
 
@@ -293,26 +351,29 @@ def dedup_lines(
     A null text stays null, a text whose lines all go becomes empty; no row goes. A null id comes before all others; rows
     with equal id and text count as one document and keep the same lines. Other columns are passed on unread. No rows in, no rows out. A line
     that many documents hold is one row after the first, pre-aggregated step. ``small`` is the row bound of a broadcast
-    table; beyond it the join is shuffled. ``most`` bounds the lines and characters that one task settles alone.
+    table; beyond it the join is shuffled. ``room`` bounds the members of a bucket that a task holds as numbers, ``tile`` half of those
+    that it holds as texts; larger buckets are compared tile by tile.
     """
     docs = docs.drop(*names)
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     lines = materialize(_lines(given, shingle), "lines")
-    firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.first("bands").alias("bands"))
-    distinct = materialize(firsts.select(F.monotonically_increasing_id().alias("id"), "first", "bands"), "distinct")
-    roots = materialize(_classes(distinct, given, similarity, small, most, shingle), "classes")
-    rooted = distinct.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    of_line = [F.first(c).alias(c) for c in ("n", "sketch", "bands")]
+    firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), *of_line)
+    distinct = materialize(firsts.select(F.monotonically_increasing_id().alias("id"), "first", "n", "sketch", "bands"), "distinct")
+    release(lines)
+    known = distinct.select("id", "first")
+    roots = materialize(_classes(distinct, known, given, similarity, small, shingle, room, tile), "classes")
+    rooted = known.join(roots.withColumnRenamed("node", "id"), "id", "left")
     kept = rooted.groupBy(F.coalesce("root", "id").alias("class")).agg(F.min("first").alias("first"))
     of, key, places, parts = fresh(docs, "_of", "_key", "_places", "_parts")
     kept = kept.groupBy(F.col("first.doc_id").alias(of), F.col("first.key").alias(key)).agg(
         F.sort_array(F.collect_list("first.at")).alias(places)  # of one document, which bounds it
     )
     joined = matching(docs, materialize(kept, "kept"), "left", id_col, text_col)
-    worded = F.size(F.filter(parts, lambda x: F.ltrim(x, F.lit(_BLANK)) != ""))
     text = F.concat_ws("\n", F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.get(parts, i)))
     return (
         joined.withColumn(parts, F.split(text_col, "\n"))
-        .withColumn(names[0], F.coalesce(worded, F.lit(0)).cast("bigint"))
+        .withColumn(names[0], F.coalesce(F.regexp_count(text_col, F.lit(_WORDED)), F.lit(0)).cast("bigint"))
         .withColumn(names[1], F.coalesce(F.size(places), F.lit(0)).cast("bigint"))
         .withColumn(text_col, F.when(F.col(text_col).isNotNull(), text))
         .drop(places, parts)
