@@ -26,7 +26,7 @@ BANDS, ROWS = 16, 5  # at a similarity of 0.8 a pair meets in one band with 99.8
 ALIKE = 0.9999  # the share of pairs at the bar whose sketches pass for alike, at least
 _BLANK = " \t\n\x0b\x0c\r"
 _WORDED = r"[^\x20\x09-\x0D][^\n]*"  # a line from its first word on
-_CHUNK = 1 << 18
+_CHUNK = 1 << 16  # characters that are hashed at a time
 _DRAWS = np.random.default_rng(2024)
 _SLOPES = _DRAWS.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _SHIFTS = _DRAWS.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -116,7 +116,10 @@ def band_keys(signs: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, at, hi, lo, n, sketch, bands) of every line with a word: 128 bits of hash name the line without blanks around it."""
+    """(doc_id, key, at, parts, worded, hi, lo, n, sketch, bands) of every line with a word.
+
+    128 bits of hash name the line without blanks around it; ``parts`` counts the lines of its text, ``worded`` those with a word.
+    """
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
@@ -124,24 +127,23 @@ def _lines(docs: DataFrame, width: int) -> DataFrame:
                 yield from _batch_lines({n: v[i : i + 1_000] for n, v in batch.items()}, width)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_columns(docs, kernel, f"doc_id {kind}, key bigint, at int, hi bigint, lo bigint, n int, sketch bigint, bands array<int>")
+    return map_columns(docs, kernel, f"doc_id {kind}, key bigint, at int, parts int, worded int, hi bigint, lo bigint, n int, sketch bigint, bands array<int>")
 
 
 def _batch_lines(batch: dict, width: int) -> Iterator[dict]:
     rows, places = [], {}
     for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
-        for at, line in enumerate((text or "").split("\n")):
-            line = line.strip(_BLANK)
-            if line:
-                rows.append((doc, key, at, places.setdefault(line, len(places))))
+        lines = [line.strip(_BLANK) for line in (text or "").split("\n")]
+        worded = len(lines) - lines.count("")
+        rows += [(doc, key, at, len(lines), worded, places.setdefault(x, len(places))) for at, x in enumerate(lines) if x]
     if not rows:
         return
     distinct = list(places)
     signs, counts = signatures(distinct, width)
     bands, marks = band_keys(signs).view(np.int32).tolist(), sketches(signs).tolist()
     names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in distinct), np.int64).reshape(-1, 2).tolist()
-    docs, keys, ats, which = zip(*rows)
-    yield {"doc_id": list(docs), "key": list(keys), "at": list(ats), "hi": [names[w][0] for w in which],
+    docs, keys, ats, parts, worded, which = zip(*rows)
+    yield {"doc_id": list(docs), "key": list(keys), "at": list(ats), "parts": list(parts), "worded": list(worded), "hi": [names[w][0] for w in which],
            "lo": [names[w][1] for w in which], "n": counts[list(which)].tolist(), "sketch": [marks[w] for w in which], "bands": [bands[w] for w in which]}
 
 
@@ -157,7 +159,7 @@ def _mates(distinct: DataFrame, similarity: float, room: int) -> DataFrame:
     """
     bucket = F.shiftleft(F.col("band").cast("bigint"), 32).bitwiseOR(F.col("band_key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
     dealt = distinct.select("id", "n", "sketch", F.posexplode("bands").alias("band", "band_key")).select(bucket.alias("bucket"), "id", "n", "sketch")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("bucket", "id"))
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket")
     names, apart = ("bucket", "id", "n", "sketch"), bits_apart(similarity)
 
     def alike(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -195,7 +197,11 @@ def _mates(distinct: DataFrame, similarity: float, room: int) -> DataFrame:
             else:
                 held, rows, new = {c: rows[c][last:] for c in names}, {c: rows[c][:last] for c in names}, new[:-1]
             sizes = np.diff(np.r_[new, len(rows["id"])])
-            firsts = np.repeat(new, sizes)
+            shared = np.repeat(sizes > 1, sizes)
+            rows, sizes = {c: rows[c][shared] for c in names}, sizes[sizes > 1]
+            turn = (rows["id"] ^ rows["bucket"] * np.int64(0x9E3779B1)) * np.int64(0x2545F4914F6CDD1D)
+            order = np.lexsort((turn ^ (turn >> np.int64(29)), rows["bucket"]))
+            rows, firsts = {c: rows[c][order] for c in names}, np.repeat(np.cumsum(sizes) - sizes, sizes)
             others = np.flatnonzero(firsts != np.arange(len(firsts)))
             others = others[alike(rows, firsts[others], others)]
             yield {"bucket": [None] * len(others), "a": rows["id"][firsts[others]].tolist(), "b": rows["id"][others].tolist()}
@@ -221,31 +227,60 @@ def _with_end(batches: Iterator[dict]) -> Iterator[dict | None]:
 
 
 def _texts(ids: DataFrame, known: DataFrame, docs: DataFrame, small: int) -> DataFrame:
-    """(id, line) of the given distinct lines, read from the documents where they occur first."""
-    first = [F.col(f"first.{n}").alias(f"of_{n}") for n in ("doc_id", "key", "at")]
-    wanted = materialize(known.join(ids, "id").select("id", *first), "wanted")
-    lines = docs.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("key") == F.col("of_key")) & (F.col("at") == F.col("of_at"))
-    found = lines.join(bounded_broadcast(wanted, small), same).select("id", F.trim("line", F.lit(_BLANK)).alias("line"))
-    return found.dropDuplicates(["id"])
+    """(id, line) of the given distinct lines, read from the documents where they occur first; only those documents are cut into lines."""
+    wanted = known.join(ids, "id").groupBy(F.col("first.doc_id").alias("_of"), F.col("first.key").alias("_key")).agg(
+        F.collect_list(F.struct("id", F.col("first.at").alias("at"))).alias("_wanted")  # of one document, which bounds it
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("key") == F.col("_key"))
+    held = docs.join(bounded_broadcast(materialize(wanted, "wanted"), small), same).withColumn("_parts", F.split("text", "\n"))
+    line = lambda w: F.struct(w["id"].alias("id"), F.trim(F.get("_parts", w["at"]), F.lit(_BLANK)).alias("line"))
+    return held.select(F.inline(F.transform("_wanted", line))).dropDuplicates(["id"])
+
+
+def _pair_codes(lines: list[str], width: int) -> np.ndarray:
+    """The distinct shingles of the lines, each as its line's place in ten bits and 54 bits of hash, sorted."""
+    filled = [line.ljust(width, "\x00") for line in lines]
+    points = np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(line) for line in filled])
+    n = len(points) - width + 1
+    codes = points[:n].copy()
+    for i in range(1, width):
+        codes *= _STEP
+        codes += points[i : i + n]
+    codes ^= codes >> np.uint64(31)
+    codes *= np.uint64(0xBF58476D1CE4E5B9)
+    owners, inside = np.repeat(np.arange(len(lines), dtype=np.uint64), lengths), np.ones(len(points), bool)
+    ends = np.cumsum(lengths)
+    for i in range(1, width):
+        inside[ends - i] = False
+    codes = np.sort((owners[:n] << np.uint64(54) | codes >> np.uint64(10))[inside[:n]])
+    return codes[np.r_[True, codes[1:] != codes[:-1]]]
+
+
+def similarities(left: list[str], right: list[str], width: int) -> np.ndarray:
+    """The Jaccard similarities of the pairs of lines, many at a time."""
+    out, at = np.empty(len(left)), 0
+    while at < len(left):
+        end, size = at, 0
+        while end < len(left) and end - at < 1_000 and (end == at or size + len(left[end]) + len(right[end]) <= _CHUNK):
+            size += len(left[end]) + len(right[end])
+            end += 1
+        sides = [_pair_codes(side[at:end], width) for side in (left, right)]
+        both = np.sort(np.concatenate(sides))
+        count = lambda codes: np.bincount((codes >> np.uint64(54)).astype(np.int64), minlength=end - at)
+        shared = count(both[1:][both[1:] == both[:-1]])
+        out[at:end] = shared / (count(sides[0]) + count(sides[1]) - shared)
+        at = end
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose lines are at least ``similarity`` alike, by their exact shingle sets."""
+    """The pairs (a, b) whose lines are at least ``similarity`` alike, by their shingle sets."""
     both = pairs.join(texts.toDF("b", "line_b"), "b").join(texts.toDF("a", "line_a"), "a")
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
-        sets: dict[int, np.ndarray] = {}
         for batch in batches:
-            kept = []
-            for i, ends in enumerate(zip(*[zip(batch[e], batch[f"line_{e}"]) for e in "ab"])):
-                if len(sets) > 1_000:
-                    sets.clear()
-                for end, line in ends:
-                    if end not in sets:
-                        sets[end] = shingles(line, width)
-                if jaccard(*[sets[end] for end, _ in ends]) >= similarity:
-                    kept.append(i)
+            kept = np.flatnonzero(similarities(batch["line_a"], batch["line_b"], width) >= similarity)
             yield {"a": [batch["a"][i] for i in kept], "b": [batch["b"][i] for i in kept]}
 
     return map_columns(both.select("a", "b", "line_a", "line_b"), kernel, "a bigint, b bigint")
@@ -358,23 +393,25 @@ def dedup_lines(
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     lines = materialize(_lines(given, shingle), "lines")
     of_line = [F.first(c).alias(c) for c in ("n", "sketch", "bands")]
-    firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), *of_line)
+    firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "at", "parts", "worded")).alias("first"), *of_line)
     distinct = materialize(firsts.select(F.monotonically_increasing_id().alias("id"), "first", "n", "sketch", "bands"), "distinct")
     release(lines)
     known = distinct.select("id", "first")
     roots = materialize(_classes(distinct, known, given, similarity, small, shingle, room, tile), "classes")
     rooted = known.join(roots.withColumnRenamed("node", "id"), "id", "left")
     kept = rooted.groupBy(F.coalesce("root", "id").alias("class")).agg(F.min("first").alias("first"))
-    of, key, places, parts = fresh(docs, "_of", "_key", "_places", "_parts")
+    of, key, places, parts, worded, cut = fresh(docs, "_of", "_key", "_places", "_parts", "_worded", "_cut")
     kept = kept.groupBy(F.col("first.doc_id").alias(of), F.col("first.key").alias(key)).agg(
-        F.sort_array(F.collect_list("first.at")).alias(places)  # of one document, which bounds it
+        F.sort_array(F.collect_list("first.at")).alias(places),  # of one document, which bounds it
+        F.first("first.parts").alias(parts), F.first("first.worded").alias(worded),
     )
     joined = matching(docs, materialize(kept, "kept"), "left", id_col, text_col)
-    text = F.concat_ws("\n", F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.get(parts, i)))
+    fewer = F.concat_ws("\n", F.transform(places, lambda i: F.get(cut, i)))
+    whole = F.col(text_col).isNull() | F.coalesce(F.size(places) == F.col(parts), F.lit(False))
     return (
-        joined.withColumn(parts, F.split(text_col, "\n"))
-        .withColumn(names[0], F.coalesce(F.regexp_count(text_col, F.lit(_WORDED)), F.lit(0)).cast("bigint"))
-        .withColumn(names[1], F.coalesce(F.size(places), F.lit(0)).cast("bigint"))
-        .withColumn(text_col, F.when(F.col(text_col).isNotNull(), text))
-        .drop(places, parts)
+        joined.withColumn(cut, F.when(F.size(places) < F.col(parts), F.split(text_col, "\n")))
+        .withColumn(names[0], F.coalesce(worded, F.regexp_count(text_col, F.lit(_WORDED)), F.lit(0)).cast("bigint"))
+        .withColumn(names[1], F.when(F.col(places).isNull(), 0).otherwise(F.size(places)).cast("bigint"))
+        .withColumn(text_col, F.when(whole, F.col(text_col)).when(F.col(cut).isNull(), "").otherwise(fewer))
+        .drop(places, parts, worded, cut)
     )
