@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from cohortwise.functions.vectors import as_double, euclidean
+from cohortwise.operators import batched
 from cohortwise.operators.aggregates import between_group_spread, group_means, group_mode, group_positive_rate
 from cohortwise.operators.sampling import stratified_folds
 from cohortwise.session import materialize, scratch_path
@@ -101,10 +103,14 @@ def f1_of_positives(label: str) -> MulticlassClassificationEvaluator:
 
 @dataclass
 class Search:
-    """A finished grid search: the mean score per cell and the best cell's pipeline on all rows."""
+    """A finished grid search: the mean score per cell, and the best cell's pipeline, fitted on all rows when it is asked for."""
 
     avgMetrics: list[float]
-    bestModel: PipelineModel
+    refit: Callable[[], PipelineModel]
+
+    @cached_property
+    def bestModel(self) -> PipelineModel:
+        return self.refit()
 
 
 def in_threads(spark: SparkSession, task, items: list) -> list:
@@ -158,11 +164,15 @@ def grid_search(df: DataFrame, prepare: list, estimator, grid: list, label: str,
     for found in in_threads(spark, one, [(f, params, cells) for params, cells in fits for f in range(folds)]):
         for cell, value in found:
             sums[cell] += value / folds
-    best = max(range(len(grid)), key=lambda i: sums[i])
+    return Search(sums, lambda: refitted(df, prepare, estimator, grid[max(range(len(grid)), key=lambda i: sums[i])], label))
+
+
+def refitted(df: DataFrame, prepare: list, estimator, cell: dict, label: str) -> PipelineModel:
+    """The pipeline of one cell on all labelled rows."""
     labelled = in_few_tasks(df.filter(F.col(label).isNotNull()))
     whole = Pipeline(stages=prepare).fit(labelled)
-    final = estimator.fit(materialize(whole.transform(labelled), "whole"), grid[best])
-    return Search(sums, PipelineModel(stages=[*whole.stages, final]))
+    final = estimator.fit(materialize(whole.transform(labelled), "whole"), cell)
+    return PipelineModel(stages=[*whole.stages, final])
 
 
 def tree_arrays(model, spark: SparkSession) -> list[dict]:
@@ -172,7 +182,7 @@ def tree_arrays(model, spark: SparkSession) -> list[dict]:
     data = spark.read.parquet(f"{path}/data")
     nodes = data.select("treeID", "nodeData.*") if "treeID" in data.columns else data.withColumn("treeID", F.lit(0))
     split = [F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")]
-    table = nodes.select("treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild", *split).toPandas()
+    table = nodes.select("treeID", "id", "prediction", "impurityStats", "rawCount", "leftChild", "rightChild", *split).toPandas()
     trees = []
     for _, rows in table.sort_values(["treeID", "id"]).groupby("treeID"):
         stats = np.stack(rows["impurityStats"].to_numpy())
@@ -180,17 +190,21 @@ def tree_arrays(model, spark: SparkSession) -> list[dict]:
             "left": rows["leftChild"].to_numpy(), "right": rows["rightChild"].to_numpy(), "feature": rows["feature"].to_numpy(),
             "threshold": rows["threshold"].fillna(0.0).to_numpy(), "said": rows["prediction"].to_numpy(),
             "chance": stats / np.maximum(stats.sum(axis=1, keepdims=True), 1e-300),
+            "rows": rows["rawCount"].to_numpy(), "cover": stats.sum(axis=1),
         })
     return trees
 
 
-def descend(tree: dict, rows: np.ndarray, depths: list[int]) -> dict[int, np.ndarray]:
-    """The node that each row has reached after so many splits, or the leaf before."""
+def descend(tree: dict, rows: np.ndarray, depths: list[int], least: int = 2) -> dict[int, np.ndarray]:
+    """The node that each row has reached after so many splits, or the leaf before.
+
+    Nodes of fewer than ``least`` rows count as leaves: a tree is grown from the root, so this is the tree with that least split.
+    """
     at, found = np.zeros(len(rows), np.int64), {}
     for depth in range(max(depths) + 1):
         if depth in depths:
             found[depth] = at
-        inner = tree["left"][at] >= 0
+        inner = (tree["left"][at] >= 0) & (tree["rows"][at] >= least)
         if not inner.any():
             return {d: found.get(d, at) for d in depths}
         below = rows[np.arange(len(rows)), np.where(inner, tree["feature"][at], 0)] <= tree["threshold"][at]
@@ -227,9 +241,11 @@ def grid_table(df: DataFrame, fitted, grid: list) -> DataFrame:
 LR_C = [0.01, 0.1, 1.0, 10.0, 100.0]
 LR_PENALTY = {"l1": 1.0, "l2": 0.0}
 TREE_DEPTH = [3, 5, 7, 10, 30]  # 30 is the deepest Spark grows, standing in for no limit
+TREE_SPLIT = [2, 5, 10]
 TREE_LEAF = [1, 2, 4]
 FOREST_TREES = [100, 150, 200]
 FOREST_DEPTH = [8, 10, 12]
+FOREST_SPLIT = [2, 5]
 FOREST_LEAF = [1, 2]
 FOREST_FEATURES = ["sqrt", "log2"]
 SVM_C = [0.1, 1.0, 10.0]
@@ -240,10 +256,10 @@ def logistic_regression_cv(
     df: DataFrame, cols: list[str], label: str, key: str, folds: int = 5, cs=LR_C, penalties=tuple(LR_PENALTY),
     iterations: int = 1000,
 ):
-    """Scaled logistic regression with balanced weights. Returns (fitted search, grid).
+    """Scaled logistic regression with balanced weights. Returns (search, grid).
 
     With balanced weights the weights sum to the row count, so a strength C corresponds to a
-    penalty of 1 / (C n) on Spark's mean loss.
+    penalty of 1 / (C n) on the mean loss. All cells and folds are fitted together, one job per iteration.
     """
     weighted = add_class_weight(df, label)
     n = df.count()
@@ -253,60 +269,88 @@ def logistic_regression_cv(
         ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * n) for c in cs])
         .addGrid(model.elasticNetParam, [LR_PENALTY[p] for p in penalties]).build()
     )
-    return grid_search(weighted, scaled_stages(cols), model, grid, label, key, folds), grid
+    folded = in_few_tasks(stratified_folds(weighted.filter(F.col(label).isNotNull()), label, key, folds))
+    rows = batched.written_rows(folded, cols, label, "weight")
+    fits = [batched.Fit(cell[model.regParam], cell[model.elasticNetParam], fold) for cell in grid for fold in range(folds)]
+    scores = batched.held_out_f1(rows, cols, batched.fit_logistics(rows, cols, fits), fits)
+    means = [sum(scores[i * folds : (i + 1) * folds]) / folds for i in range(len(grid))]
+    best = grid[max(range(len(grid)), key=lambda i: means[i])]
+    return Search(means, lambda: refitted(weighted, scaled_stages(cols), model, best, label)), grid
+
 
+def least_split(estimator) -> Param:
+    """The grid axis for the least rows of a node that is split. Spark has no such parameter; grown trees are cut by it."""
+    return Param(estimator, "minRowsPerSplit", "least rows of a node that is split")
 
-def decision_tree_cv(df, cols, label, key, folds=5, depths=TREE_DEPTH, leaves=TREE_LEAF):
-    """A tree splits greedily from the root, so one cut at depth m is the one grown to depth m: each leaf size is fitted
-    once per fold, to the largest depth, and its cuts are scored."""
+
+def decision_tree_cv(df, cols, label, key, folds=5, depths=TREE_DEPTH, splits=TREE_SPLIT, leaves=TREE_LEAF):
+    """A tree splits greedily from the root, so one cut at depth m, or at nodes of few rows, is the one grown so: each leaf size
+    is fitted once per fold, to the largest depth, and its cuts are scored."""
     weighted = add_class_weight(df, label)
     model = DecisionTreeClassifier(labelCol=label, weightCol="weight", seed=42, maxBins=64)
-    grid = ParamGridBuilder().addGrid(model.minInstancesPerNode, leaves).addGrid(model.maxDepth, depths).build()
+    split = least_split(model)
+    grid = ParamGridBuilder().addGrid(model.minInstancesPerNode, leaves).addGrid(split, splits).addGrid(model.maxDepth, depths).build()
     fits = [({model.minInstancesPerNode: leaf, model.maxDepth: max(depths)},
              [i for i, c in enumerate(grid) if c[model.minInstancesPerNode] == leaf]) for leaf in leaves]
 
     def score(fitted, held, cells):
-        tree, wanted = tree_arrays(fitted, held.sparkSession)[0], [grid[i][model.maxDepth] for i in cells]
+        tree, wanted = tree_arrays(fitted, held.sparkSession)[0], [(grid[i][split], grid[i][model.maxDepth]) for i in cells]
 
         def said(rows):
-            reached = descend(tree, rows, wanted)
-            return [tree["said"][reached[d]] == 1 for d in wanted]
+            reached = {least: descend(tree, rows, depths, least) for least in splits}
+            return [tree["said"][reached[least][d]] == 1 for least, d in wanted]
 
         return _f1_of_variants(held, label, said)
 
     return grid_search(weighted, scaled_stages(cols), model, grid, label, key, folds, fits, score), grid
 
 
+def subset_size(strategy: str, features: int) -> int:
+    """How many features a node of a forest may choose from."""
+    return math.ceil(math.sqrt(features)) if strategy == "sqrt" else max(1, math.ceil(math.log2(features)))
+
+
 def random_forest_cv(
-    df, cols, label, key, folds=3, trees=FOREST_TREES, depths=FOREST_DEPTH, leaves=FOREST_LEAF, subsets=FOREST_FEATURES
+    df, cols, label, key, folds=3, trees=FOREST_TREES, depths=FOREST_DEPTH, splits=FOREST_SPLIT, leaves=FOREST_LEAF, subsets=FOREST_FEATURES
 ):
-    """The trees of a forest are drawn one by one, so the first of a larger forest are a forest of their own: the numbers of
-    trees share one fit. They are other draws than separate fits would make."""
+    """One forest per fold, leaf size and number of features to choose from, of the most trees and the largest depth.
+
+    The trees of a forest are drawn one by one, so the first of a larger forest are a forest of their own; cut at a depth, or at nodes of few
+    rows, they are trees grown so. They are other draws than separate fits would make. Strategies that give the same number of
+    features share their fits.
+    """
     weighted = add_class_weight(df, label)
     model = RandomForestClassifier(labelCol=label, weightCol="weight", seed=42)
-    shape = [model.maxDepth, model.minInstancesPerNode, model.featureSubsetStrategy]
+    split, params = least_split(model), [model.minInstancesPerNode, model.featureSubsetStrategy]
     builder = ParamGridBuilder()
-    for param, values in zip([*shape, model.numTrees], [depths, leaves, subsets, trees]):
+    for param, values in zip([model.maxDepth, split, *params, model.numTrees], [depths, splits, leaves, subsets, trees]):
         builder = builder.addGrid(param, values)
     grid, shared = builder.build(), {}
     for i, cell in enumerate(grid):
-        shared.setdefault(tuple(cell[p] for p in shape), []).append(i)
-    fits = [({**dict(zip(shape, values)), model.numTrees: max(trees)}, cells) for values, cells in shared.items()]
+        shared.setdefault((cell[params[0]], subset_size(cell[params[1]], len(cols))), []).append(i)
+    most = {model.maxDepth: max(depths), model.numTrees: max(trees)}
+    fits = [({**most, params[0]: leaf, params[1]: str(size)}, cells) for (leaf, size), cells in shared.items()]
 
     def score(fitted, held, cells):
-        grown, wanted, deepest = tree_arrays(fitted, held.sparkSession), [grid[i][model.numTrees] for i in cells], fitted.getOrDefault("maxDepth")
+        grown = tree_arrays(fitted, held.sparkSession)
+        wanted = [(grid[i][model.numTrees], grid[i][split], grid[i][model.maxDepth]) for i in cells]
 
         def said(rows):
-            chance, found = 0.0, {}
+            chance, found = {}, {}
             for n, tree in enumerate(grown, 1):
-                chance = chance + tree["chance"][descend(tree, rows, [deepest])[deepest]]
-                if n in wanted:
-                    found[n] = chance.argmax(axis=1) == 1
-            return [found[n] for n in wanted]
+                for least in splits:
+                    for depth, at in descend(tree, rows, depths, least).items():
+                        chance[least, depth] = chance.get((least, depth), 0.0) + tree["chance"][at]
+                if n in trees:
+                    found.update({(n, *cut): total.argmax(axis=1) == 1 for cut, total in chance.items()})
+            return [found[w] for w in wanted]
 
         return _f1_of_variants(held, label, said)
 
-    return grid_search(weighted, scaled_stages(cols), model, grid, label, key, folds, fits, score), grid
+    search = grid_search(weighted, scaled_stages(cols), model, grid, label, key, folds, fits, score)
+    best = grid[max(range(len(grid)), key=lambda i: search.avgMetrics[i])]
+    plain = {p: v for p, v in best.items() if p is not split}
+    return Search(search.avgMetrics, lambda: refitted(weighted, scaled_stages(cols), model, plain, label)), grid
 
 
 def mlp(cols: list[str], label: str, classes: int = 2, hidden=tuple(HIDDEN), iterations: int = 200) -> Pipeline:
