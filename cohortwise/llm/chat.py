@@ -160,10 +160,14 @@ def conversation_digests(pieces: DataFrame) -> DataFrame:
     rows of a conversation pass one task in order, since a SHA-256 runs through its text, but as a
     stream: a worker holds one Arrow batch and the open hashes, however long the conversation is.
     """
+    role = F.coalesce("role", F.lit(""))
+    head = F.length(F.regexp_replace(role, r"[\\:#<]", "##")) + len(HEAD + COLON)
+    said = F.substring("formatted", head + 1, F.length("formatted") - head - len(TAIL + LINE))
     ordered = (
-        pieces.select("conv_id", "turn", "formatted", "loss_start", "loss_end")
+        pieces.select("conv_id", "turn", "formatted", "loss_start", "loss_end", role.alias("role"), F.regexp_replace(said, r"(?s)\\(.)", "$1").alias("said"))
         .repartition("conv_id")
-        .sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "formatted")
+        .sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "said", "formatted")
+        .drop("role", "said")
     )
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:

@@ -24,15 +24,17 @@ GRAM = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 _LAST_LETTER = 0x33479  # the end of the last block of letters
-_LETTERS: list[np.ndarray] = []
+_KINDS: list[np.ndarray] = []
 
 
-def _is_letter(points: np.ndarray) -> np.ndarray:
-    if not _LETTERS:
-        table = np.zeros(_LAST_LETTER + 2, bool)  # its last entry stands for all beyond
-        table[[c for c in range(_LAST_LETTER + 1) if unicodedata.category(chr(c))[0] in "LM"]] = True
-        _LETTERS.append(table)
-    return _LETTERS[0][np.minimum(points, _LAST_LETTER + 1)]
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """2 for a letter, 1 for a mark that goes with letters, 0 for all else."""
+    if not _KINDS:
+        table = np.zeros(_LAST_LETTER + 2, np.int8)  # its last entry stands for all beyond
+        for c in range(_LAST_LETTER + 1):
+            table[c] = {"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0)
+        _KINDS.append(table)
+    return _KINDS[0][np.minimum(points, _LAST_LETTER + 1)]
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -41,9 +43,10 @@ def grams(text: str | None) -> np.ndarray:
     Empty without a letter; a text shorter than an n-gram is filled up with blanks.
     """
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _is_letter(points)
-    if not letter.any():
+    kinds = _kinds(points)
+    if not (kinds == 2).any():
         return np.empty(0, np.uint64)
+    letter = kinds > 0
     points = np.where(letter, points, 32)
     points = np.concatenate([[32], points[letter | np.r_[True, letter[:-1]]], [32]])
     if points[1] == 32:

@@ -309,14 +309,29 @@ def _calibrated(sample: DataFrame, model: ToxicityModel) -> np.ndarray:
 
     seen = map_columns(sample.select("text", "label"), kernel, "evidence array<double>, label int").toPandas()
     x, y = np.array(seen["evidence"].tolist()), seen["label"].to_numpy().astype(float)
-    curve, ridge = np.zeros(x.shape[1]), np.diag([1e-6, 0.1, 0.1, 0.1])
-    for _ in range(100):  # damped Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ curve, -35, 35)))
-        move = np.linalg.solve(x.T @ (x * np.maximum(p * (1 - p), 1e-9)[:, None]) + ridge, x.T @ (p - y) + ridge @ curve)
-        curve = curve - move * min(1, 1 / max(np.abs(move).max(), 1e-12))
-        if np.abs(move).max() < 1e-8:
-            break
-    return curve
+    return _rising_curve(x, y)
+
+
+def _rising_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of which all but the first, the constant's, are not negative: more evidence never lowers a chance.
+
+    Weights that come out negative are held at zero, the lowest first, and the others fitted again.
+    """
+    free = list(range(x.shape[1]))
+    while True:
+        part, curve = x[:, free], np.zeros(len(free))
+        ridge = np.diag([1e-6] + [0.1] * (len(free) - 1))
+        for _ in range(100):  # damped Newton steps
+            p = 1 / (1 + np.exp(-np.clip(part @ curve, -35, 35)))
+            move = np.linalg.solve(part.T @ (part * np.maximum(p * (1 - p), 1e-9)[:, None]) + ridge, part.T @ (p - y) + ridge @ curve)
+            curve = curve - move * min(1, 1 / max(np.abs(move).max(), 1e-12))
+            if np.abs(move).max() < 1e-8:
+                break
+        if len(free) == 1 or curve[1:].min() >= 0:
+            out = np.zeros(x.shape[1])
+            out[free] = curve
+            return out
+        del free[1 + int(curve[1:].argmin())]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", bar: float = 0.3) -> DataFrame:
