@@ -141,3 +141,18 @@ def test_changed_insults_are_near_their_landmark():
     model = landmarks("loser")
     for changed in ("loxqser", "loqxser", "lqosxer", "loxer"):  # two letters inserted, the middle one changed
         assert best(model, changed) > 0, changed
+
+
+def test_no_language_without_a_letter(spark):
+    langs = spark.createDataFrame([(9, "the dog and the cat", "en")], "doc_id bigint, text string, lang string")
+    model = language.fit_language_filter(langs)
+    assert model.predict("\u0301\u0301 12") == ("und", 0.0) and model.predict("e\u0301t")[0] == "en"
+
+
+def test_more_evidence_never_lowers_a_chance():
+    draw = np.random.default_rng(3)
+    first = draw.normal(size=400)
+    x = np.column_stack([np.ones(400), first, first - 0.1, np.log1p(first > 0)])
+    y = (x[:, 2] + 0.3 * draw.normal(size=400) > 0.8).astype(float)
+    curve = toxicity._rising_curve(x, y)
+    assert (curve[1:] >= 0).all() and curve[1:].max() > 0 and (toxicity._rising_curve(-x * [-1, 1, 1, 1], y)[1:] == 0).all()

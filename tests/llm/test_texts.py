@@ -144,3 +144,14 @@ def test_mixture_edge_rows(spark):
     assert mixing.mixture(docs.limit(0)).count() == 0
     blank = mixing.mixture(docs.filter("text is null")).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in blank] == [(0, 0.0, 0)]
+
+
+def test_ties_of_a_turn_go_by_role_and_text(spark):
+    from cohortwise.llm import chat
+
+    rows = [(1, 0, "user2", "b"), (1, 0, "user", "z"), (1, 0, "user", "<x"), (1, 0, "user", "</turn>"), (1, 0, None, "###")]
+    said = sorted(((r or "", t) for _, _, r, t in rows))
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "conv_id bigint, turn bigint, role string, text string")
+        assert chat.conversation_digests(chat.format_conversations(df)).collect()[0]["turns_sha256"] == want
