@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import factorial
+
 from pyspark.sql import functions as F
 
 from cohortwise.functions import scalars as S
@@ -216,3 +219,56 @@ def sampled_shapley(spark, folder):
     rows = sampling.seeded_sample(frame, "doc_id", 1000)
     background = sampling.seeded_sample(frame, "doc_id", 100, seed="background")
     return explain.sampled_shapley(model, rows, background, "doc_id", data.TEXT_FEATURES)
+
+
+# A small tree over three text features; a node is (feature, threshold, rows, left, right) or (rows, value).
+TREE_COLS = ["n_chars", "variety", "digit_share"]
+TREE = ("n_chars", 500.0, 100, ("variety", 0.7, 60, (20, 0.9), (40, 0.2)), ("digit_share", 0.01, 40, (30, 0.7), ("n_chars", 2000.0, 10, (4, 0.4), (6, 0.1))))
+
+
+def tree_table(node) -> dict:
+    """The nested nodes as arrays, the root first."""
+    out = {c: [] for c in ("left", "right", "feature", "threshold", "cover", "value")}
+
+    def add(n) -> int:
+        at = len(out["left"])
+        for c, v in zip(out, (-1, -1, 0, 0.0, n[0] if len(n) == 2 else n[2], n[1] if len(n) == 2 else 0.0)):
+            out[c].append(v)
+        if len(n) == 5:
+            out["feature"][at], out["threshold"][at] = TREE_COLS.index(n[0]), n[1]
+            out["left"][at], out["right"][at] = add(n[3]), add(n[4])
+        return at
+
+    add(node)
+    return out
+
+
+def _tree_sql(node, known: frozenset) -> str:
+    """The tree's value if only some features are known."""
+    if len(node) == 2:
+        return f"{node[1]}::DOUBLE"
+    feature, cut, rows, left, right = node
+    parts = [_tree_sql(n, known) for n in (left, right)]
+    if feature in known:
+        return f"CASE WHEN {feature} <= {cut}::DOUBLE THEN {parts[0]} ELSE {parts[1]} END"
+    covers = [n[0] if len(n) == 2 else n[2] for n in (left, right)]
+    return f"(({covers[0]}::DOUBLE * {parts[0]} + {covers[1]}::DOUBLE * {parts[1]}) / {rows}::DOUBLE)"
+
+
+def _shapley_sql(feature: str) -> str:
+    """The definition: the weighted mean change over all subsets of the other features."""
+    others = [c for c in TREE_COLS if c != feature]
+    terms = []
+    for subset in (frozenset(s) for k in range(len(others) + 1) for s in combinations(others, k)):
+        weight = factorial(len(subset)) * factorial(len(others) - len(subset)) / factorial(len(TREE_COLS))
+        terms.append(f"{weight}::DOUBLE * ({_tree_sql(TREE, subset | {feature})} - {_tree_sql(TREE, subset)})")
+    return " + ".join(terms)
+
+
+@query("tree_attribution", f"WITH {data.DOCUMENT_SQL} " + " UNION ALL ".join(
+    f"SELECT doc_id, '{c}' AS feature, {r6(_shapley_sql(c))} AS attribution, {r6(_tree_sql(TREE, frozenset()))} AS base, {r6(_tree_sql(TREE, frozenset(TREE_COLS)))} AS score FROM feat"
+    for c in TREE_COLS))
+def tree_attribution(spark, folder):
+    """Exact attributions of a small tree for every labelled document; the SQL lists all subsets."""
+    found = explain.tree_attributions(data.document_features(spark, folder), [tree_table(TREE)], "doc_id", TREE_COLS)
+    return found.select("doc_id", "feature", *[S.rounded(c).alias(c) for c in ("attribution", "base", "score")])
