@@ -8,7 +8,7 @@ import pytest
 
 from cohortwise.llm.queries import ORACLES, PROBE_TEXT, QUERIES
 
-TABLES = ["documents", "benchmark", "labels", "conversations"]
+TABLES = ["documents", "benchmark", "labels", "conversations", "embeddings"]
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def test_same_rows(spark, folder, db, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name, parts, rest", [
