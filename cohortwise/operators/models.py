@@ -17,11 +17,9 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -37,6 +35,8 @@ from pyspark.util import inheritable_thread_target
 from cohortwise.functions.vectors import as_double, euclidean
 from cohortwise.operators import batched
 from cohortwise.operators.aggregates import between_group_spread, group_means, group_mode, group_positive_rate
+from cohortwise.operators.clustering import kmeans_starts
+from cohortwise.operators.network import RectifierNetwork
 from cohortwise.operators.sampling import stratified_folds
 from cohortwise.session import materialize, scratch_path
 
@@ -353,10 +353,9 @@ def random_forest_cv(
     return Search(search.avgMetrics, lambda: refitted(weighted, scaled_stages(cols), model, plain, label)), grid
 
 
-def mlp(cols: list[str], label: str, classes: int = 2, hidden=tuple(HIDDEN), iterations: int = 200) -> Pipeline:
-    """Scaled multilayer perceptron; Spark trains sigmoid layers by L-BFGS."""
-    net = MultilayerPerceptronClassifier(labelCol=label, layers=[len(cols), *hidden, classes], maxIter=iterations, seed=42)
-    return Pipeline(stages=[*scaled_stages(cols), net])
+def mlp(cols: list[str], label: str, hidden=tuple(HIDDEN), iterations: int = 200) -> Pipeline:
+    """Scaled network of rectifier layers that stops early."""
+    return Pipeline(stages=[*scaled_stages(cols), RectifierNetwork(labelCol=label, hidden=list(hidden), maxIter=iterations)])
 
 
 class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -436,14 +435,8 @@ def linear_svm_multiclass(features: str, label: str, n: int, c: float = 1.0, ite
 
 
 def kmeans_best(df: DataFrame, features: str, k: int = 2, starts: int = 10, iterations: int = 300):
-    """The clustering with the lowest cost out of several seeded starts, which run side by side."""
-    kept = df.select(features).persist()
-    try:
-        fit = lambda seed: KMeans(featuresCol=features, k=k, maxIter=iterations, seed=seed).fit(kept)
-        fits = in_threads(df.sparkSession, fit, [42 + i for i in range(starts)])
-    finally:
-        kept.unpersist()
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    """The clustering with the lowest cost out of several seeded starts, all of which move in the same jobs."""
+    return kmeans_starts(df, features, k, starts, iterations)[0]
 
 
 def mean_centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
