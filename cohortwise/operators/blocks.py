@@ -17,6 +17,7 @@ from cohortwise.session import materialize
 
 BLOCK_ROWS = 50_000
 BLOCK_BYTES = 32_000_000
+KINDS = {"x": np.float64, "w": np.float64, "y": np.int32, "held": np.bool_, "key": np.int64, "fold": np.int32}
 
 
 def rows_per_block(width: int) -> int:
@@ -67,8 +68,8 @@ def seeded_blocks(rows: DataFrame, seed: int, share: float, size: int | None = N
     return _settled(materialize(packed, "blocks"))
 
 
-def hashed_blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (x, w) as they lie, written: (d, x, w, key), matrices as bytes; ``key`` is a hash of the row's content."""
+def plain_blocks(rows: DataFrame, others: list[str]) -> DataFrame:
+    """``rows`` (x and ``others``) as they lie, written: (d, x, others), matrices as bytes."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -76,19 +77,19 @@ def hashed_blocks(rows: DataFrame) -> DataFrame:
                 x = np.stack(batch["x"].to_numpy()).astype(float)
                 for at in range(0, len(x), step := rows_per_block(x.shape[1])):
                     part = slice(at, at + step)
-                    yield pd.DataFrame({
-                        "d": [x.shape[1]], "x": [x[part].tobytes()], "w": [batch["w"].to_numpy(float)[part].tobytes()],
-                        "key": [batch["key"].to_numpy(np.int64)[part].tobytes()],
-                    })
+                    yield pd.DataFrame({"d": [x.shape[1]], "x": [x[part].tobytes()]} | {c: [batch[c].to_numpy(KINDS[c])[part].tobytes()] for c in others})
+
+    return _settled(materialize(rows.mapInPandas(pack, "d int, x binary, " + ", ".join(f"{c} binary" for c in others)), "blocks"))
 
-    keyed = rows.select("x", "w", F.xxhash64("x").alias("key"))
-    return _settled(materialize(keyed.mapInPandas(pack, "d int, x binary, w binary, key binary"), "blocks"))
+
+def hashed_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (x, w) as they lie, written: (d, x, w, key), matrices as bytes; ``key`` is a hash of the row's content."""
+    return plain_blocks(rows.select("x", "w", F.xxhash64("x").alias("key")), ["w", "key"])
 
 
 def unpacked(batch: pd.DataFrame) -> Iterator[dict]:
     """The blocks of a batch with their matrices."""
-    kinds = {"x": np.float64, "w": np.float64, "y": np.int32, "held": np.bool_, "key": np.int64}
     for row in batch.to_dict("records"):
-        block = {c: np.frombuffer(row[c], kind) for c, kind in kinds.items() if c in row}
+        block = {c: np.frombuffer(row[c], kind) for c, kind in KINDS.items() if c in row}
         block["x"] = block["x"].reshape(-1, row["d"])
         yield block | {"block": row.get("block", 0)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
 
@@ -21,7 +21,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasOutputCol, HasOutputCols, HasPredictionCol
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from cohortwise.functions.vectors import as_double, euclidean
-from cohortwise.operators import batched
+from cohortwise.operators import batched, machines
 from cohortwise.operators.aggregates import between_group_spread, group_means, group_mode, group_positive_rate
 from cohortwise.operators.clustering import kmeans_starts
 from cohortwise.operators.network import RectifierNetwork
@@ -387,32 +387,59 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return dataset.withColumn(self.getOutputCol(), array_to_vector(expand(vector_to_array(self.getInputCol()))))
 
 
-def kernel_stages(features: int, kernel: str, size: int = 256, degree: int = 3) -> list:
-    """Stages turning ``features`` into explicit kernel features."""
-    if kernel == "rbf":
-        return [FourierFeatures(inputCol="features", outputCol="kernel", gamma=1.0 / features, size=size)]
-    return [PolynomialExpansion(degree=degree, inputCol="features", outputCol="kernel")]
-
-
-def kernel_svm_cv(df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly"), size=256, degree=3, iterations=100):
-    """Support vector machine on explicit kernel features, C by kernel grid.
+def kernel_svm_cv(
+    df, cols, label, key, folds=3, cs=SVM_C, kernels=("rbf", "poly"), size=256, degree=3, iterations=100, gammas=("scale",)
+):
+    """Support vector machine on the true kernel through ``size`` landmarks of each fold's training rows, C by gamma by kernel grid.
 
-    rbf: random cosine features with gamma = 1 / features (scaled inputs have unit variance).
-    poly: polynomial expansion of all features. Returns the best (kernel, fitted search) with the
-    searches of all kernels.
+    Columns are z-scored by each fold's own rows. gamma "auto" is one over the number of columns, "scale" also over their variance: on z-scores
+    both are the same unless a column is constant, so one of them is the default. A number is taken as it is. All cells and folds of a
+    kernel are fitted together. Returns the best kernel and (search, grid) by kernel.
     """
     weighted = add_class_weight(df, label)
-    n = df.count()
-    searches = {}
+    folded = in_few_tasks(stratified_folds(weighted.filter(F.col(label).isNotNull()), label, key, folds))
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = materialize(folded.select(*[F.col(c).cast("double").alias(c) for c in cols], x.alias("x"), F.col(label).alias("y"), F.col("weight").alias("w"), "fold"), "machines")
+    moments, blocks = batched.fold_moments(rows, cols), machines.written_blocks(rows)
+    marks, seen = machines.drawn_rows(rows, size * 2)
+    estimator = machines.VectorMachine(labelCol=label, weightCol="weight", degree=degree, size=size, maxIter=iterations)
+    width, searches = Param(estimator, "gamma", "kernel width, a number or a rule"), {}
+
+    def space(fold: int, kernel: str, gamma) -> machines.Space:
+        means, stds = batched.scaling(moments, fold)
+        mine = marks[[bool(found - {fold}) for found in seen]][:size]
+        return machines.landmark_space(mine, kernel, _gamma(gamma, moments, fold, len(cols)), degree, means, stds)
+
     for kernel in kernels:
-        expansion = kernel_stages(len(cols), kernel, size, degree)
-        svc = LinearSVC(featuresCol="kernel", labelCol=label, weightCol="weight", maxIter=iterations)
-        grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in cs]).build()
-        searches[kernel] = (grid_search(weighted, [*scaled_stages(cols), *expansion], svc, grid, label, key, folds), grid)
+        grid = ParamGridBuilder().addGrid(estimator.c, cs).addGrid(width, list(gammas)).build()
+        # Cells of equal width share their fits.
+        shared = {}
+        for cell in grid:
+            for fold in range(folds):
+                known = (cell[estimator.c], fold, _gamma(cell[width], moments, fold, len(cols)))
+                shared.setdefault(known, machines.Machine(known[0], held_out=fold))
+        spaces = {(fold, gamma): space(fold, kernel, gamma) for _, fold, gamma in shared}
+        places = {k: i for i, k in enumerate(spaces)}
+        fits = [replace(m, space=places[fold, gamma]) for (_, fold, gamma), m in shared.items()]
+        fitted = machines.fit_machines(blocks, list(spaces.values()), fits, iterations)
+        found = dict(zip(shared, machines.held_out_f1(blocks, list(spaces.values()), fits, fitted)))
+        means = [sum(found[c[estimator.c], f, _gamma(c[width], moments, f, len(cols))] for f in range(folds)) / folds for c in grid]
+        best = grid[max(range(len(grid)), key=lambda i: means[i])]
+        whole = _gamma(best[width], moments, batched.NO_FOLD, len(cols))
+        params = {estimator.kernel: kernel, estimator.c: best[estimator.c], estimator.gamma: whole}
+        searches[kernel] = (Search(means, lambda params=params: refitted(weighted, scaled_stages(cols), estimator, params, label)), grid)
     best = max(searches, key=lambda kernel: max(searches[kernel][0].avgMetrics))
     return best, searches
 
 
+def _gamma(gamma, moments: dict, fold: int, columns: int) -> float:
+    """The kernel width on z-scores of the rows outside ``fold``: their variance is the share of columns that are not constant."""
+    if gamma not in ("auto", "scale"):
+        return float(gamma)
+    varied = sum(bool(s) for s in batched.spread(moments, fold)) if gamma == "scale" else columns
+    return 1.0 / max(1, varied)
+
+
 def calibrated(scored: DataFrame, df: DataFrame, prepare: list, machine, label: str, key: str, folds: int = 5) -> DataFrame:
     """Turn the margins of ``scored`` into probabilities in column ``score``.
 

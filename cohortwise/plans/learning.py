@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortwise.functions import scalars as S
 from cohortwise.functions import vectors as V
-from cohortwise.operators import evaluate, models, neighbors, sampling
+from cohortwise.operators import evaluate, machines, models, neighbors, sampling
 from cohortwise.operators.clean import drop_leakage
 from cohortwise.operators.features import label_encode
 from cohortwise.plans import data
@@ -171,11 +171,7 @@ def mlp_classifier(spark, folder):
 
 
 def _machine():
-    return LinearSVC(featuresCol="kernel", labelCol="label", weightCol="weight", regParam=0.001)
-
-
-def _kernel_prepare():
-    return [*models.scaled_stages(FEATURES), *models.kernel_stages(len(FEATURES), "rbf")]
+    return machines.VectorMachine(labelCol="label", weightCol="weight")
 
 
 def _forest():
@@ -188,7 +184,7 @@ MODELS = {
     "LogisticRegression": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), LogisticRegression(labelCol="label", weightCol="weight")]),
     "DecisionTree": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), DecisionTreeClassifier(labelCol="label", weightCol="weight", maxDepth=5, seed=42)]),
     "RandomForest": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), _forest()]),
-    "SVM": lambda: Pipeline(stages=[*_kernel_prepare(), _machine()]),
+    "SVM": lambda: Pipeline(stages=[*models.scaled_stages(FEATURES), _machine()]),
     "NeuralNetwork": lambda: models.mlp(FEATURES, "label"),
 }
 
@@ -219,7 +215,7 @@ def trained_model_comparison(spark, folder):
         if "probability" in said.columns:
             said = said.withColumn("score", vector_to_array("probability")[1])
         else:  # a margin only
-            said = models.calibrated(said, weighted, _kernel_prepare(), _machine(), "label", "doc_id")
+            said = models.calibrated(said, weighted, models.scaled_stages(FEATURES), _machine(), "label", "doc_id")
         said = said.select("label", F.col("prediction").cast("int").alias("prediction"), "score")
         parts[name] = evaluate.model_metrics(said, "label", "prediction", "score")
     parts["KMeans"] = evaluate.model_metrics(cluster_predictions(train, test), "label", "prediction")
@@ -231,10 +227,11 @@ def svm_probabilities(spark, folder):
     """Margins of the best rbf machine turned into probabilities by a curve over held-out margins."""
     train, test = train_test(spark, folder)
     _, searches = models.kernel_svm_cv(train, FEATURES, "label", "doc_id", kernels=("rbf",))
-    search = searches["rbf"][0]
-    machine = _machine().copy({_machine().regParam: search.bestModel.stages[-1].getRegParam()})
+    search, grid = searches["rbf"]
+    best = max(range(len(grid)), key=lambda i: search.avgMetrics[i])
+    machine = _machine().setParams(c=grid[best][next(p for p in grid[best] if p.name == "c")])
     weighted = materialize(models.add_class_weight(train, "label"), "weighted")
-    scored = models.calibrated(search.bestModel.transform(test), weighted, _kernel_prepare(), machine, "label", "doc_id")
+    scored = models.calibrated(search.bestModel.transform(test), weighted, models.scaled_stages(FEATURES), machine, "label", "doc_id")
     return scored.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"), "score")
 
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortwise.functions import scalars as S
 from cohortwise.functions import vectors as V
 from cohortwise.functions.seeded import uniform
-from cohortwise.operators import augment, geometry, models, neighbors, reduce
+from cohortwise.operators import augment, geometry, machines, models, neighbors, reduce
 from cohortwise.plans.evaluation import _SPLIT_SQL, KNN_SQL, knn_predictions, split_vectors
 from cohortwise.plans.registry import query, r6, sql_hash, sql_integer, sql_uniform
 from cohortwise.session import materialize, scratch_path
@@ -212,13 +211,6 @@ def _knn_score(train, test, dim):
     return said.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
 
 
-def _svm_score(train, test, dim, n):
-    cut = lambda df: df.select("vec_id", "label", array_to_vector(reduce.leading("coords", dim)).alias("f"))
-    machine = models.linear_svm_multiclass("f", "label", n).setParallelism(8)
-    said = machine.fit(cut(train)).transform(cut(test))
-    return said.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
-
-
 @query("dimension_sweep")
 def dimension_sweep(spark, folder, dims=(2, 4, 8, 16, 32, 64)):
     """(reducer, classifier, dim, accuracy); beyond classes - 1 the second projection is NULL."""
@@ -226,22 +218,23 @@ def dimension_sweep(spark, folder, dims=(2, 4, 8, 16, 32, 64)):
     for kind in ("pca", "lda"):
         model, train, test = _fit(spark, folder, kind, max(dims))
         train, test = (materialize(model.transform(df).select("vec_id", "label", "coords"), "coords") for df in (train, test))
-        n, cap = train.count(), train.select("label").distinct().count() - 1
+        cap = train.select("label").distinct().count() - 1
+        known = [dim for dim in dims if kind == "pca" or dim <= cap]
+        said = machines.pairwise_accuracies(train, test, "coords", "label", known)
         for dim in dims:
             if kind == "lda" and dim > cap:
                 rows += [(kind, "knn", dim, None), (kind, "svm", dim, None)]
                 continue
             rows.append((kind, "knn", dim, float(_knn_score(train, test, dim))))
-            rows.append((kind, "svm", dim, float(_svm_score(train, test, dim, n))))
+            rows.append((kind, "svm", dim, float(said[dim])))
     return spark.createDataFrame(rows, "reducer string, classifier string, dim int, accuracy double")
 
 
 @query("linear_svm_multiclass")
 def linear_svm_multiclass(spark, folder):
     train, test = split_vectors(spark, folder)
-    as_vector = lambda df: df.select("vec_id", "label", array_to_vector(V.as_double("embedding")).alias("f"))
-    machine = models.linear_svm_multiclass("f", "label", train.count()).setParallelism(8)
-    said = machine.fit(as_vector(train)).transform(as_vector(test))
+    as_double = lambda df: df.select("vec_id", "label", V.as_double("embedding").alias("f"))
+    said = machines.VectorMachine(featuresCol="f", labelCol="label", kernel="linear").fit(as_double(train)).transform(as_double(test))
     return said.select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
