@@ -1,4 +1,4 @@
-"""Feature attributions: exact for linear scores and for trees, by sampled permutations for any model."""
+"""Feature attributions: exact for linear scores and for trees, by permutations or coalitions for any model."""
 
 from __future__ import annotations
 
@@ -93,6 +93,81 @@ def sampled_shapley(
     )
 
 
+MOST_BACKGROUND = 1_000
+MOST_KERNEL_FEATURES = 62
+
+
+def coalitions(d: int, most: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(known, solver): which features each coalition knows, none and all last, and the matrix that turns its values into attributions.
+
+    The attributions are the least squares fit to the coalitions' values, weighted by the kernel of their sizes, that adds up to the difference
+    between all and none; that is linear in the values, so one matrix serves all rows. Up to ``most`` proper coalitions are all
+    taken, else ``most`` are drawn by size, each with its opposite.
+    """
+    if 2**d - 2 <= most:
+        known = (np.arange(1, 2**d - 1)[:, None] >> np.arange(d)) & 1
+        size = known.sum(axis=1)
+        weight = np.array([(d - 1) / (math.comb(d, int(k)) * k * (d - k)) for k in size])
+    else:
+        draw, sizes = np.random.default_rng(seed), np.arange(1, d)
+        chance = 1.0 / (sizes * (d - sizes))
+        drawn = np.zeros((most // 2, d), int)
+        for row, k in zip(drawn, draw.choice(sizes, most // 2, p=chance / chance.sum())):
+            row[draw.permutation(d)[:k]] = 1
+        known, weight = np.unique(np.vstack([drawn, 1 - drawn]), axis=0, return_counts=True)
+    ends = np.array([[0] * d, [1] * d])
+    if d == 1:
+        return ends, np.array([[-1.0, 1.0]])
+    pull = known.T * weight
+    normal = pull @ known
+    if np.linalg.matrix_rank(normal) < d:
+        raise ValueError("too few coalitions for the features: raise their number")
+    inverse = np.linalg.inv(normal)
+    lean = inverse.sum(axis=1)
+    share = lean / lean.sum()
+    inner = (inverse - np.outer(share, inverse.sum(axis=0))) @ pull
+    return np.vstack([known, ends]), np.column_stack([inner, -share - inner.sum(axis=1), share])
+
+
+def kernel_attributions(
+    model, rows: DataFrame, background: DataFrame, key: str, cols: list[str], most: int = 2048, seed=42,
+    score=lambda df: df.withColumn("_score", vector_to_array("probability")[1]),
+) -> DataFrame:
+    """(key, feature, value, attribution, base, score) by weighted least squares over coalitions of features, for any model.
+
+    A coalition's value is the mean score of the row with the features it does not know taken from every background row. With 2^d - 2 up to ``most``
+    the attributions are the exact Shapley values of that. They always add up to the score less the base. ``key`` must be unique, columns
+    not null; no rows in, no rows out. The background is a sample of at most 1,000 rows; it and the coalitions are joined by number, the
+    explained rows stay where they are until their sums.
+    """
+    d, spark = len(cols), rows.sparkSession
+    if d > MOST_KERNEL_FEATURES:
+        raise ValueError(f"at most {MOST_KERNEL_FEATURES} features")
+    known, solver = coalitions(d, most, seed)
+    masks = [sum(1 << j for j in range(d) if row[j]) for row in known]
+    asked = spark.createDataFrame([(z, m, p) for z, (m, p) in enumerate(zip(masks, solver.T.tolist()))], "z int, mask long, p array<double>")
+    pool = materialize(background.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("b")), "background")
+    size = pool.count()
+    if not 0 < size <= MOST_BACKGROUND:
+        raise ValueError(f"the background holds 1 to {MOST_BACKGROUND} rows, not {size}: sample it")
+    numbered = pool.agg(F.posexplode(F.array_sort(F.collect_list("b"))).alias("place", "b"))
+    spread = (
+        rows.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+        .withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1)))).join(F.broadcast(asked), "z")
+        .withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).join(F.broadcast(numbered), "place")
+    )
+    has = lambda j: F.shiftright("mask", j).bitwiseAND(F.lit(1)) == 1
+    mixed = spread.select(key, "z", "p", "x", *[F.when(has(j), F.col("x")[j]).otherwise(F.col("b")[j]).alias(c) for j, c in enumerate(cols)])
+    scored = score(model.transform(mixed)).withColumn("_score", F.col("_score") / size)
+    end = lambda z: F.sum(F.when(F.col("z") == z, F.col("_score"))).alias
+    sums = scored.groupBy(key).agg(
+        F.first("x").alias("x"), end(len(masks) - 2)("base"), end(len(masks) - 1)("score"),
+        *[F.sum(F.col("p")[j] * F.col("_score")).alias(f"_a{j}") for j in range(d)],
+    )
+    parts = [F.struct(F.lit(c).alias("feature"), F.col("x")[j].alias("value"), F.col(f"_a{j}").alias("attribution")) for j, c in enumerate(cols)]
+    return sums.select(key, F.inline(F.array(*parts)), "base", "score")
+
+
 def tree_paths(tree: dict) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
     """(value, conditions) of every leaf: per feature on its path the bounds low < x <= high and the share of rows that go that way.
 

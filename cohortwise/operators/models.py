@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
 
@@ -393,8 +393,8 @@ def kernel_svm_cv(
     """Support vector machine on the true kernel through ``size`` landmarks of each fold's training rows, C by gamma by kernel grid.
 
     Columns are z-scored by each fold's own rows. gamma "auto" is one over the number of columns, "scale" also over their variance: on z-scores
-    both are the same unless a column is constant, so one of them is the default. A number is taken as it is. All cells and folds of a
-    kernel are fitted together. Returns the best kernel and (search, grid) by kernel.
+    both are the same unless a column is constant, so one of them is the default. A number is taken as it is. All cells, folds and
+    kernels are fitted together. Returns the best kernel and (search, grid) by kernel.
     """
     weighted = add_class_weight(df, label)
     folded = in_few_tasks(stratified_folds(weighted.filter(F.col(label).isNotNull()), label, key, folds))
@@ -410,23 +410,19 @@ def kernel_svm_cv(
         mine = marks[[bool(found - {fold}) for found in seen]][:size]
         return machines.landmark_space(mine, kernel, _gamma(gamma, moments, fold, len(cols)), degree, means, stds)
 
+    grid = ParamGridBuilder().addGrid(estimator.c, cs).addGrid(width, list(gammas)).build()
+    value = lambda cell, fold: _gamma(cell[width], moments, fold, len(cols))
+    # Cells of equal width share their fits, and all fits their jobs.
+    wanted = list(dict.fromkeys((kernel, fold, value(cell, fold), cell[estimator.c]) for kernel in kernels for cell in grid for fold in range(folds)))
+    spaces = {(kernel, fold, gamma): space(fold, kernel, gamma) for kernel, fold, gamma, _ in wanted}
+    places = {known: i for i, known in enumerate(spaces)}
+    fits = [machines.Machine(c, places[kernel, fold, gamma], fold) for kernel, fold, gamma, c in wanted]
+    fitted = machines.fit_machines(blocks, list(spaces.values()), fits, iterations)
+    found = dict(zip(wanted, machines.held_out_f1(blocks, list(spaces.values()), fits, fitted)))
     for kernel in kernels:
-        grid = ParamGridBuilder().addGrid(estimator.c, cs).addGrid(width, list(gammas)).build()
-        # Cells of equal width share their fits.
-        shared = {}
-        for cell in grid:
-            for fold in range(folds):
-                known = (cell[estimator.c], fold, _gamma(cell[width], moments, fold, len(cols)))
-                shared.setdefault(known, machines.Machine(known[0], held_out=fold))
-        spaces = {(fold, gamma): space(fold, kernel, gamma) for _, fold, gamma in shared}
-        places = {k: i for i, k in enumerate(spaces)}
-        fits = [replace(m, space=places[fold, gamma]) for (_, fold, gamma), m in shared.items()]
-        fitted = machines.fit_machines(blocks, list(spaces.values()), fits, iterations)
-        found = dict(zip(shared, machines.held_out_f1(blocks, list(spaces.values()), fits, fitted)))
-        means = [sum(found[c[estimator.c], f, _gamma(c[width], moments, f, len(cols))] for f in range(folds)) / folds for c in grid]
+        means = [sum(found[kernel, fold, value(cell, fold), cell[estimator.c]] for fold in range(folds)) / folds for cell in grid]
         best = grid[max(range(len(grid)), key=lambda i: means[i])]
-        whole = _gamma(best[width], moments, batched.NO_FOLD, len(cols))
-        params = {estimator.kernel: kernel, estimator.c: best[estimator.c], estimator.gamma: whole}
+        params = {estimator.kernel: kernel, estimator.c: best[estimator.c], estimator.gamma: value(best, batched.NO_FOLD)}
         searches[kernel] = (Search(means, lambda params=params: refitted(weighted, scaled_stages(cols), estimator, params, label)), grid)
     best = max(searches, key=lambda kernel: max(searches[kernel][0].avgMetrics))
     return best, searches

@@ -221,6 +221,19 @@ def sampled_shapley(spark, folder):
     return explain.sampled_shapley(model, rows, background, "doc_id", data.TEXT_FEATURES)
 
 
+@query("kernel_attribution_linear", f"""
+WITH {data.DOCUMENT_SQL}, bg AS (SELECT * FROM feat ORDER BY {sql_hash('background', 'doc_id')}, doc_id LIMIT 20),
+mean AS (SELECT {", ".join(f"avg({c}) AS m_{c}" for c in WEIGHTS)} FROM bg),
+ends AS (SELECT doc_id, {" + ".join(f"{w}::DOUBLE * m_{c}" for c, w in WEIGHTS.items())} AS base, {" + ".join(f"{w}::DOUBLE * {c}" for c, w in WEIGHTS.items())} AS score FROM feat, mean)
+{" UNION ALL ".join(f"SELECT doc_id, '{c}' AS feature, {r6(f'{w}::DOUBLE * (f.{c} - m_{c})')} AS attribution, {r6('base')} AS base, {r6('score')} AS score FROM feat f JOIN ends USING (doc_id), mean" for c, w in WEIGHTS.items())}""")
+def kernel_attribution_linear(spark, folder):
+    """Attributions over all coalitions of a linear score, which have a closed form, for every labelled document against twenty drawn ones."""
+    frame = materialize(data.document_features(spark, folder), "frame")
+    drawn = sampling.seeded_sample(frame, "doc_id", 20, seed="background")
+    found = explain.kernel_attributions(LinearScorer(WEIGHTS), frame, drawn, "doc_id", list(WEIGHTS), score=lambda df: df)
+    return found.select("doc_id", "feature", *[S.rounded(c).alias(c) for c in ("attribution", "base", "score")])
+
+
 # A small tree over three text features; a node is (feature, threshold, rows, left, right) or (rows, value).
 TREE_COLS = ["n_chars", "variety", "digit_share"]
 TREE = ("n_chars", 500.0, 100, ("variety", 0.7, 60, (20, 0.9), (40, 0.2)), ("digit_share", 0.01, 40, (30, 0.7), ("n_chars", 2000.0, 10, (4, 0.4), (6, 0.1))))
