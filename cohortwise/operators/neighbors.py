@@ -2,12 +2,15 @@
 
 Two exact ways, chosen by the measured size of the searched side:
 
-* It fits a fixed byte bound: every task searches the whole of it, block by block, and hands
+* It fits a fixed byte bound: every task searches the whole of it, part by part, and hands
   on k rows per query.
 * It does not: both sides are cut into cells around pivots. A first look into the nearest cell gives
   every query k true distances, and the largest bounds how far to look: by the triangle inequality
-  a query visits only cells that can hold something nearer. Cells are cut further into tiles
-  of bounded size, so a hot cell spreads over many tasks. Nothing else leaves a row out.
+  a query visits only cells that can hold something nearer. Both sides are packed into blocks of bounded size in the
+  order of their cells; a task compares one block of queries with one of searched rows, cell by cell, and
+  only pairs of blocks with a cell to visit meet. So a side moves once per block of the other, not once per cell or tile.
+
+Distances are taken for a few hundred queries and a few thousand rows at a time, whatever the size of the sides.
 """
 
 from __future__ import annotations
@@ -33,12 +36,16 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.seeded import hash_key
 from cohortwise.functions.vectors import as_double
+from cohortwise.operators.blocks import rows_per_block
 from cohortwise.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 TILE_ROWS = 4096
 MAX_PIVOTS = 2048
 DECIMALS = 6  # distances equal after rounding are ties, broken by the smaller id
+PART_QUERIES, PART_ROWS = 512, 2048  # distances held at once
+PART_PAIRS = 65_536  # differences held at once
+LEAST_BLOCKS = 6  # per side, so that a small table still gives work to many tasks
 _PAIR = "query_id bigint, neighbor_id bigint, distance double"
 
 
@@ -67,37 +74,71 @@ def knn_join(
     return _search_cells(q, s, k, exclude_self, size["n"], pivots, tile_rows)
 
 
-def _nearest(query_ids, query, ids, rows, k, exclude_self):
-    """Ids and distances of the k nearest rows per query, ties by id.
+def _block_rows(n: int, width: int, least: int) -> int:
+    """Rows of a block: what a task can hold, fewer where the table would give less than a few blocks."""
+    return max(1, min(rows_per_block(width), max(least, -(-n // LEAST_BLOCKS))))
+
+
+def _gaps(a, b, first, second):
+    """Euclidean distances of the row pairs (first[i], second[i]) from their differences."""
+    out = np.empty(len(first))
+    for at in range(0, len(first), PART_PAIRS):
+        part = slice(at, at + PART_PAIRS)
+        out[part] = np.sqrt(((b[second[part]] - a[first[part]]) ** 2).sum(axis=1))
+    return out
+
+
+class _Nearest:
+    """The k nearest rows seen so far by every query of a block, ties by id. Rows come in any number of parts.
 
     The product form picks the candidates with a safety margin, then their distances are
-    computed directly from the differences.
+    computed directly from the differences. Nothing farther than ``reach`` is looked for.
     """
-    squares = (rows * rows).sum(axis=1)
-    out_q, out_n, out_d = [], [], []
-    for at in range(0, len(query), 512):
-        part, part_ids = query[at : at + 512], query_ids[at : at + 512]
-        lengths = (part * part).sum(axis=1)[:, None]
-        rough = np.maximum(lengths + squares - 2.0 * part @ rows.T, 0.0)
+
+    def __init__(self, ids, points, k, reach=None):
+        self.ids, self.points, self.k = ids, points, k
+        self.squares = (points * points).sum(axis=1)
+        self.reach = np.full(len(ids), np.inf) if reach is None else reach
+        self.gap = np.full((len(ids), k), np.inf)
+        self.row = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def see(self, ids, rows, exclude_self=False, which=None):
+        which = np.arange(len(self.ids)) if which is None else which
+        for start in range(0, len(rows), PART_ROWS):
+            part, squares = rows[start : start + PART_ROWS], (rows[start : start + PART_ROWS] ** 2).sum(axis=1)
+            wide = np.column_stack([part, squares]).T
+            for at in range(0, len(which), PART_QUERIES):
+                self._compare(which[at : at + PART_QUERIES], ids[start : start + PART_ROWS], part, wide, squares.max(), exclude_self)
+
+    def _compare(self, mine, ids, rows, wide, longest, exclude_self):
+        points, lengths = self.points[mine], self.squares[mine]
+        # The squared distance less the query's own square, in one product.
+        rough = np.column_stack([-2.0 * points, np.ones(len(mine))]) @ wide
         if exclude_self:
-            rough[part_ids[:, None] == ids[None, :]] = np.inf
-        if rough.shape[1] > k:
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        else:
-            limit = np.full(len(part), np.finfo(float).max)
-        slack = 1e-9 * (lengths[:, 0] + squares.max()) + 4.0 * 10.0**-DECIMALS * np.sqrt(np.minimum(limit, 1e300))
-        for i in range(len(part)):
-            near = np.flatnonzero((rough[i] <= limit[i] + slack[i] + 1e-11) & np.isfinite(rough[i]))
-            exact = np.round(np.sqrt(((rows[near] - part[i]) ** 2).sum(axis=1)), DECIMALS)
-            best = np.lexsort((ids[near], exact))[:k]
-            out_q.append(np.full(len(best), part_ids[i]))
-            out_n.append(ids[near][best])
-            out_d.append(exact[best])
-    if not out_q:
-        return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-    return pd.DataFrame(
-        {"query_id": np.concatenate(out_q), "neighbor_id": np.concatenate(out_n), "distance": np.concatenate(out_d)}
-    )
+            rough[self.ids[mine][:, None] == ids[None, :]] = np.nan
+        limit = np.minimum(self.gap[mine, -1], self.reach[mine]) ** 2
+        unknown = np.isinf(limit)
+        if rough.shape[1] > self.k and unknown.any():
+            limit[unknown] = np.maximum(np.partition(rough[unknown], self.k - 1, axis=1)[:, self.k - 1] + lengths[unknown], 0.0)
+            limit[np.isnan(limit)] = np.inf
+        slack = 1e-9 * (lengths + longest) + 4.0 * 10.0**-DECIMALS * np.sqrt(np.minimum(limit, 1e300)) + 1e-11
+        query, row = np.divmod(np.flatnonzero(rough <= (limit + slack - lengths)[:, None]), len(rows))
+        if not len(query):
+            return
+        exact = np.round(_gaps(points, rows, query, row), DECIMALS)
+        query = np.concatenate([np.repeat(np.arange(len(mine)), self.k), query])
+        gap = np.concatenate([self.gap[mine].ravel(), exact])
+        seen = np.concatenate([self.row[mine].ravel(), ids[row]])
+        order = np.lexsort((seen, gap, query))
+        top = order[np.searchsorted(query[order], np.arange(len(mine)))[:, None] + np.arange(self.k)]
+        self.gap[mine], self.row[mine] = gap[top], seen[top]
+
+    def found(self) -> pd.DataFrame:
+        query, place = np.nonzero(np.isfinite(self.gap))
+        return pd.DataFrame({
+            "query_id": self.ids[query], "neighbor_id": self.row[query, place], "distance": self.gap[query, place],
+            "rank": (place + 1).astype(np.int32),
+        })
 
 
 def _search_whole(q: DataFrame, s: DataFrame, k: int, exclude_self: bool) -> DataFrame:
@@ -109,9 +150,9 @@ def _search_whole(q: DataFrame, s: DataFrame, k: int, exclude_self: bool) -> Dat
         ids, rows = whole.value
         for batch in batches:
             if len(batch):
-                found = _nearest(batch["id"].to_numpy(), np.stack(batch["v"].to_numpy()), ids, rows, k, exclude_self)
-                found["rank"] = found.groupby("query_id").cumcount() + 1
-                yield found
+                nearest = _Nearest(batch["id"].to_numpy(), np.stack(batch["v"].to_numpy()), k)
+                nearest.see(ids, rows, exclude_self)
+                yield nearest.found()
 
     return q.mapInPandas(search, _PAIR + ", rank int")
 
@@ -147,9 +188,10 @@ def _cell_pairs(
     pivots = max(k + 1, pivots or min(MAX_PIVOTS, max(32, rows // tile_rows)))
     chosen = s.withColumn("_h", hash_key("pivot", "id")).orderBy("_h", "id").limit(pivots).toPandas()
     centers = np.stack(chosen["v"].to_numpy())
+    norms = (centers * centers).sum(axis=1)
 
-    def to_pivots(rows):
-        gap = (rows * rows).sum(axis=1)[:, None] + (centers * centers).sum(axis=1) - 2.0 * rows @ centers.T
+    def to_pivots(rows, at=slice(None)):
+        gap = (rows * rows).sum(axis=1)[:, None] + norms[at] - 2.0 * rows @ centers[at].T
         return np.sqrt(np.maximum(gap, 0.0))
 
     def home(batches):
@@ -167,69 +209,108 @@ def _cell_pairs(
     ).toPandas()
     inner, outer = np.full(len(centers), np.inf), np.full(len(centers), -np.inf)
     inner[stats["cell"]], outer[stats["cell"]] = stats["lo"], stats["hi"]
-    tiles = np.zeros(len(centers), dtype=int)
-    tiles[stats["cell"]] = -(-stats["n"] // tile_rows)
-
-    def one_of(counts):
-        return F.pmod(F.xxhash64("id"), F.get(counts, F.col("cell"))).cast("int")
-
-    def all_of(counts):
-        return F.explode(F.sequence(F.lit(0), F.get(counts, F.col("cell")) - 1))
-
-    def query_tiles(placed: DataFrame):
-        """Tiles per cell for queries: those of a busy cell are cut up as well."""
-        counts = [1] * len(centers)
-        for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-            counts[row["cell"]] = max(1, -(-row["n"] // tile_rows))
-        return F.array(*[F.lit(t) for t in counts])
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-        return _nearest(a["id"].to_numpy(), np.stack(a["v"].to_numpy()), b["id"].to_numpy(),
-                        np.stack(b["v"].to_numpy()), k, False)
+    held = np.zeros(len(centers), dtype=np.int64)
+    held[stats["cell"]] = stats["n"]
 
     def homes(batches):
         for batch in batches:
             if len(batch):
                 gaps = to_pivots(np.stack(batch["v"].to_numpy()))
-                batch["cell"] = np.where(tiles > 0, gaps, np.inf).argmin(axis=1)
+                batch["cell"] = np.where(held > 0, gaps, np.inf).argmin(axis=1)
                 yield batch
 
-    tile_of = F.array(*[F.lit(int(max(t, 1))) for t in tiles])
-    # First look: one tile of the nearest cell gives a true k-th distance, which bounds how far to look.
     near = materialize(q.mapInPandas(homes, "id bigint, v array<double>, cell int"), "homes")
-    counts = query_tiles(near)
-    some = cells.drop("gap").filter(one_of(tile_of) == 0).withColumn("qt", all_of(counts))
-    first = near.withColumn("qt", one_of(counts)).groupBy("cell", "qt").cogroup(some.groupBy("cell", "qt")).applyInPandas(search, _PAIR)
-    reached = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("reach"))
-    bounded = q.join(materialize(reached, "reach"), F.col("id") == F.col("query_id"), "left").drop("query_id")
+    asked = np.zeros(len(centers), dtype=np.int64)
+    for row in near.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        asked[row["cell"]] = row["n"]
 
-    def visits(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            gaps = to_pivots(np.stack(batch["v"].to_numpy()))
-            reach = np.partition(gaps, k - 1, axis=1)[:, k - 1] if len(centers) >= k else np.full(len(batch), np.inf)
-            reach = np.fmin(reach, batch["reach"].to_numpy(float))
-            margin = 1e-6 * (1.0 + gaps) + 10.0**-DECIMALS
-            hit = (gaps - outer <= reach[:, None] + margin) & (inner - gaps <= reach[:, None] + margin)
-            batch["cells"] = [[int(c) for c in np.flatnonzero(row & (tiles > 0))] for row in hit]
-            yield batch.drop(columns="reach")
-
-    visiting = materialize(
-        bounded.mapInPandas(visits, "id bigint, v array<double>, cells array<int>")
-        .select("id", "v", F.explode("cells").alias("cell")),
-        "visits",
-    )
-    # A tile pair is one task's work unit.
-    counts = query_tiles(visiting)
-    left = visiting.withColumn("qt", one_of(counts)).withColumn("st", all_of(tile_of))
-    right = cells.drop("gap").withColumn("st", one_of(tile_of)).withColumn("qt", all_of(counts))
-    tile = ["cell", "qt", "st"]
-    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(search, _PAIR)
-    nearest = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    def of_cell(values):
+        return F.get(F.array(*[F.lit(int(v)) for v in values]).cast("array<bigint>"), F.col("cell"))
+
+    def share(counts):
+        """A row's place among the rows of its cell, near enough."""
+        return F.pmod(F.xxhash64("id"), of_cell(np.maximum(counts, 1)))
+
+    # First look: one tile of the nearest cell gives a true k-th distance, which bounds how far to look.
+    held_tiles, asked_tiles = np.maximum(1, -(-held // tile_rows)), np.maximum(1, -(-asked // tile_rows))
+    tile = F.pmod(F.xxhash64("id"), of_cell(asked_tiles)).alias("qt")
+    some = cells.filter(F.pmod(F.xxhash64("id"), of_cell(held_tiles)) == 0).select(
+        "id", "v", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), of_cell(asked_tiles) - 1)).alias("qt"))
+
+    def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "reach": []})
+        nearest = _Nearest(a["id"].to_numpy(), np.stack(a["v"].to_numpy()), k)
+        nearest.see(b["id"].to_numpy(), np.stack(b["v"].to_numpy()))
+        return pd.DataFrame({"query_id": nearest.ids, "reach": nearest.gap[:, -1]})
+
+    reached = near.select("*", tile).groupBy("cell", "qt").cogroup(some.groupBy("cell", "qt")).applyInPandas(look, "query_id bigint, reach double")
+    bounded = near.join(materialize(reached, "reach"), F.col("id") == F.col("query_id"), "left").drop("query_id")
+
+    # Blocks of equal size in the order of the cells; a cell lies in one block or in several.
+    width = centers.shape[1]
+    held_size, asked_size = (_block_rows(int(counts.sum()), width, tile_rows) for counts in (held, asked))
+    held_from, asked_from = np.cumsum(held) - held, np.cumsum(asked) - asked
+    first, last = held_from // held_size, (held_from + held - 1) // held_size
+
+    def block(counts, start, size):
+        return F.floor((of_cell(start) + share(counts)) / F.lit(size)).cast("int")
+
+    def can_hold(gaps, lengths, reach, at=slice(None)):
+        """Whether a cell can hold a row within reach, allowing for the digits that the product form loses."""
+        margin = 1e-6 * (1.0 + gaps) + 10.0**-DECIMALS + 4e-8 * np.sqrt(width * (lengths[:, None] + norms[at]))
+        return (gaps - outer[at] <= reach[:, None] + margin) & (inner[at] - gaps <= reach[:, None] + margin) & (held[at] > 0)
+
+    def pack_queries(group: pd.DataFrame) -> pd.DataFrame:
+        points, reach = np.stack(group["v"].to_numpy()), group["reach"].to_numpy(float, copy=True)
+        visited = np.zeros(len(centers), dtype=bool)
+        for at in range(0, len(points), PART_QUERIES):
+            part = slice(at, at + PART_QUERIES)
+            gaps = to_pivots(points[part])
+            if len(centers) >= k:
+                reach[part] = np.fmin(reach[part], np.partition(gaps, k - 1, axis=1)[:, k - 1])
+            reach[part][np.isnan(reach[part])] = np.inf
+            visited |= can_hold(gaps, (points[part] ** 2).sum(axis=1), reach[part]).any(axis=0)
+        with_block = sorted({int(b) for c in np.flatnonzero(visited) for b in range(first[c], last[c] + 1)})
+        return pd.DataFrame({
+            "qb": [int(group["qb"].iloc[0])], "sbs": [with_block], "id": [group["id"].to_numpy(np.int64).tobytes()],
+            "v": [points.tobytes()], "reach": [reach.tobytes()],
+        })
+
+    def pack_searched(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["cell", "id"])
+        return pd.DataFrame({
+            "sb": [int(group["sb"].iloc[0])], "id": [group["id"].to_numpy(np.int64).tobytes()],
+            "v": [np.stack(group["v"].to_numpy()).tobytes()], "cell": [group["cell"].to_numpy(np.int32).tobytes()],
+        })
+
+    asking = materialize(
+        bounded.withColumn("qb", block(asked, asked_from, asked_size)).groupBy("qb")
+        .applyInPandas(pack_queries, "qb int, sbs array<int>, id binary, v binary, reach binary"), "asking")
+    searched = materialize(
+        cells.withColumn("sb", block(held, held_from, held_size)).groupBy("sb")
+        .applyInPandas(pack_searched, "sb int, id binary, v binary, cell binary"), "blocks")
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
+        ids, cell = np.frombuffer(b["id"].iloc[0], np.int64), np.frombuffer(b["cell"].iloc[0], np.int32)
+        rows = np.frombuffer(b["v"].iloc[0]).reshape(-1, width)
+        nearest = _Nearest(np.frombuffer(a["id"].iloc[0], np.int64), np.frombuffer(a["v"].iloc[0]).reshape(-1, width), k,
+                           np.frombuffer(a["reach"].iloc[0]))
+        kinds, starts = np.unique(cell, return_index=True)
+        for c, start, stop in zip(kinds, starts, [*starts[1:], len(cell)]):
+            at = slice(c, c + 1)
+            which = np.flatnonzero(can_hold(to_pivots(nearest.points, at), nearest.squares, nearest.reach, at)[:, 0])
+            if len(which):
+                nearest.see(ids[start:stop], rows[start:stop], which=which)
+        return nearest.found().drop(columns="rank")
+
+    left = asking.withColumn("with", F.explode("sbs")).drop("sbs")
+    right = searched.join(asking.select(F.col("qb").alias("of"), F.explode("sbs").alias("sb")), "sb")
+    found = left.groupBy("qb", "with").cogroup(right.groupBy("of", "sb")).applyInPandas(search, _PAIR)
+    ranked = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 
 
 def knn_vote(neighbors: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -328,23 +409,26 @@ _SUMS = "query_id bigint, own int, other int, total double, n bigint"
 def _cluster_sums(query_ids, own, query, clusters, rows):
     """Sum of distances from each query to the rows of each cluster."""
     kinds, member = np.unique(clusters, return_inverse=True)
-    indicator = np.zeros((len(rows), len(kinds)))
-    indicator[np.arange(len(rows)), member] = 1.0
-    squares = (rows * rows).sum(axis=1)
-    parts = []
-    for at in range(0, len(query), 512):
-        part = query[at : at + 512]
-        gaps = (part * part).sum(axis=1)[:, None] + squares - 2.0 * part @ rows.T
-        # Below this the product form has lost its digits; take those pairs from differences.
-        close = gaps < 1e-6 * (1.0 + squares)
-        gaps = np.sqrt(np.maximum(gaps, 0.0))
-        for i, j in zip(*np.nonzero(close)):
-            gaps[i, j] = np.sqrt(((part[i] - rows[j]) ** 2).sum())
-        parts.append(gaps @ indicator)
-    sums = np.vstack(parts)
+    sums = np.zeros((len(query), len(kinds)))
+    lengths, squares = (query * query).sum(axis=1), (rows * rows).sum(axis=1)
+    for start in range(0, len(rows), PART_ROWS):
+        some, inside = rows[start : start + PART_ROWS], squares[start : start + PART_ROWS]
+        indicator = np.zeros((len(some), len(kinds)))
+        indicator[np.arange(len(some)), member[start : start + PART_ROWS]] = 1.0
+        for at in range(0, len(query), PART_QUERIES):
+            part = query[at : at + PART_QUERIES]
+            gaps = part @ some.T
+            gaps *= -2.0
+            gaps += lengths[at : at + PART_QUERIES, None]
+            gaps += inside
+            # Below this the product form has lost its digits; take those pairs from differences.
+            i, j = np.nonzero(gaps < 1e-6 * (1.0 + inside))
+            gaps = np.sqrt(np.maximum(gaps, 0.0, out=gaps), out=gaps)
+            gaps[i, j] = _gaps(part, some, i, j)
+            sums[at : at + PART_QUERIES] += gaps @ indicator
     return pd.DataFrame({
         "query_id": np.repeat(query_ids, len(kinds)), "own": np.repeat(own, len(kinds)),
-        "other": np.tile(kinds, len(query)), "total": sums.ravel(), "n": np.tile(indicator.sum(axis=0).astype(int), len(query)),
+        "other": np.tile(kinds, len(query)), "total": sums.ravel(), "n": np.tile(np.bincount(member, minlength=len(kinds)), len(query)),
     })
 
 
@@ -353,8 +437,8 @@ def silhouette(
 ) -> DataFrame:
     """Exact mean silhouette under Euclidean distance.
 
-    The measure itself compares every row with every other; the comparison runs tile against
-    tile, a tile being a seeded share of the rows whatever their cluster, and only one sum per
+    The measure itself compares every row with every other; the comparison runs block against
+    block, a block being a seeded share of the rows whatever their cluster, and only one sum per
     row and cluster leaves a task. ``models.silhouette_squared`` is the linear-time variant. Rows without a vector or a
     cluster take no part.
     """
@@ -373,19 +457,28 @@ def silhouette(
 
         sums = rows.mapInPandas(against_whole, _SUMS)
     else:
-        tiles = -(-size["n"] // tile_rows)
-        placed = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-        every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+        width = size["d"]
+        count = -(-size["n"] // _block_rows(size["n"], width, tile_rows))
+
+        def pack(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({
+                "t": [int(group["t"].iloc[0])], "id": [group["id"].to_numpy(np.int64).tobytes()],
+                "c": [group["c"].to_numpy(np.int32).tobytes()], "v": [np.stack(group["v"].to_numpy()).tobytes()],
+            })
 
-        def tile_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def block_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": [], "own": [], "other": [], "total": [], "n": []})
-            return _cluster_sums(a["id"].to_numpy(), a["c"].to_numpy(), np.stack(a["v"].to_numpy()),
-                                 b["c"].to_numpy(), np.stack(b["v"].to_numpy()))
-
-        left = placed.withColumnRenamed("t", "qt").withColumn("st", every)
-        right = placed.withColumnRenamed("t", "st").withColumn("qt", every)
-        sums = left.groupBy("qt", "st").cogroup(right.groupBy("qt", "st")).applyInPandas(tile_sums, _SUMS)
+            ids, own, others = np.frombuffer(a["id"].iloc[0], np.int64), np.frombuffer(a["c"].iloc[0], np.int32), np.frombuffer(b["c"].iloc[0], np.int32)
+            query, held = (np.frombuffer(side["v"].iloc[0]).reshape(-1, width) for side in (a, b))
+            return _cluster_sums(ids, own, query, others, held)
+
+        placed = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+        packed = materialize(placed.groupBy("t").applyInPandas(pack, "t int, id binary, c binary, v binary"), "blocks")
+        every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        left = packed.withColumnRenamed("t", "qt").withColumn("st", every)
+        right = packed.withColumnRenamed("t", "st").withColumn("qt", every)
+        sums = left.groupBy("qt", "st").cogroup(right.groupBy("qt", "st")).applyInPandas(block_sums, _SUMS)
     per_row = sums.groupBy("query_id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     inside = F.col("own") == F.col("other")
     sides = per_row.groupBy("query_id").agg(

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +139,44 @@ def test_nearest_centroid_and_single_member_cluster(spark):
     assert {r["id"]: r["k"] for r in models.nearest_centroid(df, "v", centers, "c", "k").collect()} == {1: 0, 2: 0, 3: 1}
     assert neighbors.silhouette(df, "id", "v", "c").first()[0] > 0.6
     assert models.silhouette_squared(df, "v", "c").first()[0] > 0.6
+
+
+def test_cell_search_writes_no_row_once_per_cell(spark, clouds, monkeypatch):
+    df = spark.createDataFrame(clouds, "id bigint, v array<double>").repartition(3)
+    written, plain = [], neighbors.materialize
+
+    def counted(frame, tag):
+        out = plain(frame, tag)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbors, "materialize", counted)
+    found = neighbors.knn_join(df, df, "id", "v", 4, exclude_self=True, broadcast_bytes=0, pivots=30, tile_rows=4)
+    assert found.count() == 4 * len(clouds) and max(written) <= len(clouds)
+
+
+def _peak(run) -> float:
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_search_memory_does_not_follow_the_searched_rows():
+    rng = np.random.default_rng(3)
+    rows, query = np.round(rng.normal(size=(60_000, 3)), 2), np.round(rng.normal(size=(700, 3)), 2)
+    nearest = neighbors._Nearest(np.arange(700), query, 3)
+    assert _peak(lambda: nearest.see(np.arange(60_000)[::-1], rows)) < 60
+    wanted = brute(list(zip(range(0, 700, 50), query[::50])), list(zip(np.arange(60_000)[::-1], rows)), 3, False)
+    assert {i: nearest.row[i].tolist() for i in range(0, 700, 50)} == wanted
+
+
+def test_silhouette_memory_does_not_follow_the_rows():
+    rng = np.random.default_rng(3)
+    rows, clusters = rng.normal(size=(60_000, 3)), rng.integers(0, 4, 60_000)
+    out = []
+    assert _peak(lambda: out.append(neighbors._cluster_sums(np.arange(700), clusters[:700], rows[:700], clusters, rows))) < 60
+    first = out[0][out[0]["query_id"] == 5].set_index("other")
+    gaps = np.sqrt(((rows - rows[5]) ** 2).sum(axis=1))
+    assert all(np.isclose(first.loc[c, "total"], gaps[clusters == c].sum()) and first.loc[c, "n"] == (clusters == c).sum() for c in range(4))
