@@ -160,11 +160,12 @@ def kernel_attributions(
     mixed = spread.select(key, "z", "p", "x", *[F.when(has(j), F.col("x")[j]).otherwise(F.col("b")[j]).alias(c) for j, c in enumerate(cols)])
     scored = score(model.transform(mixed)).withColumn("_score", F.col("_score") / size)
     end = lambda z: F.sum(F.when(F.col("z") == z, F.col("_score"))).alias
+    # Numbers only: with an array among them the sums would be taken by sorting all scored rows.
     sums = scored.groupBy(key).agg(
-        F.first("x").alias("x"), end(len(masks) - 2)("base"), end(len(masks) - 1)("score"),
+        *[F.first(F.col("x")[j]).alias(f"_x{j}") for j in range(d)], end(len(masks) - 2)("base"), end(len(masks) - 1)("score"),
         *[F.sum(F.col("p")[j] * F.col("_score")).alias(f"_a{j}") for j in range(d)],
     )
-    parts = [F.struct(F.lit(c).alias("feature"), F.col("x")[j].alias("value"), F.col(f"_a{j}").alias("attribution")) for j, c in enumerate(cols)]
+    parts = [F.struct(F.lit(c).alias("feature"), F.col(f"_x{j}").alias("value"), F.col(f"_a{j}").alias("attribution")) for j, c in enumerate(cols)]
     return sums.select(key, F.inline(F.array(*parts)), "base", "score")
 
 

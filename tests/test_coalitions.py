@@ -75,3 +75,17 @@ def test_kernel_machine_by_enumeration(spark):
     assert explain.kernel_attributions(Margins(), df.filter("id < 0"), df.filter("id >= 115"), "id", COLS, score=score).count() == 0
     with pytest.raises(ValueError, match="background"):
         explain.kernel_attributions(Margins(), df, df.filter("id < 0"), "id", COLS, score=score)
+
+
+def test_sums_are_taken_without_sorting_the_scored_rows(spark):
+    rows = spark.range(50).selectExpr("id", "id * 1.0D AS f0", "id % 7 * 1.0D AS f1")
+    score = lambda df: df.selectExpr("*", "2 * f0 - f1 AS _score")
+    found = explain.kernel_attributions(_Same(), rows, rows.filter("id < 5"), "id", ["f0", "f1"], score=score)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["feature"]): (r["value"], r["attribution"]) for r in found.collect()}
+    assert len(got) == 100 and got[9, "f1"][0] == 2.0 and np.isclose(got[9, "f0"][1], 14.0) and np.isclose(got[9, "f1"][1], 0.0)
+
+
+class _Same:
+    def transform(self, df):
+        return df
