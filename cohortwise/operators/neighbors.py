@@ -44,7 +44,7 @@ TILE_ROWS = 4096
 MAX_PIVOTS = 2048
 DECIMALS = 6  # distances equal after rounding are ties, broken by the smaller id
 PART_QUERIES, PART_ROWS = 512, 2048  # distances held at once
-PART_PAIRS = 65_536  # differences held at once
+PART_BYTES = 8 << 20  # differences, or distances to pivots, held at once
 LEAST_BLOCKS = 6  # per side, so that a small table still gives work to many tasks
 _PAIR = "query_id bigint, neighbor_id bigint, distance double"
 
@@ -79,15 +79,33 @@ def _block_rows(n: int, width: int, least: int) -> int:
     return max(1, min(rows_per_block(width), max(least, -(-n // LEAST_BLOCKS))))
 
 
+def _part_rows(width: int) -> int:
+    """Rows of ``width`` numbers that are held at once."""
+    return max(1, PART_BYTES // (8 * max(1, width)))
+
+
 def _gaps(a, b, first, second):
     """Euclidean distances of the row pairs (first[i], second[i]) from their differences."""
     out = np.empty(len(first))
-    for at in range(0, len(first), PART_PAIRS):
-        part = slice(at, at + PART_PAIRS)
+    step = _part_rows(a.shape[1])
+    for at in range(0, len(first), step):
+        part = slice(at, at + step)
         out[part] = np.sqrt(((b[second[part]] - a[first[part]]) ** 2).sum(axis=1))
     return out
 
 
+def _home(rows, to_pivots, pivots, usable=None):
+    """The nearest (usable) pivot of every row, and how far it is."""
+    cell, least = np.empty(len(rows), np.int32), np.empty(len(rows))
+    for at in range(0, len(rows), step := _part_rows(pivots)):
+        part = slice(at, at + step)
+        gaps = to_pivots(rows[part])
+        if usable is not None:
+            gaps[:, ~usable] = np.inf
+        cell[part], least[part] = gaps.argmin(axis=1), gaps.min(axis=1)
+    return cell, least
+
+
 class _Nearest:
     """The k nearest rows seen so far by every query of a block, ties by id. Rows come in any number of parts.
 
@@ -197,9 +215,7 @@ def _cell_pairs(
     def home(batches):
         for batch in batches:
             if len(batch):
-                gaps = to_pivots(np.stack(batch["v"].to_numpy()))
-                batch["cell"] = gaps.argmin(axis=1)
-                batch["gap"] = gaps.min(axis=1)
+                batch["cell"], batch["gap"] = _home(np.stack(batch["v"].to_numpy()), to_pivots, len(centers))
                 yield batch
 
     cells = materialize(s.mapInPandas(home, "id bigint, v array<double>, cell int, gap double"), "cells")
@@ -215,8 +231,7 @@ def _cell_pairs(
     def homes(batches):
         for batch in batches:
             if len(batch):
-                gaps = to_pivots(np.stack(batch["v"].to_numpy()))
-                batch["cell"] = np.where(held > 0, gaps, np.inf).argmin(axis=1)
+                batch["cell"], _ = _home(np.stack(batch["v"].to_numpy()), to_pivots, len(centers), held > 0)
                 yield batch
 
     near = materialize(q.mapInPandas(homes, "id bigint, v array<double>, cell int"), "homes")

@@ -180,3 +180,25 @@ def test_silhouette_memory_does_not_follow_the_rows():
     first = out[0][out[0]["query_id"] == 5].set_index("other")
     gaps = np.sqrt(((rows - rows[5]) ** 2).sum(axis=1))
     assert all(np.isclose(first.loc[c, "total"], gaps[clusters == c].sum()) and first.loc[c, "n"] == (clusters == c).sum() for c in range(4))
+
+
+def test_differences_and_pivots_are_taken_in_parts():
+    """Neither many candidate pairs nor many pivots make a worker hold more than some parts of 8 MB at once."""
+    rng = np.random.default_rng(3)
+    rows, first, second = rng.normal(size=(1000, 64)), rng.integers(0, 1000, 60_000), rng.integers(0, 1000, 60_000)
+    tracemalloc.start()
+    gaps = neighbors._gaps(rows, rows, first, second)
+    most = tracemalloc.get_traced_memory()[1]
+    assert np.allclose(gaps[:100], np.linalg.norm(rows[first[:100]] - rows[second[:100]], axis=1)) and most < 40e6
+
+    many, centers = rng.normal(size=(6000, 3)), rng.normal(size=(2048, 3))
+    to_pivots = lambda part: np.sqrt(sum((part[:, i, None] - centers[:, i]) ** 2 for i in range(3)))
+    usable = np.arange(2048) % 2 == 0
+    tracemalloc.reset_peak()
+    cell, least = neighbors._home(many, to_pivots, len(centers), usable)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i in (0, 3000, 5999):
+        away = np.where(usable, np.linalg.norm(many[i] - centers, axis=1), np.inf)
+        assert cell[i] == away.argmin() and np.isclose(least[i], away.min())
+    assert most < 80e6
