@@ -237,8 +237,8 @@ def _texts(ids: DataFrame, known: DataFrame, docs: DataFrame, small: int) -> Dat
     return held.select(F.inline(F.transform("_wanted", line))).dropDuplicates(["id"])
 
 
-def _pair_codes(lines: list[str], width: int) -> np.ndarray:
-    """The distinct shingles of the lines, each as its line's place in ten bits and 54 bits of hash, sorted."""
+def _mixed(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the lines one after the other, repeats included, as 64-bit hashes, and whose they are."""
     filled = [line.ljust(width, "\x00") for line in lines]
     points = np.frombuffer("".join(filled).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(line) for line in filled])
@@ -253,7 +253,13 @@ def _pair_codes(lines: list[str], width: int) -> np.ndarray:
     ends = np.cumsum(lengths)
     for i in range(1, width):
         inside[ends - i] = False
-    codes = np.sort((owners[:n] << np.uint64(54) | codes >> np.uint64(10))[inside[:n]])
+    return codes[inside[:n]], owners[:n][inside[:n]]
+
+
+def _pair_codes(lines: list[str], width: int) -> np.ndarray:
+    """The distinct shingles of the lines, each as its line's place in ten bits and 54 bits of hash, sorted."""
+    codes, owners = _mixed(lines, width)
+    codes = np.sort(owners << np.uint64(54) | codes >> np.uint64(10))
     return codes[np.r_[True, codes[1:] != codes[:-1]]]
 
 
@@ -287,6 +293,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
 
 
 TILE, TILE_CHARS = 512, 2_000_000  # lines and characters of a tile; a task holds two
+_CELLS, _OFTEN = 1 << 20, 6  # numbers that are held at once; a shingle in a sixth of the lines is counted by a matrix product
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before, the first included."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
+def overlaps(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of distinct shingles of the lines, and above the diagonal how many of them every two lines share.
+
+    A shingle that many of the lines hold is a column of a matrix of zeros and ones, one that few hold is written out as their pairs.
+    """
+    n, (codes, owners) = len(lines), _mixed(lines, width)
+    bits = np.uint64((n - 1).bit_length())
+    codes >>= bits
+    codes <<= bits
+    codes |= owners
+    codes.sort()
+    codes = codes[_changes(codes)]
+    rows = (codes & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    codes >>= bits
+    starts = np.flatnonzero(_changes(codes))
+    holders = np.diff(starts, append=len(codes))
+    often = (holders > 1) & (holders * _OFTEN >= n)
+    shared, sizes = np.zeros((n, n), np.int64), holders[often]
+    of, column = rows[np.repeat(often, holders)], np.repeat(np.arange(len(sizes)), sizes)
+    for at in range(0, len(sizes), step := max(1, _CELLS // n)):
+        part = slice(*np.searchsorted(column, [at, at + step]))
+        held = np.zeros((n, min(step, len(sizes) - at)), np.float32)
+        held[of[part], column[part] - at] = 1
+        shared += (held @ held.T).astype(np.int64)
+    few = (holders > 1) & ~often
+    for size in np.unique(holders[few]):
+        heads, (i, j) = starts[few & (holders == size)], np.triu_indices(size, 1)
+        for at in range(0, len(heads), step := max(1, _CELLS // len(i))):
+            who = rows[heads[at : at + step, None] + np.arange(size)]
+            shared += np.bincount((who[:, i] * n + who[:, j]).ravel(), minlength=n * n).reshape(n, n)
+    return np.bincount(rows, minlength=n), shared
 
 
 def _compared(members: DataFrame, similarity: float, width: int, tile: int) -> DataFrame:
@@ -316,21 +363,14 @@ def _compared(members: DataFrame, similarity: float, width: int, tile: int) -> D
                 i = parent[i]
             return i
 
-        sets = [shingles(x, width) for x in lines]
-        counts = np.array([len(s) for s in sets])
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
-        holder = np.repeat(np.arange(len(sets)), counts)[np.argsort(code, kind="stable")]  # lines by shingle
-        ends = np.cumsum(np.bincount(code))
-        begins, cut, found = np.r_[0, ends[:-1]], np.cumsum(counts), []
-        for i in range(len(sets)):
-            of = code[cut[i] - counts[i] : cut[i]]
-            n = ends[of] - begins[of]
-            shared = np.bincount(holder[np.repeat(begins[of] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
-            for j in np.flatnonzero((shared >= similarity * (counts + counts[i] - shared)) & (np.arange(len(sets)) > i) & (same | (tile != tile[i]))):
-                a, b = top(i), top(int(j))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    found.append((ids[i], ids[j]))
+        counts, shared = overlaps(list(lines), width)
+        names, found = np.array(parent), []
+        near = np.triu(shared >= similarity * (counts + counts[:, None] - shared), 1) & (names != names[:, None])
+        for i, j in np.argwhere(near & (same | (tile != tile[:, None]))).tolist():
+            a, b = top(i), top(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((ids[i], ids[j]))
         return found
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cohortwise.llm import line_dedup as L
@@ -189,3 +190,18 @@ def test_candidates_grow_with_the_lines(spark):
         signed = L.materialize(L._lines(docs, L.SHINGLE).withColumn("id", F.col("doc_id")), "signed")
         counts.append(L._mates(signed, 0.8, L.ROOM).filter("bucket is null").select("a", "b").distinct().count())
     assert 100 < counts[0] and counts[1] <= 6 * counts[0]
+
+
+@pytest.mark.parametrize("n, cells", [(1, 1 << 20), (7, 1 << 20), (90, 1 << 20), (90, 500)])
+def test_overlaps_count_shared_shingles(monkeypatch, n, cells):
+    """Shingles that many lines hold and shingles that few hold, in one part and in several."""
+    monkeypatch.setattr(L, "_CELLS", cells)
+    draw = np.random.default_rng(n)
+    words = ["".join(draw.choice(list("abcdef\u00e9\U0001f600"), 6)) for _ in range(60)]
+    lines = [" ".join(["always the same", *draw.choice(words, 8)]) for _ in range(n - 1)] + ["x"]
+    counts, shared = L.overlaps(lines, 5)
+    sets = [L.shingles(x) for x in lines]
+    assert counts.tolist() == [len(s) for s in sets]
+    for i in range(n):
+        for j in range(i + 1, n):
+            assert shared[i, j] == len(np.intersect1d(sets[i], sets[j]))
