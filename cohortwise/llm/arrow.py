@@ -22,10 +22,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def _array(values: list | np.ndarray | pa.Array, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def map_columns(df: DataFrame, kernel: Callable[[Iterator[Columns]], Iterable[Columns]], ddl: str) -> DataFrame:
     """Run ``kernel`` over the batches of every partition.
 
-    It gets an iterator of {column: values} and yields the same for the columns of ``ddl``. Missing
+    It gets an iterator of {column: values} and yields the same for the columns of ``ddl``, or NumPy and Arrow arrays. Missing
     values are None and integers keep their 64 bits. A batch holds 64 MB or one row and is handed on in slices, so a
     worker's memory does not follow the size of its partition.
     """
@@ -34,7 +38,7 @@ def map_columns(df: DataFrame, kernel: Callable[[Iterator[Columns]], Iterable[Co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in _slices(batches))
         for columns in kernel(read):
-            arrays = [pa.array(columns[f.name], f.type) for f in schema]
+            arrays = [_array(columns[f.name], f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return df.mapInArrow(run, ddl)

@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,20 +53,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def signatures(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """MinHash signatures, one row per line, and the numbers of distinct shingles."""
     out, counts = np.empty((len(lines), BANDS * ROWS), np.uint32), np.empty(len(lines), np.int64)
-    at = 0
+    ends, at = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))), 0
     while at < len(lines):
-        end, size = at, 0
-        while end < len(lines) and (end == at or size + len(lines[end]) <= _CHUNK):
-            size += len(lines[end])
-            end += 1
-        out[at:end], counts[at:end] = _signed([line.ljust(width, "\x00") for line in lines[at:end]], width)
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + _CHUNK, "right")))
+        out[at:end], counts[at:end] = _signed([line if len(line) >= width else line.ljust(width, "\x00") for line in lines[at:end]], width)
         at = end
     return out, counts
 
 
 def _signed(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(line) for line in lines])
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     hashes = points[: len(points) - width + 1].copy()
     for i in range(1, width):
         hashes *= _FOLD
@@ -78,17 +77,18 @@ def _signed(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     hashes ^= hashes >> np.uint32(15)
     hashes *= np.uint32(0x85EBCA6B)
     hashes ^= hashes >> np.uint32(13)
-    owners = np.repeat(np.arange(len(lines), dtype=np.uint64), lengths - width + 1)
-    codes = np.sort(owners << np.uint64(32) | hashes)
-    codes = codes[np.r_[True, codes[1:] != codes[:-1]]]
+    codes = np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), lengths - width + 1)
+    codes |= hashes
+    codes.sort()
+    codes = codes[_changes(codes)]
     hashes, counts = codes.astype(np.uint32), np.bincount((codes >> np.uint64(32)).astype(np.int64), minlength=len(lines))
     starts = np.cumsum(counts) - counts
-    out, drawn = np.empty((len(lines), len(_SLOPES)), np.uint32), np.empty_like(hashes)
+    out, drawn = np.empty((len(_SLOPES), len(lines)), np.uint32), np.empty_like(hashes)
     for k, (slope, shift) in enumerate(zip(_SLOPES, _SHIFTS)):
         np.multiply(hashes, slope, out=drawn)
-        drawn += shift
-        out[:, k] = np.minimum.reduceat(drawn, starts)
-    return out, counts
+        np.add(drawn, shift, out=drawn)
+        np.minimum.reduceat(drawn, starts, out=out[k])
+    return out.T, counts
 
 
 def sketches(signs: np.ndarray) -> np.ndarray:
@@ -131,20 +131,23 @@ def _lines(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _batch_lines(batch: dict, width: int) -> Iterator[dict]:
-    rows, places = [], {}
-    for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
+    ats, which, places, parts, worded = [], [], {}, [], []
+    for text in batch["text"]:
         lines = [line.strip(_BLANK) for line in (text or "").split("\n")]
-        worded = len(lines) - lines.count("")
-        rows += [(doc, key, at, len(lines), worded, places.setdefault(x, len(places))) for at, x in enumerate(lines) if x]
-    if not rows:
+        parts.append(len(lines))
+        worded.append(len(lines) - lines.count(""))
+        for at, x in enumerate(lines):
+            if x:
+                ats.append(at)
+                which.append(places.setdefault(x, len(places)))
+    if not which:
         return
-    distinct = list(places)
+    distinct, of, which = list(places), np.repeat(np.arange(len(parts)), worded), np.array(which)
     signs, counts = signatures(distinct, width)
-    bands, marks = band_keys(signs).view(np.int32).tolist(), sketches(signs).tolist()
-    names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in distinct), np.int64).reshape(-1, 2).tolist()
-    docs, keys, ats, parts, worded, which = zip(*rows)
-    yield {"doc_id": list(docs), "key": list(keys), "at": list(ats), "parts": list(parts), "worded": list(worded), "hi": [names[w][0] for w in which],
-           "lo": [names[w][1] for w in which], "n": counts[list(which)].tolist(), "sketch": [marks[w] for w in which], "bands": [bands[w] for w in which]}
+    names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in distinct), np.int64).reshape(-1, 2)[which]
+    bands = pa.ListArray.from_arrays(np.arange(0, BANDS * len(which) + 1, BANDS, dtype=np.int32), band_keys(signs).view(np.int32)[which].ravel())
+    yield {"doc_id": [batch["doc_id"][i] for i in of.tolist()], "key": np.array(batch["key"], np.int64)[of], "at": np.array(ats), "parts": np.array(parts)[of],
+           "worded": np.array(worded)[of], "hi": names[:, 0], "lo": names[:, 1], "n": counts[which], "sketch": sketches(signs)[which], "bands": bands}
 
 
 ROOM = 2_048  # members of a bucket whose pairs are looked at inside the task
@@ -431,11 +434,10 @@ def dedup_lines(
     """
     docs = docs.drop(*names)
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    lines = materialize(_lines(given, shingle), "lines")
+    lines = _lines(given, shingle)
     of_line = [F.first(c).alias(c) for c in ("n", "sketch", "bands")]
     firsts = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "key", "at", "parts", "worded")).alias("first"), *of_line)
     distinct = materialize(firsts.select(F.monotonically_increasing_id().alias("id"), "first", "n", "sketch", "bands"), "distinct")
-    release(lines)
     known = distinct.select("id", "first")
     roots = materialize(_classes(distinct, known, given, similarity, small, shingle, room, tile), "classes")
     rooted = known.join(roots.withColumnRenamed("node", "id"), "id", "left")

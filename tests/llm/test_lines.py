@@ -205,3 +205,23 @@ def test_overlaps_count_shared_shingles(monkeypatch, n, cells):
     for i in range(n):
         for j in range(i + 1, n):
             assert shared[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_no_written_table_has_a_row_per_occurrence(spark, monkeypatch):
+    written, write = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, tag: written.append((tag, write(df, tag))) or written[-1][1])
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("one and the same line\nanother line of text").alias("text"))
+    kept = {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()}
+    assert kept[0] == "one and the same line\nanother line of text" and not any(kept[i] for i in range(1, 60))
+    assert max(table.count() for _, table in written) == 2
+
+
+def test_rows_of_lines_name_their_document_place_and_signature():
+    texts = ["first line here\n\n  \nshort", None, "", "  first line here\nsecond line here "]
+    batch = {"doc_id": ["a", None, "c", "d"], "key": [5, -(2**63), 7, 2**63 - 1], "text": texts}
+    (rows,) = L._batch_lines(batch, L.SHINGLE)
+    assert rows["doc_id"] == ["a", "a", "d", "d"] and [rows[c].tolist() for c in ("key", "at", "parts", "worded")] == [
+        [5, 5, 2**63 - 1, 2**63 - 1], [0, 3, 0, 1], [4, 4, 2, 2], [2, 2, 2, 2]]
+    signs, counts = L.signatures(["first line here", "short", "first line here", "second line here"])
+    assert rows["bands"].to_pylist() == L.band_keys(signs).view(np.int32).tolist() and rows["n"].tolist() == counts.tolist()
+    assert rows["hi"][0] == rows["hi"][2] != rows["hi"][3] and rows["sketch"].tolist() == L.sketches(signs).tolist()
