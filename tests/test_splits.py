@@ -106,6 +106,16 @@ def test_forest_arrays_vote_as_the_forest(spark, noisy):
     assert np.allclose(chance, [r["p"] for r in rows])
 
 
+def test_forest_fits_take_no_more_tasks_than_cores_need(spark, noisy, monkeypatch):
+    seen, fit = [], RandomForestClassifier.fit
+    spread = noisy.repartition(40)
+    monkeypatch.setattr(models, "fold_sides", lambda *_: [(spread, noisy)] * 2)
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, df, params: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df, params))
+    search, grid = models.random_forest_cv(noisy, list("abcd"), "label", "id", folds=2, trees=(3,), depths=(2,), splits=(2,), leaves=(1,), subsets=("sqrt",))
+    assert seen == [(spark.sparkContext.defaultParallelism, 400)] * 2 and len(grid) == 1 and 0.5 < search.avgMetrics[0] <= 1
+    assert models.tasks_per_fit(spark, 1) == 2 * models.tasks_per_fit(spark, 2) and models.tasks_per_fit(spark, 10_000) == 2
+
+
 def test_missing_vectors_have_no_neighbours(spark):
     df = spark.createDataFrame([(1, [0.0], 0), (2, None, 0), (3, [1.0], 1)], "id bigint, v array<double>, y int")
     for path in (dict(), dict(broadcast_bytes=0)):
