@@ -151,6 +151,20 @@ def _batch_lines(batch: dict, width: int) -> Iterator[dict]:
 
 
 ROOM = 2_048  # members of a bucket whose pairs are looked at inside the task
+_COUNT_BITS = 27  # beside the band and its key in one number; a larger count is cut to the most they hold, which rules out less
+
+
+def _dealt(distinct: DataFrame) -> DataFrame:
+    """(slot, id, sketch): every line once per bucket. ``slot`` is the bucket before the count, since each column costs time per row."""
+    bucket = F.shiftleft(F.col("band").cast("bigint"), 32).bitwiseOR(F.col("band_key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    count = F.least(F.col("n").cast("bigint"), F.lit((1 << _COUNT_BITS) - 1))
+    slot = F.shiftleft(bucket, _COUNT_BITS).bitwiseOR(count)
+    return distinct.select("id", "n", "sketch", F.posexplode("bands").alias("band", "band_key")).select(slot.alias("slot"), "id", "sketch")
+
+
+def _unpacked(batch: dict) -> dict:
+    slot = batch["slot"]
+    return {"bucket": slot >> _COUNT_BITS, "id": batch["id"], "n": slot & ((1 << _COUNT_BITS) - 1), "sketch": batch["sketch"]}
 
 
 def _mates(distinct: DataFrame, similarity: float, room: int) -> DataFrame:
@@ -160,9 +174,8 @@ def _mates(distinct: DataFrame, similarity: float, room: int) -> DataFrame:
     sketches allow the similarity. With a bucket, a member ``a`` that has another such mate there; of a bucket of more than ``room``
     lines all members.
     """
-    bucket = F.shiftleft(F.col("band").cast("bigint"), 32).bitwiseOR(F.col("band_key").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    dealt = distinct.select("id", "n", "sketch", F.posexplode("bands").alias("band", "band_key")).select(bucket.alias("bucket"), "id", "n", "sketch")
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    bucket = F.shiftright("slot", _COUNT_BITS)  # without the count, which would put the shortest line of a bucket first
+    ordered = _dealt(distinct).repartition(bucket).sortWithinPartitions(bucket)
     names, apart = ("bucket", "id", "n", "sketch"), bits_apart(similarity)
 
     def alike(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -172,7 +185,7 @@ def _mates(distinct: DataFrame, similarity: float, room: int) -> DataFrame:
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         held, speaker = None, None  # rows of a bucket that may go on; the first row of a bucket that outgrew its room
-        for batch in _with_end(batches):
+        for batch in _with_end(map(_unpacked, batches)):
             if batch is not None:
                 held = batch if held is None else {c: np.concatenate([held[c], batch[c]]) for c in names}
             if held is None or not len(held["id"]):

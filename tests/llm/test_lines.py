@@ -225,3 +225,17 @@ def test_rows_of_lines_name_their_document_place_and_signature():
     signs, counts = L.signatures(["first line here", "short", "first line here", "second line here"])
     assert rows["bands"].to_pylist() == L.band_keys(signs).view(np.int32).tolist() and rows["n"].tolist() == counts.tolist()
     assert rows["hi"][0] == rows["hi"][2] != rows["hi"][3] and rows["sketch"].tolist() == L.sketches(signs).tolist()
+
+
+def test_a_line_goes_into_a_bucket_as_three_numbers(spark):
+    """The band and its key, the whole identifier and sketch, and the count, cut to its most, come back from them."""
+    most = (1 << L._COUNT_BITS) - 1
+    bands = [(-1) ** b * (2**31 - 1 - b) for b in range(L.BANDS)]
+    known = [(7, 1, -(2**63), bands), (2**62 + 1, 2**31 - 1, 2**63 - 1, bands)]
+    dealt = L._dealt(spark.createDataFrame(known, "id bigint, n int, sketch bigint, bands array<int>"))
+    assert len(dealt.columns) == 3
+    rows = L._unpacked({c: np.array([r[c] for r in dealt.orderBy("id", "slot").collect()]) for c in dealt.columns})
+    buckets = sorted(band << 32 | key & 0xFFFFFFFF for band, key in enumerate(bands))
+    assert rows["bucket"].tolist() == 2 * buckets and rows["n"].tolist() == [1] * L.BANDS + [most] * L.BANDS
+    assert rows["id"].tolist() == [7] * L.BANDS + [2**62 + 1] * L.BANDS
+    assert rows["sketch"].tolist() == [-(2**63)] * L.BANDS + [2**63 - 1] * L.BANDS
